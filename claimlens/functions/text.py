@@ -250,16 +250,78 @@ def wiki_text(c: Column) -> Column:
     return F.flatten(F.transform(elements, lambda e: F.transform(element(e), lambda x: strip_wiki(x))))
 
 
-def token_spans(c):
-    """Word runs with zero-based character offsets, from one pass over the separators."""
-    runs = F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
-    gaps = F.split(c, r"(?U)\w+")
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(runs, i))).alias("at"),
-        F.array_append(acc["out"], F.struct(
-            F.get(runs, i).alias("text"),
-            (acc["at"] + F.length(F.get(gaps, i))).alias("start"))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int>>)").alias("out"))
-    index = F.when(F.size(runs) > 0, F.sequence(F.lit(0), F.size(runs) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.aggregate(index, zero, step, lambda acc: acc["out"])
+# Arrays grown inside a fold are filled in blocks of this many elements, so that long texts stay linear.
+_BLOCK = 256
+
+
+def grow(acc: Column, item: Column) -> list[Column]:
+    """The ``buf`` and ``done`` fields of a fold state after adding one element."""
+    full = F.size(acc["buf"]) >= _BLOCK
+    return [
+        F.when(full, F.array(item)).otherwise(F.array_append(acc["buf"], item)).alias("buf"),
+        F.when(full, F.array_append(acc["done"], acc["buf"])).otherwise(acc["done"]).alias("done"),
+    ]
+
+
+def grown_zero(element: str) -> list[Column]:
+    return [F.array().cast(f"array<{element}>").alias("buf"), F.array().cast(f"array<array<{element}>>").alias("done")]
+
+
+def grown(acc: Column) -> Column:
+    return F.flatten(F.array_append(acc["done"], acc["buf"]))
+
+
+def token_spans(c: Column) -> Column:
+    """Word runs in order: array of (text, start, gap), ``start`` zero-based, ``gap`` the text before the run.
+
+    One linear fold over the runs; the arrays it reads enter as its input, so they are computed once.
+    """
+    pairs = F.zip_with(F.split(c, RUN), F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), lambda g, r: F.struct(g.alias("g"), r.alias("r")))
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["g"])
+        span = F.struct(x["r"].alias("text"), start.alias("start"), x["g"].alias("gap"))
+        return F.struct((start + F.length(x["r"])).alias("at"), *grow(acc, span))
+
+    zero = F.struct(F.lit(0).alias("at"), *grown_zero("struct<text:string,start:int,gap:string>"))
+    return F.aggregate(F.filter(pairs, lambda x: x["r"].isNotNull()), zero, step, grown)
+
+
+# Elements whose text makes a block, and the character entities decoded in page text.
+BLOCK_TAGS = "title|h1|h2|h3|h4|h5|h6|li|p"
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+ANY_TAG = r"<[^>]+>"
+
+
+def _visible(c: Column) -> Column:
+    for name, char in ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
+def page_blocks(html: Column) -> Column:
+    """Texts of title, heading, list-item and paragraph elements in document order.
+
+    A block runs from its opening tag to the next opening or closing tag of any block element, so each
+    piece of text belongs to its innermost block even when closing tags are missing.
+    """
+    shown = F.regexp_replace(html, HIDDEN, "")
+    opened = F.regexp_replace(shown, rf"(?i)<({BLOCK_TAGS})(\s[^>]*)?>", "\x01")
+    pieces = F.slice(F.split(opened, "\x01"), 2, 1000000000)
+    inner = F.transform(pieces, lambda p: F.get(F.split(p, rf"(?i)</({BLOCK_TAGS})\s*>"), F.lit(0)))
+    texts = F.transform(inner, lambda p: F.trim(F.regexp_replace(_visible(F.regexp_replace(p, ANY_TAG, "")), r"\s+", " ")))
+    return F.filter(texts, lambda t: t != "")
+
+
+def page_text(html: Column) -> Column:
+    """All visible text of a page."""
+    shown = F.regexp_replace(F.regexp_replace(html, HIDDEN, ""), ANY_TAG, "")
+    return _visible(shown)
+
+
+def first_link(html: Column) -> Column:
+    """First link target of a page that no block list rejects; ``''`` if none."""
+    links = F.regexp_extract_all(html, F.lit(r"(?i)<a\s[^>]*href=\"([^\"]*)\""), F.lit(1))
+    usable = F.filter(links, lambda u: url_allowed(u) & url_ok(u))
+    return F.coalesce(F.get(usable, F.lit(0)), F.lit(""))

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlens import fixed
-from claimlens.functions.text import sem_ok, white_tokens
+from claimlens.functions.text import grow, grown, grown_zero, sem_ok, white_tokens
 from claimlens.operators import updates
 
-XML_SCHEMA = """
-MMO array<struct<Utterances: struct<Utterance: array<struct<Phrases: struct<Phrase: array<struct<
-  PhraseText: string,
-  SyntaxUnits: struct<_Count: int, SyntaxUnit: array<struct<SyntaxType: string, LexMatch: string, InputMatch: string,
-    LexCat: string, Tokens: struct<Token: array<string>>>>>,
-  Mappings: struct<_Count: int, Mapping: array<struct<MappingCandidates: struct<Candidate: array<struct<
-    CandidateMatched: string, CandidatePreferred: string, CandidateCUI: string, Negated: string,
-    SemTypes: struct<_Count: int, SemType: array<string>>,
-    MatchedWords: struct<MatchedWord: array<string>>,
-    ConceptPIs: struct<_Count: int, ConceptPI: array<struct<StartPos: string, Length: string>>>>>>>>>>>>>>>>
-"""
+def _struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_TEXT, _COUNT, _MANY = T.StringType(), T.IntegerType(), T.ArrayType
+_CANDIDATE = _struct(
+    CandidateMatched=_TEXT, CandidatePreferred=_TEXT, CandidateCUI=_TEXT, Negated=_TEXT,
+    SemTypes=_struct(_Count=_COUNT, SemType=_MANY(_TEXT)), MatchedWords=_struct(MatchedWord=_MANY(_TEXT)),
+    ConceptPIs=_struct(_Count=_COUNT, ConceptPI=_MANY(_struct(StartPos=_TEXT, Length=_TEXT))))
+_UNIT = _struct(SyntaxType=_TEXT, LexMatch=_TEXT, InputMatch=_TEXT, LexCat=_TEXT, Tokens=_struct(Token=_MANY(_TEXT)))
+_PHRASE = _struct(
+    PhraseText=_TEXT, SyntaxUnits=_struct(_Count=_COUNT, SyntaxUnit=_MANY(_UNIT)),
+    Mappings=_struct(_Count=_COUNT, Mapping=_MANY(_struct(MappingCandidates=_struct(Candidate=_MANY(_CANDIDATE))))))
+XML_SCHEMA = _struct(MMO=_MANY(_struct(Utterances=_struct(Utterance=_MANY(_struct(Phrases=_struct(Phrase=_MANY(_PHRASE))))))))
 
 
 def parse_concept_xml(df: DataFrame, col: str, out: str = "phrases") -> DataFrame:
@@ -56,19 +60,14 @@ def parse_concept_xml(df: DataFrame, col: str, out: str = "phrases") -> DataFram
     phrases = F.flatten(F.transform(utterances, lambda u: u["Phrases"]["Phrase"]))
     mapped = F.transform(F.filter(phrases, lambda p: F.coalesce(p["Mappings"]["_Count"], F.lit(0)) != 0), phrase)
     typed = F.exists(out, lambda p: F.exists(p["candidates"], lambda c: c["sem_type"].isNotNull()))
+    parsed = df.withColumn("_doc", doc).withColumn(out, mapped)
+    nothing = F.array().cast(parsed.schema[out].dataType)
     return (
-        df.withColumn("_doc", doc)
-        .withColumn(out, mapped)
-        .withColumn(out, F.when(F.coalesce(typed, F.lit(False)), F.col(out)).otherwise(F.filter(out, lambda p: F.lit(False))))
-        .withColumn(out, F.coalesce(F.col(out), F.slice(F.array(F.lit(None).cast(_type_of(df, doc, mapped, out))), 1, 0)))
+        parsed.withColumn(out, F.when(F.coalesce(typed, F.lit(False)), F.col(out)).otherwise(nothing))
         .drop("_doc")
     )
 
 
-def _type_of(df, doc, mapped, out):
-    return df.withColumn("_doc", doc).withColumn(out, mapped).schema[out].dataType.elementType
-
-
 def flat_candidates(df: DataFrame, key: str = "id", phrases: str = "phrases") -> DataFrame:
     """One row per candidate with its phrase and candidate numbers."""
     p = df.select(key, F.posexplode(phrases).alias("phrase_no", "_p"))
@@ -127,42 +126,50 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
     usable = (F.size(candidates) > 0) & (F.col(subject) != "") & (F.col(predicate) != "") & (F.col(obj) != "")
     unknown = F.lit(fixed.UNKNOWN)
     work = df.withColumns({
-        "_chars": F.split(F.col(text), ""),
-        "_starts": F.reverse(F.transform(candidates, lambda c: c["start_pos"])),
         "_tokens": white_tokens(F.concat_ws(" ", subject, predicate, obj)),
         "_ns": F.size(white_tokens(F.col(subject))),
         "_np": F.size(white_tokens(F.col(predicate))),
     })
-    last = F.length(F.col(text)) - 1
+    # The walk's inputs travel in the fold state, so they are computed once per sentence.
+    fixed_inputs = lambda acc: [acc["chars"].alias("chars"), acc["starts"].alias("starts")]
 
     def step(acc, ch):
-        here = F.array_position("_starts", acc["at"])
-        found = F.when(here > 0, (F.size("_starts") - here).cast("int")).otherwise(acc["found"])
-        moved = acc["at"] + F.when((F.get("_chars", acc["at"]) == ch) & (acc["at"] < last), 1).otherwise(0)
-        past = moved + F.when((F.get("_chars", moved) == " ") & (moved < last), 1).otherwise(0)
-        return F.struct(past.cast("int").alias("at"), found.cast("int").alias("found"))
+        here = F.array_position(acc["starts"], acc["at"])
+        last = F.size(acc["chars"]) - 1
+        found = F.when(here > 0, (F.size(acc["starts"]) - here).cast("int")).otherwise(acc["found"])
+        moved = acc["at"] + F.when((F.get(acc["chars"], acc["at"]) == ch) & (acc["at"] < last), 1).otherwise(0)
+        past = moved + F.when((F.get(acc["chars"], moved) == " ") & (moved < last), 1).otherwise(0)
+        return F.struct(past.cast("int").alias("at"), found.cast("int").alias("found"), *fixed_inputs(acc))
 
     def token(acc, tok):
-        start = F.struct(acc["at"].alias("at"), F.lit(-1).alias("found"))
-        end = F.aggregate(F.split(tok, ""), start, step)
-        return F.struct(end["at"].alias("at"), F.array_append(acc["out"], end["found"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
-    work = work.withColumn("_found", F.when(usable, F.aggregate("_tokens", zero, token, lambda acc: acc["out"])))
-
-    def aligned(tok, i):
-        c = F.get(F.col(candidates), F.nullif(F.get("_found", i), F.lit(-1)))
+        start = F.struct(acc["at"].alias("at"), F.lit(-1).alias("found"), *fixed_inputs(acc))
+        end = F.aggregate(F.split(tok, ""), start, step, lambda e: F.struct(e["at"], e["found"]))
+        # One element keeps (position, found) of the inner walk, so that it runs once per token.
+        walked = F.aggregate(F.array(end), F.struct(acc["at"].alias("at"), *fixed_inputs(acc), acc["buf"].alias("buf"), acc["done"].alias("done")),
+                             lambda a, e: F.struct(e["at"].alias("at"), *fixed_inputs(a), *grow(a, e["found"])))
+        return walked
+
+    zero = F.struct(
+        F.lit(0).alias("at"), F.split(F.col(text), "").alias("chars"),
+        F.reverse(F.transform(candidates, lambda c: c["start_pos"])).alias("starts"), *grown_zero("int"))
+    walk = F.aggregate("_tokens", zero, token, grown)
+    pairs = F.zip_with("_tokens", F.when(usable, walk), lambda t, f: F.struct(t.alias("token"), f.alias("found")))
+
+    def aligned(acc, x):
+        c = F.get(acc["cands"], F.nullif(x["found"], F.lit(-1)))
         field = lambda name: F.coalesce(c[name], unknown).alias(name)
-        return F.struct(i.cast("int").alias("token_id"), tok.alias("token_text"),
-                        *[field(n) for n in ["cui", "preferred", "sem_type", "tui", "type_name", "group"]])
+        entry = F.struct(acc["n"].alias("token_id"), x["token"].alias("token_text"),
+                         *[field(n) for n in ["cui", "preferred", "sem_type", "tui", "type_name", "group"]])
+        return F.struct((acc["n"] + 1).alias("n"), acc["cands"].alias("cands"), *grow(acc, entry))
 
-    work = work.withColumn("_all", F.when(usable, F.transform("_tokens", aligned)).otherwise(empty))
+    start = F.struct(F.lit(0).alias("n"), F.col(candidates).alias("cands"), *grown_zero(ALIGNED[len("array<"):-1]))
+    work = work.withColumn("_all", F.when(usable, F.aggregate(pairs, start, aligned, grown)).otherwise(empty))
     rest = F.greatest(F.size("_all") - F.col("_ns") - F.col("_np"), F.lit(0))
     return work.withColumns({
         "s_ext": F.slice("_all", F.lit(1), F.col("_ns")),
         "p_ext": F.slice("_all", F.col("_ns") + 1, F.col("_np")),
         "o_ext": F.slice("_all", F.col("_ns") + F.col("_np") + 1, rest),
-    }).drop("_chars", "_starts", "_tokens", "_ns", "_np", "_found", "_all")
+    }).drop("_tokens", "_ns", "_np", "_all")
 
 
 CONCEPT_COLUMNS = ["subject_cuis", "predicate_cuis", "object_cuis", "subject_text_cuis", "predicate_text_cuis", "object_text_cuis"]

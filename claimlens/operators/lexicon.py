@@ -88,14 +88,20 @@ def match_lexicon(sent: DataFrame, lexicon: DataFrame, text: str = "sentence", k
     those the lexicon order decides. The lexicon is fixed in size and broadcast, so only hits are shuffled,
     once, by sentence.
     """
+    tokens = sent.select(key, match_text(F.col(text)).alias("_t")).select(
+        key, F.length("_t").alias("_len"), token_spans(F.col("_t")).alias("_s"))
     longest = longest_phrase()
-    tokens = sent.select(key, match_text(F.col(text)).alias("_t")).withColumn("_spans", token_spans(F.col("_t")))
-    starts = tokens.select(
-        key, "_t", F.length("_t").alias("_len"), "_spans", F.posexplode("_spans").alias("_i", "_s")
-    ).where(F.col("_s.text").isin(*first_words()))
-    ends = F.transform(F.slice("_spans", F.col("_i") + 1, F.lit(longest)), lambda x: x["start"] + F.length(x["text"]))
-    grams = starts.select(key, "_t", "_len", F.col("_s.start").alias("at"), F.explode(ends).alias("_end")).select(
-        key, "_len", "at", F.expr("substring(_t, at + 1, _end - at)").alias("phrase"))
+    ahead = F.arrays_zip(*[(F.col("_s") if i == 0 else F.slice("_s", i + 1, 1000000000)).alias(f"w{i}") for i in range(longest)])
+    starts = F.filter(ahead, lambda w: w["w0"]["text"].isin(*first_words()))
+
+    def grams_from(w):
+        phrase, out = w["w0"]["text"], []
+        for i in range(longest):
+            phrase = phrase if i == 0 else F.concat(phrase, w[f"w{i}"]["gap"], w[f"w{i}"]["text"])
+            out.append(F.struct(phrase.alias("phrase"), w["w0"]["start"].alias("at")))
+        return F.array(*out)
+
+    grams = tokens.select(key, "_len", F.inline(F.flatten(F.transform(starts, grams_from)))).where("phrase is not null")
     hits = grams.join(F.broadcast(best_per_phrase(lexicon)), "phrase")
     leftmost = hits.repartition(key).groupBy(key, "phrase", "kind", "priority", "_len").agg(F.min("at").alias("at"))
     usable = leftmost.where((F.col("at") > 0) & (F.col("at") + F.length("phrase") < F.col("_len")))

@@ -359,14 +359,14 @@ def tagged(spark, d, base=None):
     """Sentences with ``tokens``: array of (token, pos, dep, is_stop)."""
     runs = F.regexp_extract_all(F.col("sentence"), F.lit(r"(?U)\w+"), F.lit(0))
     tok = F.transform(runs, lambda t, i: F.struct(
-        t.alias("token"), tag_of(t).alias("pos"),
+        t.alias("token"), F.when(i % 5 == 4, "CC").otherwise(tag_of(t)).alias("pos"),
         F.when(i % 4 == 1, "nsubj").otherwise("dep").alias("dep"),
         F.lower(t).isin(*STOP_WORDS).alias("is_stop")))
     return (base if base is not None else sentence(spark, d)).withColumn("tokens", tok)
 
 
 TAGGED_SQL = rf"""tagged AS (
-  SELECT * EXCLUDE (runs), list_transform(runs, lambda t, i: {{'token': t, 'pos': CASE
+  SELECT * EXCLUDE (runs), list_transform(runs, lambda t, i: {{'token': t, 'pos': CASE WHEN (i - 1) % 5 = 4 THEN 'CC'
       WHEN lower(t) IN ('a','an','the','le','la','der','die','el') THEN 'DT'
       WHEN lower(t) IN ('of','in','to','de','en') THEN 'IN'
       WHEN lower(t) LIKE '%ing' THEN 'VBG' WHEN lower(t) LIKE '%ed' THEN 'VBN' WHEN lower(t) LIKE '%es' THEN 'VBZ'
