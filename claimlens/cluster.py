@@ -45,6 +45,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """Computes the named columns once per row before anything else uses them.
+
+    Catalyst copies a column's expression into filters and array functions that use it; for array folds that
+    would repeat the fold per element. A one-element ``inline`` keeps the value. No shuffle.
+    """
+    rest = [c for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 16) -> DataFrame:
     """Inner equi-join where one key may own a large share of ``big``.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens import fixed
+from claimlens.cluster import settle
 from claimlens.functions.text import grow, grown, grown_zero, sem_ok, white_tokens
 from claimlens.operators import updates
 
@@ -62,6 +63,7 @@ def parse_concept_xml(df: DataFrame, col: str, out: str = "phrases") -> DataFram
     typed = F.exists(out, lambda p: F.exists(p["candidates"], lambda c: c["sem_type"].isNotNull()))
     parsed = df.withColumn("_doc", doc).withColumn(out, mapped)
     nothing = F.array().cast(parsed.schema[out].dataType)
+    parsed = settle(parsed, out)
     return (
         parsed.withColumn(out, F.when(F.coalesce(typed, F.lit(False)), F.col(out)).otherwise(nothing))
         .drop("_doc")
@@ -125,11 +127,12 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
     empty = F.expr(f"cast(array() as {ALIGNED})")
     usable = (F.size(candidates) > 0) & (F.col(subject) != "") & (F.col(predicate) != "") & (F.col(obj) != "")
     unknown = F.lit(fixed.UNKNOWN)
-    work = df.withColumns({
+    work = settle(df, candidates).withColumns({
         "_tokens": white_tokens(F.concat_ws(" ", subject, predicate, obj)),
         "_ns": F.size(white_tokens(F.col(subject))),
         "_np": F.size(white_tokens(F.col(predicate))),
     })
+    work = settle(work, "_tokens", "_ns", "_np")
     # The walk's inputs travel in the fold state, so they are computed once per sentence.
     fixed_inputs = lambda acc: [acc["chars"].alias("chars"), acc["starts"].alias("starts")]
 
@@ -164,6 +167,7 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
 
     start = F.struct(F.lit(0).alias("n"), F.col(candidates).alias("cands"), *grown_zero(ALIGNED[len("array<"):-1]))
     work = work.withColumn("_all", F.when(usable, F.aggregate(pairs, start, aligned, grown)).otherwise(empty))
+    work = settle(work, "_all")
     rest = F.greatest(F.size("_all") - F.col("_ns") - F.col("_np"), F.lit(0))
     return work.withColumns({
         "s_ext": F.slice("_all", F.lit(1), F.col("_ns")),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.cluster import spread
+from claimlens.cluster import settle, spread
 from claimlens.functions.text import sentence_pieces, token_spans
 
 STOP_WORDS = ["a", "an", "the", "of", "and", "in", "is", "to", "le", "la", "de", "et", "der", "die", "und", "el", "en", "que"]
@@ -325,7 +325,7 @@ def concept_spans(spark, d, base=None):
         t["start"].alias("start_pos"),
         F.length(t["text"]).alias("length"),
     ))
-    return toks.withColumn("raw", cand).drop("tokens")
+    return settle(toks.withColumn("raw", cand).drop("tokens"), "raw")
 
 
 CONCEPT_SQL = r"""concept AS (
@@ -362,7 +362,7 @@ def tagged(spark, d, base=None):
         t.alias("token"), F.when(i % 5 == 4, "CC").otherwise(tag_of(t)).alias("pos"),
         F.when(i % 4 == 1, "nsubj").otherwise("dep").alias("dep"),
         F.lower(t).isin(*STOP_WORDS).alias("is_stop")))
-    return (base if base is not None else sentence(spark, d)).withColumn("tokens", tok)
+    return settle((base if base is not None else sentence(spark, d)).withColumn("tokens", tok), "tokens")
 
 
 TAGGED_SQL = rf"""tagged AS (
@@ -382,6 +382,7 @@ def parsed(spark, d, base=None):
     t = tagged(spark, d, base).where(F.size("tokens") > 0)
     root = F.array_position(F.transform("tokens", lambda x: x["pos"].startswith("VB")), True)
     t = t.withColumn("root", F.when(root > 0, root).otherwise(F.lit(1)).cast("int"))
+    t = settle(t, "root")
     upos = lambda x: (
         F.when(x["pos"].startswith("VB"), "VERB").when(x["pos"] == "NNP", "PROPN").when(x["pos"] == "NN", "NOUN")
         .when(x["pos"] == "JJ", "ADJ").when(x["pos"] == "RB", "PART").when(x["pos"] == "DT", "DET").otherwise("ADP"))
