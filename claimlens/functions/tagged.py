@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.functions.text import grow, grown, grown_zero
+from claimlens.functions.text import let, running_sums
 
 # Fixed pattern of a noun chunk over one-letter tag codes (D determiner, J adjective, N noun, P preposition).
 _PHRASE = "D?J*N*J*N+"
@@ -25,37 +25,29 @@ def _pieces(codes: Column) -> Column:
     return F.regexp_extract_all(codes, F.lit(f"{CHUNK}|."), F.lit(0))
 
 
-def noun_chunks(df: DataFrame, tokens: str = "tokens", out: str = "chunks") -> DataFrame:
-    """Array of (chunk_id, is_chunk, start, end, text): chunks and the single tokens between them."""
-    row = "struct<chunk_id:int,is_chunk:boolean,start:int,end:int,text:string>"
+def _cut(tokens: Column, pieces: Column) -> Column:
+    """Array of (piece, start, words): the tokens under consecutive pieces of the tag-code text."""
     names = F.transform(tokens, lambda t: t["token"])
+    ends = running_sums(F.transform(pieces, lambda p: F.length(p)))
+    marked = F.zip_with(pieces, ends, lambda p, e: F.struct(p.alias("piece"), (e - F.length(p)).alias("start")))
+    both = F.struct(names.alias("names"), marked.alias("marked"))
+    return let(both, lambda x: F.transform(x["marked"], lambda m: F.struct(
+        m["piece"].alias("piece"), m["start"].alias("start"), F.slice(x["names"], m["start"] + 1, F.length(m["piece"])).alias("words"))))
 
-    def step(acc, piece):
-        size = F.length(piece)
-        chunk = F.struct(
-            acc["n"].alias("chunk_id"), piece.contains("N").alias("is_chunk"), acc["at"].alias("start"),
-            (acc["at"] + size - 1).alias("end"), F.array_join(F.slice(acc["names"], acc["at"] + 1, size), " ").alias("text"))
-        return F.struct((acc["at"] + size).alias("at"), (acc["n"] + 1).alias("n"), acc["names"].alias("names"), *grow(acc, chunk))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), names.alias("names"), *grown_zero(row))
-    return df.withColumn(out, F.aggregate(_pieces(tag_codes(F.col(tokens))), zero, step, grown))
+def noun_chunks(df: DataFrame, tokens: str = "tokens", out: str = "chunks") -> DataFrame:
+    """Array of (chunk_id, is_chunk, start, end, text): chunks and the single tokens between them."""
+    chunk = lambda c, i: F.struct(
+        i.cast("int").alias("chunk_id"), c["piece"].contains("N").alias("is_chunk"), c["start"].alias("start"),
+        (c["start"] + F.length(c["piece"]) - 1).alias("end"), F.array_join(c["words"], " ").alias("text"))
+    return df.withColumn(out, F.transform(_cut(F.col(tokens), _pieces(tag_codes(F.col(tokens)))), chunk))
 
 
 def name_runs(tokens: Column) -> Column:
     """Word arrays of the noun/adjective runs of two or more tokens."""
-    nothing = F.array().cast("array<string>")
-
-    def close(acc):
-        return F.when(F.size(acc["run"]) > 1, F.array_append(acc["runs"], acc["run"])).otherwise(acc["runs"])
-
-    def step(acc, t):
-        named = t["pos"].startswith("NN") | t["pos"].startswith("JJ")
-        return F.struct(
-            F.when(named, F.array_append(acc["run"], t["token"])).otherwise(nothing).alias("run"),
-            F.when(named, acc["runs"]).otherwise(close(acc)).alias("runs"))
-
-    zero = F.struct(nothing.alias("run"), F.array().cast("array<array<string>>").alias("runs"))
-    return F.aggregate(tokens, zero, step, close)
+    runs = F.regexp_extract_all(F.replace(tag_codes(tokens), F.lit("J"), F.lit("N")), F.lit("N+|[^N]+"), F.lit(0))
+    named = F.filter(_cut(tokens, runs), lambda c: c["piece"].startswith("NN"))
+    return F.transform(named, lambda c: c["words"])
 
 
 def multiword_names(df: DataFrame, keep: list[str], tokens: str = "tokens") -> DataFrame:

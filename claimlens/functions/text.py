@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlens import fixed
 
@@ -250,41 +253,24 @@ def wiki_text(c: Column) -> Column:
     return F.flatten(F.transform(elements, lambda e: F.transform(element(e), lambda x: strip_wiki(x))))
 
 
-# Arrays grown inside a fold are filled in blocks of this many elements, so that long texts stay linear.
-_BLOCK = 256
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``v`` computed once, for values that a lambda reads per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def grow(acc: Column, item: Column) -> list[Column]:
-    """The ``buf`` and ``done`` fields of a fold state after adding one element."""
-    full = F.size(acc["buf"]) >= _BLOCK
-    return [
-        F.when(full, F.array(item)).otherwise(F.array_append(acc["buf"], item)).alias("buf"),
-        F.when(full, F.array_append(acc["done"], acc["buf"])).otherwise(acc["done"]).alias("done"),
-    ]
-
-
-def grown_zero(element: str) -> list[Column]:
-    return [F.array().cast(f"array<{element}>").alias("buf"), F.array().cast(f"array<array<{element}>>").alias("done")]
-
-
-def grown(acc: Column) -> Column:
-    return F.flatten(F.array_append(acc["done"], acc["buf"]))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def running_sums(numbers: pd.Series) -> pd.Series:
+    """Inclusive running sums of an int array. A fold in the engine would copy its growing result at each step."""
+    return numbers.map(lambda a: None if a is None else np.cumsum(a, dtype="int32"))
 
 
 def token_spans(c: Column) -> Column:
-    """Word runs in order: array of (text, start, gap), ``start`` zero-based, ``gap`` the text before the run.
-
-    One linear fold over the runs; the arrays it reads enter as its input, so they are computed once.
-    """
-    pairs = F.zip_with(F.split(c, RUN), F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), lambda g, r: F.struct(g.alias("g"), r.alias("r")))
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["g"])
-        span = F.struct(x["r"].alias("text"), start.alias("start"), x["g"].alias("gap"))
-        return F.struct((start + F.length(x["r"])).alias("at"), *grow(acc, span))
-
-    zero = F.struct(F.lit(0).alias("at"), *grown_zero("struct<text:string,start:int,gap:string>"))
-    return F.aggregate(F.filter(pairs, lambda x: x["r"].isNotNull()), zero, step, grown)
+    """Word runs in order: array of (text, start, gap), ``start`` zero-based, ``gap`` the text before the run."""
+    every = F.zip_with(F.split(c, RUN), F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), lambda g, r: F.struct(g.alias("g"), r.alias("r")))
+    pairs = F.filter(every, lambda x: x["r"].isNotNull())
+    ends = running_sums(F.transform(pairs, lambda x: F.length(x["g"]) + F.length(x["r"])))
+    return F.zip_with(pairs, ends, lambda x, e: F.struct(
+        x["r"].alias("text"), (e - F.length(x["r"])).alias("start"), x["g"].alias("gap")))
 
 
 # Elements whose text makes a block, and the character entities decoded in page text.

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens import fixed
 from claimlens.cluster import settle
-from claimlens.functions.text import grow, grown, grown_zero, sem_ok, white_tokens
+from claimlens.functions.text import let, sem_ok, white_tokens
 from claimlens.operators import updates
 
 def _struct(**fields) -> T.StructType:
@@ -114,6 +115,24 @@ def health_terms(df: DataFrame, candidates: str = "candidates") -> DataFrame:
     return df.withColumn("common_health_terms", terms).withColumn("health_terms_auto", F.size("common_health_terms"))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _walk(tokens: pd.Series, texts: pd.Series, starts: pd.Series) -> pd.Series:
+    """Per token, the index of the last candidate whose start the walk along the text has reached (null if none)."""
+    def one(words, text, firsts):
+        at, last, out = 0, len(text) - 1, []
+        by_start = {int(s): i for i, s in enumerate(firsts)}
+        for word in words:
+            found = None
+            for char in word:
+                found = by_start.get(at, found)
+                at += at < last and text[at] == char
+                at += at < last and text[at] == " "
+            out.append(found)
+        return out
+
+    return pd.Series([None if s is None else one(w, t, s) for w, t, s in zip(tokens, texts, starts)])
+
+
 ALIGNED = "array<struct<token_id:int,token_text:string,cui:string,preferred:string,sem_type:string,tui:string,type_name:string,group:string>>"
 
 
@@ -133,47 +152,25 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
         "_np": F.size(white_tokens(F.col(predicate))),
     })
     work = settle(work, "_tokens", "_ns", "_np")
-    # The walk's inputs travel in the fold state, so they are computed once per sentence.
-    fixed_inputs = lambda acc: [acc["chars"].alias("chars"), acc["starts"].alias("starts")]
-
-    def step(acc, ch):
-        here = F.array_position(acc["starts"], acc["at"])
-        last = F.size(acc["chars"]) - 1
-        found = F.when(here > 0, (F.size(acc["starts"]) - here).cast("int")).otherwise(acc["found"])
-        moved = acc["at"] + F.when((F.get(acc["chars"], acc["at"]) == ch) & (acc["at"] < last), 1).otherwise(0)
-        past = moved + F.when((F.get(acc["chars"], moved) == " ") & (moved < last), 1).otherwise(0)
-        return F.struct(past.cast("int").alias("at"), found.cast("int").alias("found"), *fixed_inputs(acc))
-
-    def token(acc, tok):
-        start = F.struct(acc["at"].alias("at"), F.lit(-1).alias("found"), *fixed_inputs(acc))
-        end = F.aggregate(F.split(tok, ""), start, step, lambda e: F.struct(e["at"], e["found"]))
-        # One element keeps (position, found) of the inner walk, so that it runs once per token.
-        walked = F.aggregate(F.array(end), F.struct(acc["at"].alias("at"), *fixed_inputs(acc), acc["buf"].alias("buf"), acc["done"].alias("done")),
-                             lambda a, e: F.struct(e["at"].alias("at"), *fixed_inputs(a), *grow(a, e["found"])))
-        return walked
-
-    zero = F.struct(
-        F.lit(0).alias("at"), F.split(F.col(text), "").alias("chars"),
-        F.reverse(F.transform(candidates, lambda c: c["start_pos"])).alias("starts"), *grown_zero("int"))
-    walk = F.aggregate("_tokens", zero, token, grown)
-    pairs = F.zip_with("_tokens", F.when(usable, walk), lambda t, f: F.struct(t.alias("token"), f.alias("found")))
-
-    def aligned(acc, x):
-        c = F.get(acc["cands"], F.nullif(x["found"], F.lit(-1)))
-        field = lambda name: F.coalesce(c[name], unknown).alias(name)
-        entry = F.struct(acc["n"].alias("token_id"), x["token"].alias("token_text"),
-                         *[field(n) for n in ["cui", "preferred", "sem_type", "tui", "type_name", "group"]])
-        return F.struct((acc["n"] + 1).alias("n"), acc["cands"].alias("cands"), *grow(acc, entry))
-
-    start = F.struct(F.lit(0).alias("n"), F.col(candidates).alias("cands"), *grown_zero(ALIGNED[len("array<"):-1]))
-    work = work.withColumn("_all", F.when(usable, F.aggregate(pairs, start, aligned, grown)).otherwise(empty))
-    work = settle(work, "_all")
+    starts = F.transform(candidates, lambda c: c["start_pos"])
+    work = work.withColumn("_found", F.when(usable, _walk("_tokens", text, starts)))
+    pairs = F.zip_with("_tokens", "_found", lambda t, f: F.struct(t.alias("token"), f.alias("found")))
+
+    def aligned(cands):
+        def one(x, i):
+            c = F.get(cands, x["found"])
+            field = lambda name: F.coalesce(c[name], unknown).alias(name)
+            return F.struct(i.cast("int").alias("token_id"), x["token"].alias("token_text"),
+                            *[field(n) for n in ["cui", "preferred", "sem_type", "tui", "type_name", "group"]])
+        return F.transform(pairs, one)
+
+    work = settle(work.withColumn("_all", F.when(usable, let(F.col(candidates), aligned)).otherwise(empty)), "_all")
     rest = F.greatest(F.size("_all") - F.col("_ns") - F.col("_np"), F.lit(0))
     return work.withColumns({
         "s_ext": F.slice("_all", F.lit(1), F.col("_ns")),
         "p_ext": F.slice("_all", F.col("_ns") + 1, F.col("_np")),
         "o_ext": F.slice("_all", F.col("_ns") + F.col("_np") + 1, rest),
-    }).drop("_tokens", "_ns", "_np", "_all")
+    }).drop("_tokens", "_ns", "_np", "_found", "_all")
 
 
 CONCEPT_COLUMNS = ["subject_cuis", "predicate_cuis", "object_cuis", "subject_text_cuis", "predicate_text_cuis", "object_text_cuis"]

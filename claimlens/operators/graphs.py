@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimlens import fixed
 from claimlens.cluster import running_total
 from claimlens.functions.inflect import verb_forms
-from claimlens.functions.text import bracket_list, fix_label
+from claimlens.functions.text import bracket_list, fix_label, let
 
 BE_FORMS = ["am", "are", "is", "was", "were", "been", "being"]
 HAVE_FORMS = ["has", "had", "having"]
@@ -61,15 +61,10 @@ UNIQUE_TYPES = ["sem_group", "sem_type", "sem_type_name"]
 
 def norm_nodes(tokens: Column, groups: Column, node_type: str, brackets: bool = True) -> Column:
     """Node labels of aligned tokens: known concepts in allowed groups, first token per concept."""
-    row = "struct<token_id:int,token_text:string,cui:string,preferred:string,sem_type:string,tui:string,type_name:string,group:string>"
-
-    def keep(acc, t):
-        take = F.array_contains(acc["groups"], t["group"]) & (t["cui"] != fixed.UNKNOWN) & ~F.array_contains(acc["seen"], t["cui"])
-        return F.struct(acc["groups"].alias("groups"), F.when(take, F.array_append(acc["seen"], t["cui"])).otherwise(acc["seen"]).alias("seen"),
-                        F.when(take, F.array_append(acc["kept"], t)).otherwise(acc["kept"]).alias("kept"))
-
-    zero = F.struct(groups.alias("groups"), F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{row}>").alias("kept"))
-    first = F.aggregate(tokens, zero, keep, lambda acc: acc["kept"])
+    usable = let(groups, lambda g: F.filter(tokens, lambda t: F.array_contains(g, t["group"]) & (t["cui"] != fixed.UNKNOWN)))
+    first_per_cui = lambda kept: let(F.transform(kept, lambda t: t["cui"]), lambda ids: F.filter(
+        kept, lambda t, i: F.array_position(ids, t["cui"]) == i + 1))
+    first = let(usable, first_per_cui)
     box = lambda *cols: F.concat(*[x for c in cols for x in (F.lit("["), c, F.lit("]"))])
     label = {
         "sem_group": lambda t: t["group"], "sem_type": lambda t: t["sem_type"], "sem_type_name": lambda t: t["type_name"],

@@ -169,7 +169,7 @@ def with_spo(df: DataFrame) -> DataFrame:
         "subject": fill(first), "predicate": fill(second), "object": fill(rest),
         "big_subject": fill(first), "big_predicate": fill(second), "big_object": fill(rest),
         "spo_type": fill(_pick(["given long", "sentence", "clause", "manually id"], pos % 4)),
-        "manually_identified_predicate": fill(F.when(pos % 2 == 0, second).otherwise(first)),
+        "manually_identified_predicate": fill(F.when(pos % 2 == 0, second).otherwise(F.get(words, F.lit(2)))),
     })
 
 
@@ -183,7 +183,7 @@ SPO_SQL = """spo AS (
     CASE WHEN has THEN w[1] ELSE '' END AS big_subject, CASE WHEN has THEN w[2] ELSE '' END AS big_predicate,
     CASE WHEN has THEN array_to_string(w[3:], ' ') ELSE '' END AS big_object,
     CASE WHEN has THEN (['given long','sentence','clause','manually id'])[pos % 4 + 1] ELSE '' END AS spo_type,
-    CASE WHEN has THEN (CASE WHEN pos % 2 = 0 THEN w[2] ELSE w[1] END) ELSE '' END AS manually_identified_predicate)
+    CASE WHEN has THEN (CASE WHEN pos % 2 = 0 THEN w[2] ELSE w[3] END) ELSE '' END AS manually_identified_predicate)
   FROM (SELECT *, len(w) >= 3 AND pos % 3 <> 2 AS has FROM (SELECT *, string_split(sentence, ' ') AS w FROM sentence)))"""
 
 
