@@ -83,7 +83,8 @@ def spo_clause(df: DataFrame, words: str = "words", out: str = "spo") -> DataFra
     ]
     df = settle(df, words)
     picks = [_last(F.col(words), t) for t in tests]
-    rests = [F.filter(words, lambda w, t=t: ~t(w)) for t in tests]
+    other = lambda test: lambda w: ~test(w)
+    rests = [F.filter(words, other(t)) for t in tests]
     df = df.withColumn("_p", F.coalesce(*picks))
     df = df.withColumn("_rest", F.when(picks[0].isNotNull(), rests[0]).when(picks[1].isNotNull(), rests[1]).otherwise(rests[2]))
     df = settle(df, "_p", "_rest").withColumn("_mine", F.filter("_rest", lambda w: w["head"] == F.col("_p.id")))
