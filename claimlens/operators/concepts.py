@@ -137,14 +137,17 @@ ALIGNED = "array<struct<token_id:int,token_text:string,cui:string,preferred:stri
 
 
 def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_subject", predicate: str = "predicate",
-                   obj: str = "big_object", candidates: str = "candidates") -> DataFrame:
+                   obj: str = "big_object", candidates: str = "candidates", where: Column | None = None) -> DataFrame:
     """Pairs every token of "subject predicate object" with the last concept passed while walking the sentence.
 
     Adds ``s_ext``, ``p_ext``, ``o_ext`` arrays; all empty when any input is empty. A character that does not
     match stays where it is, one blank is skipped after each step, and the last character is never passed.
+    ``where`` limits the walk to chosen rows; the others get empty arrays.
     """
     empty = F.expr(f"cast(array() as {ALIGNED})")
     usable = (F.size(candidates) > 0) & (F.col(subject) != "") & (F.col(predicate) != "") & (F.col(obj) != "")
+    if where is not None:
+        usable = usable & where
     unknown = F.lit(fixed.UNKNOWN)
     work = settle(df, candidates).withColumns({
         "_tokens": white_tokens(F.concat_ws(" ", subject, predicate, obj)),
@@ -153,7 +156,7 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
     })
     work = settle(work, "_tokens", "_ns", "_np")
     starts = F.transform(candidates, lambda c: c["start_pos"])
-    work = work.withColumn("_found", F.when(usable, _walk("_tokens", text, starts)))
+    work = work.withColumn("_found", _walk(F.when(usable, F.col("_tokens")), text, F.when(usable, starts)))
     pairs = F.zip_with("_tokens", "_found", lambda t, f: F.struct(t.alias("token"), f.alias("found")))
 
     def aligned(cands):
@@ -176,20 +179,22 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
 CONCEPT_COLUMNS = ["subject_cuis", "predicate_cuis", "object_cuis", "subject_text_cuis", "predicate_text_cuis", "object_text_cuis"]
 
 
-def assign_concepts(df: DataFrame, level: int, mode: str) -> DataFrame:
-    """Resets and writes the six concept text columns of sentences at a level; mode as in ``spo_pending``."""
-    at_level = (F.col("review_level") == level) & (F.col("skip_validations") == (mode == "external"))
-    wanted = at_level
-    if mode == "external":
-        wanted = wanted & (F.col("check_worthy_auto") == "FR") & ~F.col("predicate_not_found")
-    else:
-        wanted = wanted & updates.worthy(mode == "full")
+def assign_concepts(df: DataFrame, level: int, *modes: str) -> DataFrame:
+    """Resets and writes the six concept text columns of sentences at a level; modes as in ``spo_pending``."""
+    at_level, wanted = F.lit(False), F.lit(False)
+    for mode in modes:
+        here = (F.col("review_level") == level) & (F.col("skip_validations") == (mode == "external"))
+        if mode == "external":
+            chosen = (F.col("check_worthy_auto") == "FR") & ~F.col("predicate_not_found")
+        else:
+            chosen = updates.worthy(mode == "full")
+        at_level, wanted = at_level | here, wanted | (here & chosen)
     joined = lambda ext, field: F.array_join(F.transform(ext, lambda t: t[field]), " ")
     values = {}
     for part, ext in [("subject", "s_ext"), ("predicate", "p_ext"), ("object", "o_ext")]:
         values[f"{part}_cuis"] = joined(ext, "cui")
         values[f"{part}_text_cuis"] = joined(ext, "preferred")
-    out = align_concepts(df)
+    out = align_concepts(df, where=wanted)
     return out.withColumns({
         name: F.when(wanted, value).when(at_level, F.lit("")).otherwise(F.col(name)) for name, value in values.items()
     }).drop("s_ext", "p_ext", "o_ext")

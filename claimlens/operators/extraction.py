@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.cluster import materialise
 from claimlens.operators import concepts, lexicon, parsed, updates
 
 
@@ -23,22 +24,21 @@ def run_spo(sent: DataFrame, phrases: DataFrame, parse: Callable[[DataFrame], Da
     """Clears and fills the SPO columns, concepts and preliminary class for corpus then external sentences.
 
     ``parse`` turns (id, part_no, kind, part) rows into rows with dependency ``words``. Corpus and external
-    rows never meet, so both pass through each stage together. ``between`` may store the table between
-    stages (for example ``cluster.materialise``) to keep plans short on large inputs.
+    rows never meet, so both pass through each stage together. Each stage reads its input twice, so the table
+    is stored between stages (``between``, by default a table in the shared folder) instead of being computed
+    again; a lost executor then costs one re-read.
     """
-    keep = between or (lambda df: df)
+    keep = between or (lambda df: materialise(df, "extraction"))
     either = lambda level: updates.spo_pending(level, "corpus") | updates.spo_pending(level, "external")
     manual = lambda level: lexicon.manual_pending(level, "corpus") | lexicon.manual_pending(level, "external")
-    out = updates.clear_spos(sent, 5)
+    out = keep(updates.clear_spos(sent, 5))
     out = keep(lexicon.spo_given(out, phrases, either(5)))
     parts = parsed.reading_parts(out.where(either(5)).select("id", "sentence"))
     out = keep(_fill(out, parsed.spo_cascade(parse(parts))))
     out = keep(lexicon.spo_be_have(out, either(5)))
     out = lexicon.spo_manual(out, manual(5))
-    for mode in ("corpus", "external"):
-        out = concepts.assign_concepts(out, 5, mode)
+    out = concepts.assign_concepts(out, 5, "corpus", "external")
     out = updates.preliminary_class(updates.preliminary_class(out, False), True)
     out = lexicon.spo_manual(out, manual(6))
-    for mode in ("corpus", "external"):
-        out = concepts.assign_concepts(out, 6, mode)
+    out = concepts.assign_concepts(out, 6, "corpus", "external")
     return updates.mark_no_predicate(out, 5)

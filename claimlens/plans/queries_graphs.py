@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens import fixed
+from claimlens.cluster import materialise
 from claimlens.functions.inflect import verb_forms
 from claimlens.operators import concepts, counts, graphs, knowledge
 from claimlens.operators.selectors import item_selector
@@ -183,7 +184,7 @@ def l4(spark, d):
 SELECT 'edge' AS kind, edge_id, src AS a, rel AS b, dst AS c, CAST(new_sentence_id AS BIGINT) AS n FROM ord
 UNION ALL SELECT 'predicate', NULL, lower(predicate), NULL, NULL, count(*) FROM spo WHERE review_level = 9 AND NOT skip_validations AND predicate <> '' GROUP BY 3""")
 def l5(spark, d):
-    edges = graphs.number_edges(graphs.with_membership(sentence_triples(spark, d)))
+    edges = graphs.number_edges(materialise(graphs.with_membership(sentence_triples(spark, d)), "edges"))
     none = F.lit(None).cast("string")
     report = counts.predicate_counts(
         views.spo(spark, d).where("review_level = 9 and not skip_validations and predicate <> ''").select(F.lower("predicate").alias("norm_p")))

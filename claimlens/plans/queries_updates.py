@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimlens.cluster import materialise
 from claimlens.functions import text
 from claimlens.operators import articles, ingest, selectors, updates
 from claimlens.plans import views
@@ -237,7 +238,9 @@ LEFT JOIN v9 ON v9.item_id = i.id"""
 
 @register("F18", STEP_SQL)
 def f18(spark, d):
-    items, sentences = views.item(spark, d), _levelled(views.spo(spark, d))
+    used = ["item_id", "review_level", "skip_validations", "check_worthy", "check_worthy_auto", "manually_identified_predicate", "big_subject",
+            "big_predicate", "big_object", "sentence_class", "sentence_class_auto", "sentence_class_score_auto"]
+    items, sentences = views.item(spark, d), materialise(_levelled(views.spo(spark, d)).select(*used), "sentences")
     for step in (5, 7, 9, 10):
         items, sentences = articles.workflow_step(items, sentences, step)
     return items.select("id", "review_level", "item_class_4_auto", "item_class_auto")

@@ -345,23 +345,25 @@ CONCEPT_SQL = r"""concept AS (
 
 # --- tagged tokens and dependency rows by rule -------------------------------------------------------
 
-def tag_of(text):
-    low = F.lower(text)
+def tag_of(text, low):
+    """Rule tag of a word from its spelling and its lower-cased spelling."""
+    first = F.substring(text, 1, 1)
     return (
         F.when(low.isin("a", "an", "the", "le", "la", "der", "die", "el"), "DT")
         .when(low.isin("of", "in", "to", "de", "en"), "IN")
-        .when(low.rlike("ing$"), "VBG").when(low.rlike("ed$"), "VBN").when(low.rlike("es$"), "VBZ").when(low.rlike("ly$"), "RB")
-        .when(text.rlike("^[A-Z]"), "NNP").when(low.rlike("(al|ble)$"), "JJ").otherwise("NN")
+        .when(low.endswith("ing"), "VBG").when(low.endswith("ed"), "VBN").when(low.endswith("es"), "VBZ").when(low.endswith("ly"), "RB")
+        .when((first >= "A") & (first <= "Z"), "NNP").when(low.endswith("al") | low.endswith("ble"), "JJ").otherwise("NN")
     )
 
 
 def tagged(spark, d, base=None):
     """Sentences with ``tokens``: array of (token, pos, dep, is_stop)."""
     runs = F.regexp_extract_all(F.col("sentence"), F.lit(r"(?U)\w+"), F.lit(0))
-    tok = F.transform(runs, lambda t, i: F.struct(
-        t.alias("token"), F.when(i % 5 == 4, "CC").otherwise(tag_of(t)).alias("pos"),
+    both = F.transform(runs, lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+    tok = F.transform(both, lambda w, i: F.struct(
+        w["t"].alias("token"), F.when(i % 5 == 4, "CC").otherwise(tag_of(w["t"], w["low"])).alias("pos"),
         F.when(i % 4 == 1, "nsubj").otherwise("dep").alias("dep"),
-        F.lower(t).isin(*STOP_WORDS).alias("is_stop")))
+        w["low"].isin(*STOP_WORDS).alias("is_stop")))
     return settle((base if base is not None else sentence(spark, d)).withColumn("tokens", tok), "tokens")
 
 
