@@ -71,7 +71,9 @@ def running_total(per_key: DataFrame, key: str, value: str, out: str) -> DataFra
     Keys are summed in blocks of 65,536 and blocks in groups of 65,536, so no window sees more rows
     than that for keys below 2^48 and no task sees the whole column.
     """
-    keyed = per_key.withColumn("_block", F.shiftright(F.col(key).cast("long"), 16))
+    # The same null filter on every branch lets Spark compute the per-key rows once and reuse their exchange.
+    block = F.shiftright(F.col(key).cast("long"), 16)
+    keyed = per_key.where(F.col(key).isNotNull() & block.isNotNull() & F.shiftright(block, 16).isNotNull()).withColumn("_block", block)
     blocks = keyed.groupBy("_block").agg(F.sum(value).alias("_bsum")).withColumn("_group", F.shiftright("_block", 16))
     groups = blocks.groupBy("_group").agg(F.sum("_bsum").alias("_gsum"))
 
