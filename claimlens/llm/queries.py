@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import knn, packing, warc
+from claimlens.llm import knn, licenses, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,16 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_best_fit_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@register("op1_bradley_terry_quality")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = quality.scored(docs, quality.train(docs, table(spark, folder, "labels")))
+    score = F.col("score")
+    return found.select(F.col("row.doc_id").alias("doc_id"), quality.held_out(F.col("row.doc_id")).alias("held_out"), score, F.when(score >= quality.CUT, 1).otherwise(0).alias("predicted"))
+
+
+@register("op7_license_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
