@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import knn, licenses, packing, quality, warc
+from claimlens.llm import decontamination, knn, licenses, lines, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,61 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @register("op7_license_rules")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{0}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')"
+
+
+@register("op5_benchmark_index", f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)
+),
+g AS (
+  SELECT doc_id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM p) WHERE len(w) >= k)
+),
+m AS (SELECT g.doc_id, g.i, g.k, p.item FROM g JOIN p USING (k, g)),
+h AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS w FROM m) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_SPLIT = r"regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{9}-\x{D}]+')"
+
+
+@register("op8_line_dedup", f"""
+WITH l AS (
+  SELECT doc_id, i, line, {_SPLIT} AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)
+),
+f AS (SELECT w, len(w) AS n, min({{'d': doc_id, 'i': i}}) AS o FROM l WHERE len(w) >= 5 GROUP BY w),
+k AS (
+  SELECT w, n, o, s, hash(s, m, list_slice(w, 1, m // 2)) AS half FROM (SELECT w, n, o, unnest([n, n - 1]) AS m, 'a' AS s FROM f WHERE n >= 10)
+  UNION ALL SELECT w, n, o, s, hash(s, m, list_slice(w, n - m // 2 + 1, n)) FROM (SELECT w, n, o, unnest([n, n - 1]) AS m, 'z' AS s FROM f WHERE n >= 10)
+),
+p AS (SELECT DISTINCT a.w AS v, a.n AS vn, b.w AS w, b.n AS n, b.o AS o FROM k a JOIN k b ON a.half = b.half AND a.o < b.o AND abs(a.n - b.n) <= 1),
+near AS (
+  SELECT DISTINCT o FROM p WHERE CASE
+    WHEN vn = n THEN len(list_filter(range(1, n + 1), lambda i: v[i] <> w[i])) = 1
+    WHEN vn < n THEN len(list_filter(range(1, n + 1), lambda i: list_concat(list_slice(w, 1, i - 1), list_slice(w, i + 1, n)) = v)) > 0
+    ELSE len(list_filter(range(1, vn + 1), lambda i: list_concat(list_slice(v, 1, i - 1), list_slice(v, i + 1, vn)) = w)) > 0 END
+),
+c AS (
+  SELECT l.doc_id, l.i, l.line, len(l.w) >= 5 AND {{'d': l.doc_id, 'i': l.i}} <> f.o AS equal_line, near.o IS NOT NULL AS near_line
+  FROM l LEFT JOIN f USING (w) LEFT JOIN near ON near.o = {{'d': l.doc_id, 'i': l.i}}
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE equal_line) AS n_equal, count(*) FILTER (WHERE near_line) AS n_near,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT coalesce(equal_line, false) AND NOT near_line), '') AS text
+FROM c GROUP BY doc_id
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup(table(spark, folder, "documents")).select("row.doc_id", "n_lines", "n_equal", "n_near", "text")
