@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontamination, knn, licenses, lines, packing, quality, warc
+from claimlens.llm import decontamination, jaccard, knn, licenses, lines, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,26 @@ FROM c GROUP BY doc_id
 """)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup(table(spark, folder, "documents")).select("row.doc_id", "n_lines", "n_equal", "n_near", "text")
+
+
+@register("op2_jaccard_signature_trees", """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x{20}\\x{9}-\\x{D}]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM (
+    SELECT x.doc_id AS p, y.doc_id AS q, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+  ) JOIN n a ON a.doc_id = p JOIN n b ON b.doc_id = q WHERE 100 * o >= 75 * (a.n + b.n - o)
+),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(root) AS c FROM r GROUP BY 1) USING (doc_id)
+""")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(table(spark, folder, "documents"))
