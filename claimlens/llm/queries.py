@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontamination, jaccard, knn, licenses, lines, packing, quality, warc
+from claimlens.llm import decontamination, jaccard, knn, licenses, lines, lm, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(root) AS c
 """)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
+
+
+@register("op3_recurrent_lm")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
