@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontamination, jaccard, knn, licenses, lines, lm, packing, quality, warc
+from claimlens.llm import decontamination, html, jaccard, knn, licenses, lines, lm, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,3 +159,8 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @register("op3_recurrent_lm")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score(table(spark, folder, "documents"))
+
+
+@register("op4_tag_path_extraction")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages")).select("row.page_id", "row.url", "text", "n_chars")
