@@ -134,7 +134,7 @@ def pieces(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
         if not stop:
             break
         tag, closing, at = name[1].lower(), page[mark + 1] == "/", stop
-        if tag not in INLINE and tag not in ("br", "wbr", "img"):
+        if tag not in INLINE and tag not in RAW and tag not in ("br", "wbr", "img"):
             flush()
         elif tag == "br":
             add(" ")
