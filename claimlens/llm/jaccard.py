@@ -1,16 +1,17 @@
 """Exact Jaccard join of word n-gram sets with signature trees.
 
-A document's set is a list of 64-bit n-gram hashes. By the prefix rule two linked sets share one of their first
-``n - ceil(t n) + 1`` elements in any common order; the order is by hash with frequent n-grams last. Documents with the same
-first element form leaves of bounded size. Leaves, components and groups of a shared element are searched by signature
-trees: nodes hold the OR of their members' bitmaps and their range of sizes, and two nodes are searched at once, going down
-only while the largest overlap that bitmaps and sizes allow could reach the threshold. Members that are already
-connected are passed over.
+A document's set is a list of 64-bit n-gram hashes. Documents with the same smallest element form the lowest nodes, which
+most near copies share. By the prefix rule two linked sets also share one of their first ``n - ceil(t n) + 1``
+elements in any common order; here by hash, with frequent n-grams last. So only nodes with a common prefix element
+are ever compared. Inside and between nodes the search goes down signature trees: tree nodes hold the OR of their
+members' bitmaps and their range of sizes, and two of them are searched at once, going down only while the largest overlap
+that bitmaps and sizes allow can reach the threshold.
 
 1. Equal sets become one representative.
-2. Leaves by the first element are searched, which connects most near copies; connected components become nodes.
-3. Nodes that share any prefix element and are not one component are paired; members of such pairs are compared by bitmaps
-   first, then exactly.
+2. Each node is searched by itself with full sets; large nodes in parts that all hold the node's first document.
+3. Pairs of nodes that share a prefix element, and large nodes with themselves, are searched by bitmaps; documents that step 2
+   has connected are passed over. What may be linked is checked with full sets, first one pair of every two components,
+   then what is left between components.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.cluster import materialise
-from claimlens.llm import words
+from claimlens.llm import blocks, words
+from claimlens.llm.blocks import first_of, groups
 from claimlens.llm.components import components
 
 SHINGLE = 5
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Members of a leaf at most; larger ones are cut, each part with the leaf's first member.
+#: Documents of a node searched with full sets at once; larger nodes are cut, each part with the node's first document.
 LEAF = 128
-#: Elements with more nodes than this are searched as a tree instead of pair by pair.
-WIDE = 24
+#: Documents of a node that travel or stay together when nodes are compared.
+PART = 512
+#: Elements of more nodes than this are searched by their documents instead of pairs of nodes.
+WIDE = 512
 #: One document in SAMPLE counts n-grams to put frequent ones last; the list has HOT entries at most. It orders, it drops nothing.
 SAMPLE = 32
 HOT = 200_000
@@ -66,9 +70,9 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Bits of the hashes' low ends, at least two per element, as bytes."""
+    """Bits of the hashes' low ends, at least four per element, as bytes."""
     bits = 64
-    while bits < 2 * len(hashes):
+    while bits < 4 * len(hashes):
         bits *= 2
     out = np.zeros(bits, dtype=np.uint8)
     out[(hashes & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -76,16 +80,17 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def fold(bits: np.ndarray, size: int) -> np.ndarray:
-    return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+    """Bitmaps (last axis: 64-bit words) brought to ``size`` words; a set bit stays set."""
+    return bits if bits.shape[-1] == size else np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, size), axis=-2)
 
 
-def popcount(bits: np.ndarray) -> int:
-    return int(np.bitwise_count(bits).sum())
+def popcount(bits: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits).sum(-1, dtype=np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two ascending sets reach the threshold."""
-    if percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
+    """Whether two ascending sets reach the threshold; an empty set is linked with nothing."""
+    if not len(a) or not len(b) or percent * max(len(a), len(b)) > 100 * min(len(a), len(b)):
         return False
     both = np.concatenate([a, b])
     both.sort()
@@ -94,51 +99,83 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 class Node:
-    """Some documents: OR of their bitmaps, range of sizes, largest number of elements that share a bit with another."""
+    """Some sets: OR of their bitmaps, range of sizes, and the most elements by which a set exceeds its bits."""
 
-    __slots__ = ("low", "high", "slack", "bits", "kids", "members")
-
-    def __init__(self, low, high, slack, bits, kids, members):
-        self.low, self.high, self.slack, self.bits, self.kids, self.members = low, high, slack, bits, kids, members
+    __slots__ = ("low", "high", "slack", "bits", "kids", "members", "sizes", "rows")
 
     @classmethod
-    def of(cls, member: int, size: int, bits: np.ndarray) -> Node:
-        return cls(size, size, size - popcount(bits), bits, (), [member])
+    def leaf(cls, members: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> Node:
+        self = cls()
+        self.low, self.high, self.slack = int(sizes.min()), int(sizes.max()), int((sizes - popcount(rows)).max())
+        self.bits, self.kids, self.members, self.sizes, self.rows = np.bitwise_or.reduce(rows, axis=0), (), members, sizes, rows
+        return self
 
     @classmethod
     def over(cls, kids: list[Node]) -> Node:
+        self = cls()
         least = min(len(k.bits) for k in kids)
-        folded = [fold(k.bits, least) for k in kids]
-        # with fewer bits more elements share one; for inner nodes only their sizes bound how many
-        slack = max(k.slack if len(k.bits) == least else k.high - (0 if k.kids else popcount(f)) for k, f in zip(kids, folded))
-        return cls(min(k.low for k in kids), max(k.high for k in kids), slack, np.bitwise_or.reduce(folded), kids, [m for k in kids for m in k.members])
+        self.low, self.high, self.kids = min(k.low for k in kids), max(k.high for k in kids), kids
+        # on fewer bits more elements may share one: then only the sizes say how many
+        self.slack = max(k.slack if len(k.bits) == least else k.high for k in kids)
+        self.bits = np.bitwise_or.reduce([fold(k.bits, least) for k in kids])
+        return self
 
     def may_link(self, other: Node, percent: int) -> bool:
         """Whether sizes and the largest possible overlap allow a link between members."""
         if percent * max(self.low, other.low) > 100 * min(self.high, other.high):
             return False
         least = min(len(self.bits), len(other.bits))
-        a, b = fold(self.bits, least), fold(other.bits, least)
-        common = popcount(a & b)
+        common = int(popcount(fold(self.bits, least) & fold(other.bits, least)))
         most = min(self.high, other.high)
-        if not self.kids and not other.kids:  # of a set, elements whose bit the other lacks are not shared
-            most = min(most, self.low - popcount(a) + common, other.low - popcount(b) + common)
-        else:
-            if len(a) == len(self.bits):
-                most = min(most, common + self.slack)
-            if len(b) == len(other.bits):
-                most = min(most, common + other.slack)
+        for side in (self, other):
+            if len(side.bits) == least:
+                most = min(most, common + side.slack)
         return (100 + percent) * most >= percent * (self.low + other.low)
 
 
-def tree(nodes: list[Node], fan: int = 8) -> Node:
-    """Groups neighbours in size until one node is left."""
-    nodes = sorted(nodes, key=lambda n: (len(n.bits), n.low))
+def tree(sizes: np.ndarray, bits: list[bytes], fan: int = 8, leaf: int = 32) -> Node:
+    """Signature tree of sets given by size and bitmap; neighbours in size and bitmap length come together."""
+    order = np.lexsort((sizes, [len(b) for b in bits]))
+    nodes, at = [], 0
+    while at < len(order):
+        upto = at + 1
+        while upto < len(order) and upto - at < leaf and len(bits[order[upto]]) == len(bits[order[at]]):
+            upto += 1
+        own = order[at:upto]
+        nodes.append(Node.leaf(own, sizes[own], np.stack([np.frombuffer(bits[i], dtype=np.uint64) for i in own])))
+        at = upto
     while len(nodes) > 1:
         nodes = [Node.over(nodes[i : i + fan]) if len(nodes[i : i + fan]) > 1 else nodes[i] for i in range(0, len(nodes), fan)]
     return nodes[0]
 
 
+def search(x: Node, y: Node, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Dual traversal: members of x and y (arrays i, j) that pass every bound, with their largest possible overlap."""
+    todo = [(x, y)]
+    while todo:
+        x, y = todo.pop()
+        if x is y and x.kids:
+            todo += [(a, b) for n, a in enumerate(x.kids) for b in x.kids[n:]]
+        elif x is not y and not x.may_link(y, percent):
+            continue
+        elif x.kids or y.kids:
+            # the larger one opens
+            todo += [(k, y) for k in x.kids] if x.kids and (not y.kids or x.high >= y.high) else [(x, k) for k in y.kids]
+        else:
+            least = min(x.rows.shape[1], y.rows.shape[1])
+            a, b = fold(x.rows, least), fold(y.rows, least)
+            common = popcount(a[:, None, :] & b[None, :, :])
+            n, m = x.sizes[:, None], y.sizes[None, :]
+            # elements whose bit the other set lacks are not shared
+            most = np.minimum(n - popcount(a)[:, None] + common, m - popcount(b)[None, :] + common)
+            good = (percent * np.maximum(n, m) <= 100 * np.minimum(n, m)) & ((100 + percent) * most >= percent * (n + m))
+            if x is y:
+                good &= np.tri(len(good), k=-1, dtype=bool)
+            i, j = np.nonzero(good)
+            if len(i):
+                yield x.members[i], y.members[j], most[i, j]
+
+
 class Sets:
     """Disjoint sets of member numbers."""
 
@@ -155,50 +192,6 @@ class Sets:
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
 
-    def one(self, members: list[int], more: list[int]) -> bool:
-        root = self.root(members[0])
-        return all(self.root(m) == root for m in members) and all(self.root(m) == root for m in more)
-
-
-def search(x: Node, y: Node, sets: Sets, percent: int, hit) -> None:
-    """Dual traversal: calls ``hit`` for member pairs that pass every bound and are not connected yet."""
-    todo = [(x, y)]
-    while todo:
-        x, y = todo.pop()
-        if x is y:
-            kids = x.kids
-            todo += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids)) if i != j or kids[i].kids]
-            continue
-        if sets.one(x.members, y.members) or not x.may_link(y, percent):
-            continue
-        if not x.kids and not y.kids:
-            hit(x.members[0], y.members[0])
-        elif not y.kids or (x.kids and len(x.members) >= len(y.members)):
-            todo += [(k, y) for k in x.kids]
-        else:
-            todo += [(x, k) for k in y.kids]
-
-
-def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
-    """Complete groups of rows that come sorted by ``key``; one group at a time is held besides the current batch."""
-    rest = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        if not t.num_rows:
-            continue
-        change = np.zeros(t.num_rows, dtype=bool)
-        change[0] = True
-        for c in key:
-            v = t[c].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        at = np.flatnonzero(change)
-        for i, j in zip(at[:-1], at[1:]):
-            yield t.slice(i, j - i)
-        rest = t.slice(at[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
-
 
 def _usable(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -219,7 +212,7 @@ def hot_shingles(docs: DataFrame, sample: int = SAMPLE, most: int = HOT) -> np.n
 
 
 def signatures(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, a, b, bits, prefix): set size, two hashes of the set, bitmap and prefix elements (48 bits each) of every document."""
+    """(doc_id, n, a, b, leaf, bits, prefix): set size, two hashes of the set, its node, bitmap and prefix elements (48 bits each)."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)  # HOT hashes at most
 
     def batches(it):
@@ -239,10 +232,12 @@ def signatures(docs: DataFrame, hot: np.ndarray, percent: int = PERCENT) -> Data
                 packed = np.ascontiguousarray((ordered[keep] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
                 bits = [bitmap(grams[cuts[i] : cuts[i + 1]]).tobytes() if n[i] else b"" for i in range(hi - lo)]
                 ends = np.concatenate([[0], np.cumsum(prefix_length(n, percent))]) * 6
+                leaf = np.zeros(hi - lo, dtype=np.int64)  # the smallest element, 40 bits of it
+                leaf[n > 0] = (grams[cuts[:-1][n > 0]] >> np.uint64(24)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n.astype(np.int64)), one, two, pa.array(bits, pa.binary()), words.binary(packed.reshape(-1), ends)], ["doc_id", "n", "a", "b", "bits", "prefix"])
+                    [ids, pa.array(n.astype(np.int64)), one, two, pa.array(leaf), pa.array(bits, pa.binary()), words.binary(packed.reshape(-1), ends)], ["doc_id", "n", "a", "b", "leaf", "bits", "prefix"])
 
-    return _usable(docs).mapInArrow(batches, "doc_id long, n long, a long, b long, bits binary, prefix binary")
+    return _usable(docs).mapInArrow(batches, "doc_id long, n long, a long, b long, leaf long, bits binary, prefix binary")
 
 
 def elements(prefix: bytes) -> np.ndarray:
@@ -252,24 +247,20 @@ def elements(prefix: bytes) -> np.ndarray:
 
 
 def _leaf_links(docs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links inside the leaf parts (leaf, part, doc_id)."""
+    """(a, b): enough links inside the parts (leaf, part, doc_id) to connect what is linked there."""
 
     def batches(it):
         for t in groups(it, ["leaf", "part"]):
             ids = t["doc_id"].to_numpy()
             sets = [g[c[i] : c[i + 1]] for _, _, c, g in shingle_runs(t["text"]) for i in range(len(c) - 1)]
-            links = []
-            known = Sets(len(ids))
-
-            def hit(i, j):
-                if linked(sets[i], sets[j], percent):
-                    known.join(i, j)
-                    links.append((ids[i], ids[j]))
-
-            nodes = [Node.of(i, len(s), bitmap(s)) for i, s in enumerate(sets) if len(s)]
-            if len(nodes) > 1:
-                root = tree(nodes)
-                search(root, root, known, percent, hit)
+            known, links = Sets(len(ids)), []
+            if len(ids) > 1:
+                root = tree(np.array([len(x) for x in sets]), [bitmap(x).tobytes() for x in sets])
+                for left, right, _ in search(root, root, percent):
+                    for i, j in zip(left.tolist(), right.tolist()):
+                        if known.root(i) != known.root(j) and linked(sets[i], sets[j], percent):
+                            known.join(i, j)
+                            links.append((ids[i], ids[j]))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
@@ -277,104 +268,115 @@ def _leaf_links(docs: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     return texts.repartition("leaf", "part").sortWithinPartitions("leaf", "part").mapInArrow(batches, "a long, b long")
 
 
-def _node_pairs(marked: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes that share a prefix element: as pairs (a, b), and as (element, node) rows where many nodes share one."""
+_POSTING = np.dtype([("element", "V6"), ("node", "V5")])
+
+
+def _node_pairs(table: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes that share a prefix element: as pairs (a, b), and as (element, node) rows where very many share one."""
+
+    def low_bytes(values: np.ndarray, n: int) -> np.ndarray:
+        return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :n]).view(f"V{n}").reshape(-1)
+
+    def wide(values: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((len(values), 8), dtype=np.uint8)
+        out[:, :n] = np.ascontiguousarray(values).view(np.uint8).reshape(-1, n)
+        return out.view(np.int64).reshape(-1)
+
+    def unique(element: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((node, element))
+        element, node = element[order], node[order]
+        new = first_of(element, node)
+        return element[new], node[new]
 
     def deal(it):
-        """Postings of a batch by bucket of the element, each (element, node) once."""
         for b in it:
-            nodes = b["node"].to_numpy()
             parts = [elements(p) for p in b["prefix"].to_pylist()]
-            token = np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
-            node = np.repeat(nodes, [len(p) for p in parts])
-            order = np.lexsort((node, token, token % np.uint64(buckets)))
-            token, node = token[order], node[order]
-            new = np.ones(len(token), dtype=bool)
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node = token[new], node[new]
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(token) else np.empty(0, dtype=np.int64)
-            six = np.ascontiguousarray(token.view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1)
-            ends = np.append(cuts, len(token))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), words.binary(six, ends * 6), words.binary(node, ends)], ["bucket", "tokens", "nodes"])
-
-    def meet(it):
-        for t in groups(it, ["bucket"]):
-            token = np.concatenate([elements(x) for x in t["tokens"].to_pylist()])
-            node = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in t["nodes"].to_pylist()])
-            order = np.lexsort((node, token))
-            token, node = token[order], node[order]
-            new = np.ones(len(token), dtype=bool)
-            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node = token[new], node[new]
-            start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            count = np.diff(np.append(start, len(token)))
-            a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
-            for size in np.unique(count[(count > 1) & (count <= WIDE)]):
-                rows = node[start[count == size][:, None] + np.arange(size)]
-                i, j = np.triu_indices(size, 1)
-                a.append(rows[:, i].reshape(-1))
-                b.append(rows[:, j].reshape(-1))
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            wide = np.repeat(count > WIDE, count)
-            none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none], ["a", "b", "element"])
-            yield pa.RecordBatch.from_arrays([pa.array(node[wide]), pa.nulls(int(wide.sum()), pa.int64()), pa.array(token[wide].view(np.int64))], ["a", "b", "element"])
-
-    dealt = marked.select("node", "prefix").mapInArrow(deal, "bucket int, tokens binary, nodes binary")
-    met = materialise(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, element long"), "node-pairs")
+            element = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, dtype=np.int64)
+            element, node = unique(element, np.repeat(b["leaf"].to_numpy(), [len(p) for p in parts]))
+            out = np.empty(len(element), dtype=_POSTING)
+            out["element"], out["node"] = low_bytes(element, 6), low_bytes(node, 5)
+            yield blocks.pack("posting", element % buckets, out)
+
+    def each(t: pa.Table):
+        x = blocks.unpack(t, "posting", _POSTING)
+        element, node = unique(wide(x["element"], 6), wide(x["node"], 5))
+        start = np.flatnonzero(first_of(element))
+        count = np.diff(np.append(start, len(element)))
+        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for size in np.unique(count[(count > 1) & (count <= WIDE)]):
+            i, j = np.triu_indices(size, 1)
+            for at in np.array_split(start[count == size], max(1, (count == size).sum() * len(i) // 2_000_000)):
+                rows = node[at[:, None] + np.arange(size)]
+                pairs = np.unique(np.stack([rows[:, i].reshape(-1), rows[:, j].reshape(-1)], axis=1), axis=0)
+                a.append(pairs[:, 0])
+                b.append(pairs[:, 1])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+        many = np.repeat(count > WIDE, count)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], ["a", "b", "element"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[many]), pa.nulls(int(many.sum()), pa.int64()), pa.array(element[many])], ["a", "b", "element"])
+
+    met = materialise(blocks.meet(table.select("leaf", "prefix").mapInArrow(deal, blocks.BLOCK), buckets, each, "a long, b long, element long"), "node-pairs")
     return met.where("element is null").select("a", "b").distinct(), met.where("element is not null").select("element", F.col("a").alias("node"))
 
 
-def _wide_pairs(wide: DataFrame, members: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """(a, b) members of elements that many nodes share, by trees; large groups are cut into blocks that meet pairwise."""
-    sized = wide.join(wide.groupBy("element").count(), "element").withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("element", "node", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    full = dealt.join(members.select("node", "doc_id", "n", "bits"), "node").select("element", "x", "y", "own", "node", "doc_id", "n", "bits")
-
-    def batches(it):
-        for t in groups(it, ["element", "x", "y"]):
-            ids, node, own = t["doc_id"].to_numpy(), t["node"].to_numpy(), t["own"].to_numpy()
-            nodes = [Node.of(i, n, np.frombuffer(bits, dtype=np.uint8)) for i, (n, bits) in enumerate(zip(t["n"].to_pylist(), t["bits"].to_pylist()))]
-            known, found = Sets(len(ids)), []
-            order = np.argsort(node, kind="stable")
-            for i, j in zip(order[:-1], order[1:]):
-                if node[i] == node[j]:
-                    known.join(int(i), int(j))
-            x, y = t["x"][0].as_py(), t["y"][0].as_py()
-            sides = [[k for k, o in zip(nodes, own) if o == side] for side in (x, y)]
-            if sides[0] and sides[1]:
-                left = tree(sides[0])
-                search(left, left if x == y else tree(sides[1]), known, percent, lambda i, j: found.append((ids[i], ids[j])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], ["a", "b"])
+_MAYBE = "a long, b long, a_root long, b_root long, most long"
 
-    return full.repartition("element", "x", "y").sortWithinPartitions("element", "x", "y").mapInArrow(batches, "a long, b long")
 
+def _compare(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Pairs of documents of different components that bitmaps and sizes let be linked.
 
-def _member_pairs(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) members of paired nodes whose bitmaps and sizes allow a link."""
-    side = lambda s: members.select(F.col("node").alias(s), F.col("doc_id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
+    ``rows`` are (key, side, doc_id, root, n, bits); in a group side 0 is compared with side 1, and side 2 with itself.
+    """
 
     def batches(it):
-        for b in it:
-            keep = []
-            for n, x, m, y in zip(b["a_n"].to_pylist(), b["a_bits"].to_pylist(), b["b_n"].to_pylist(), b["b_bits"].to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-                least = min(len(x), len(y))
-                x, y = fold(x, least), fold(y, least)
-                common = popcount(x & y)
-                keep.append((100 + percent) * min(n - popcount(x) + common, m - popcount(y) + common) >= percent * (n + m))
-            yield b.select(["a_id", "b_id"]).filter(pa.array(keep, pa.bool_()))
-
-    sizes = F.lit(percent) * F.greatest("a_n", "b_n") <= 100 * F.least("a_n", "b_n")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes)
-    return both.select("a_id", "a_n", "a_bits", "b_id", "b_n", "b_bits").mapInArrow(batches, "a_id long, b_id long").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+        for t in groups(it, key):
+            side, ids, root = t["side"].to_numpy(), t["doc_id"].to_numpy(), t["root"].to_numpy()
+            n, bits = t["n"].to_numpy(), t["bits"].to_pylist()
+            found = []
+            trees = {s: (own, tree(n[own], [bits[i] for i in own])) for s in (0, 1, 2) if len(own := np.flatnonzero(side == s))}
+            for s, r in ((0, 1), (2, 2)):
+                if s in trees and r in trees:
+                    for i, j, most in search(trees[s][1], trees[r][1], percent):
+                        i, j = trees[s][0][i], trees[r][0][j]
+                        new = root[i] != root[j]
+                        found.append(np.stack([ids[i], ids[j], root[i], root[j], most], axis=1)[new])
+            if found:
+                out = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(5)], ["a", "b", "a_root", "b_root", "most"])
+
+    return rows.repartition(*key).sortWithinPartitions(*key).select(*key, "side", "doc_id", "root", "n", "bits").mapInArrow(batches, _MAYBE)
+
+
+def _between(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Candidates of paired nodes: the larger node stays in parts, the documents of the smaller one visit them."""
+    sizes = members.groupBy("node").agg(F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    side = lambda s: sizes.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("m", "low", "high")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.lit(percent) * F.greatest("a_low", "b_low") <= 100 * F.least("a_high", "b_high"))
+    swap = F.col("b_m") > F.col("a_m")
+    own = sizes.where(F.col("m") > LEAF).select(F.col("node").alias("x"), F.col("node").alias("y"), F.col("m").alias("x_m"), F.col("m").alias("y_m"))
+    both = both.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y"), F.greatest("a_m", "b_m").alias("x_m"), F.least("a_m", "b_m").alias("y_m"))
+    both = materialise(both.unionByName(own), "size-pairs")
+    # parts of the staying node, and groups of its visitors
+    plan = both.groupBy("x").agg(F.ceil(F.max("x_m") / PART).cast("int").alias("parts"), F.ceil(F.sum("y_m") / (4 * PART)).cast("int").alias("turns"))
+    cut = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    columns = ["x", "part", "turn", "side", "doc_id", "root", "n", "bits"]
+    stay = members.join(plan, members["node"] == plan["x"]).select("x", cut("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("side"), "doc_id", "root", "n", "bits")
+    visit = both.select("x", "y").join(plan, "x").join(members, F.col("y") == members["node"])
+    visit = visit.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), cut("turns").alias("turn"), F.lit(1).alias("side"), "doc_id", "root", "n", "bits")
+    return _compare(stay.select(columns).unionByName(visit.select(columns)), ["x", "part", "turn"], percent)
+
+
+def _among(wide: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Candidates of the nodes that share one very common element: their documents in blocks that meet pairwise."""
+    full = wide.join(members, "node").select("element", "doc_id", "root", "n", "bits")
+    sized = full.join(full.groupBy("element").agg(F.ceil(F.count("*") / (2 * PART)).cast("int").alias("parts")), "element")
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    rows = sized.select("element", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "doc_id", "root", "n", "bits")
+    return _compare(rows, ["element", "x", "y"], percent)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The (a, b) pairs whose full sets reach the threshold."""
 
     def batches(it):
@@ -383,9 +385,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             right = [g[c[i] : c[i + 1]] for _, _, c, g in shingle_runs(b["other"]) for i in range(len(c) - 1)]
             yield b.select(["a", "b"]).filter(pa.array([linked(x, y, percent) for x, y in zip(left, right)], pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialise(_usable(docs).join(ids, "doc_id"), "pair-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+    both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), "text"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
     return both.select("a", "b", "text", "other").mapInArrow(batches, "a long, b long")
 
 
@@ -399,29 +399,35 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     table = materialise(signatures(docs, hot_shingles(docs), percent), "signatures")
     full = table.where("n > 0 and doc_id is not null")
     same = full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
-    alike = full.select("doc_id", "n", "a", "b").join(same, ["n", "a", "b"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    chosen = full.join(same.select(F.col("first").alias("doc_id"), "n", "a", "b"), ["doc_id", "n", "a", "b"], "left_semi").dropDuplicates(["doc_id", "n", "a", "b"])
-    sets = materialise(chosen.select("doc_id", "n", "bits", "prefix", F.substring("prefix", 1, 6).alias("leaf")), "sets")
-
-    sizes = sets.groupBy("leaf").agg(F.count("*").alias("m"), F.min("doc_id").alias("first")).where("m > 1")
-    parts = sets.select("doc_id", "leaf").join(sizes, "leaf").withColumn("parts", F.ceil(F.col("m") / LEAF).cast("int"))
-    parts = parts.withColumn("centre", F.col("doc_id") == F.col("first"))
-    own = F.when(F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
-    leaves = parts.select("doc_id", F.conv(F.hex("leaf"), 16, 10).cast("long").alias("leaf"), F.explode(own).alias("part"))
+    slim = full.select("doc_id", "n", "a", "b")
+    alike = materialise(slim.join(same, ["n", "a", "b"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "equal-sets")
+    # one row per different set; an id with several sets has several
+    reps = full.select("doc_id", "n", "a", "b", "leaf", "bits").join(same.select(F.col("first").alias("doc_id"), "n", "a", "b"), ["doc_id", "n", "a", "b"], "left_semi").dropDuplicates(["doc_id", "n", "a", "b"])
+    reps = materialise(reps.select(F.col("leaf").alias("node"), "doc_id", "n", "bits"), "sets")
+
+    sizes = reps.groupBy("node").agg(F.count("*").alias("m"), F.min("doc_id").alias("first")).where("m > 1")
+    parts = reps.select("doc_id", F.col("node").alias("leaf")).join(sizes.withColumnRenamed("node", "leaf"), "leaf").withColumn("parts", F.ceil(F.col("m") / LEAF).cast("int"))
+    part = F.when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+    leaves = parts.select("doc_id", "leaf", F.explode(part).alias("part")).distinct()
     near = materialise(_leaf_links(docs, leaves, percent), "leaf-links")
 
-    known = alike.unionByName(near)
-    nodes = components(known)
-    marked = sets.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("node", F.coalesce("root", "doc_id"))
-    postings = sets.agg(F.sum(F.octet_length("prefix") / 6)).first()[0] or 0
-    pairs, wide = _node_pairs(marked, max(8, int(postings // _BUCKET_POSTINGS)))
-    members = materialise(marked.select("node", "doc_id", "n", "bits"), "members")
-    maybe = _member_pairs(pairs, members, percent).unionByName(_wide_pairs(wide, members, percent))
-    maybe = materialise(maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "maybe")
-    more = materialise(_verified(docs, maybe, percent), "links")
-
-    edges = nodes.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
+    nodes = components(near)
+    members = materialise(reps.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "members")
+    postings = full.agg(F.sum(F.octet_length("prefix") / 6)).first()[0] or 0
+    pairs, wide = _node_pairs(full, max(8, int(postings // _BUCKET_POSTINGS)))
+    maybe = materialise(_between(pairs, members, percent).unionByName(_among(wide, members, percent)), "maybe")
+    ids = maybe.select(F.col("a").alias("doc_id")).unionByName(maybe.select(F.col("b").alias("doc_id"))).distinct()
+    texts = materialise(_usable(docs).join(ids, "doc_id"), "pair-texts")
+
+    # the likeliest pair of every two components, then all pairs that still lie between components
+    low, high = F.least("a_root", "b_root"), F.greatest("a_root", "b_root")
+    best = maybe.groupBy(low.alias("x"), high.alias("y")).agg(F.max(F.struct("most", "a", "b")).alias("best")).select("best.a", "best.b")
+    edges = nodes.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(materialise(_verified(best, texts, percent), "links"))
     roots = components(edges)
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_now"))
+    left = maybe.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_now", "a") != F.coalesce("b_now", "b"))
+    edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(materialise(_verified(left, texts, percent), "links"))
+    roots = components(edges.unionByName(alike))
     found = table.select("doc_id", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
