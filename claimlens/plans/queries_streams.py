@@ -12,15 +12,41 @@ from claimlens.plans.views import with_views
 from claimlens.streaming import ingest
 
 
-@register("R1", with_views("posts") + "SELECT DISTINCT id_str, user_id_str, full_text, '2024-03-01' AS crawl_date FROM posts")
-def r1(spark, d):
-    source, target = shared_path(spark, "incoming"), shared_path(spark, "posts")
+def _post_users(posts):
+    """User rows of posts; the given tables know the users' numbers only, so the rest is derived from them."""
+    user = F.col("user_id_str")
+    number = user.cast("long")
+    return posts.select(
+        user.alias("id_str"), F.concat(F.lit("user "), user).alias("name"), F.concat(F.lit("u"), user).alias("screen_name"), F.lit("").alias("location"), F.lit("").alias("description"),
+        (number * 3).alias("followers_count"), (number * 2).alias("friends_count"), F.lit(0).alias("listed_count"), number.alias("favourites_count"), (number + 7).alias("statuses_count"),
+        F.lit("2020-01-01").alias("created_at"), (number % 2 == 0).alias("verified"), "crawl_date", F.lit("dropped").alias("other"))
+
+
+def _ingested(spark, d):
+    """Three runs over a growing folder: later posts, then much older ones as well, then nothing new."""
+    source, posts, users, offsets = (shared_path(spark, x) for x in ("incoming", "posts", "users", "offsets"))
     batch = views.posts(spark, d)
-    batch.write.parquet(source)
-    for run in range(2):  # the second run sees the same files again and must add nothing
+    late = F.col("turn") % 3 == 0
+    old = batch.withColumn("created_at", F.when(late, F.col("created_at") - F.expr("INTERVAL 400 DAYS")).otherwise(F.col("created_at")))
+    for part in (old.where(~late), old, None):
+        if part is not None:
+            part.write.mode("append").parquet(source)
         stream = ingest.read_posts(spark, source, batch.schema)
-        ingest.ingest_posts(stream, target, shared_path(spark, "offsets"), crawl_date="2024-03-01").awaitTermination()
-    return spark.read.parquet(target).select("id_str", "user_id_str", "full_text", "crawl_date")
+        ingest.ingest_posts(stream, posts, offsets, crawl_date="2024-03-01", users_path=users, users=_post_users).awaitTermination()
+    return spark.read.parquet(posts), spark.read.parquet(users)
+
+
+@register("R1", with_views("posts") + """SELECT DISTINCT id_str, user_id_str, full_text, '2024-03-01' AS crawl_date,
+  CAST(epoch(created_at) AS BIGINT) - CASE WHEN turn % 3 = 0 THEN 400 * 86400 ELSE 0 END AS created FROM posts""")
+def r1(spark, d):
+    return _ingested(spark, d)[0].select("id_str", "user_id_str", "full_text", "crawl_date", F.unix_timestamp("created_at").alias("created"))
+
+
+@register("R1_users", with_views("posts") + """SELECT DISTINCT user_id_str AS id_str, 'user ' || user_id_str AS name, 'u' || user_id_str AS screen_name, '' AS location, '' AS description,
+  CAST(user_id_str AS BIGINT) * 3 AS followers_count, CAST(user_id_str AS BIGINT) * 2 AS friends_count, 0 AS listed_count, CAST(user_id_str AS BIGINT) AS favourites_count,
+  CAST(user_id_str AS BIGINT) + 7 AS statuses_count, '2020-01-01' AS created_at, CAST(user_id_str AS BIGINT) % 2 = 0 AS verified, '2024-03-01' AS crawl_date FROM posts""")
+def r1_users(spark, d):
+    return _ingested(spark, d)[1].drop("bucket")
 
 
 @register("R3", with_views("sentence") + """

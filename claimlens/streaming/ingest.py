@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from claimlens.operators.ingest import new_rows
+from claimlens.operators.ingest import new_rows, shape_user
 
 
 def read_posts(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -20,29 +20,44 @@ def read_posts(spark: SparkSession, path: str, schema: StructType, files_per_bat
     return reader.parquet(path)
 
 
-def unseen(stream: DataFrame, key: str, time: str, delay: str = "7 days") -> DataFrame:
-    """First sight of each key within the delay; state older than the watermark is dropped."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+BUCKETS = 256
 
 
-def ingest_posts(stream: DataFrame, posts_path: str, checkpoint: str, key: str = "id_str", time: str = "created_at",
-                 delay: str = "7 days", crawl_date: str | None = None) -> StreamingQuery:
-    """Appends unseen posts to a table, stamped with the crawl time.
+def append_unseen(rows: DataFrame, path: str, key: str) -> None:
+    """Adds the rows whose key the table does not hold, one per key.
 
-    Keys repeated within the delay are dropped by state; keys stored by earlier runs by an anti join in each
-    batch. A batch that is replayed after a failure finds its rows in the table and adds none.
+    The table is partitioned by a hash of the key; only the partitions that the batch touches are read.
+    """
+    spark = rows.sparkSession
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    if table_exists(spark, path):
+        touched = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # BUCKETS at most
+        stored = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(key)
+    else:
+        stored = dealt.select(key).where("false")
+    new_rows(dealt, stored, [key]).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def ingest_posts(stream: DataFrame, posts_path: str, checkpoint: str, key: str = "id_str", crawl_date: str | None = None,
+                 users_path: str | None = None, users: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Appends unseen posts, and their unseen users, to tables, stamped with the crawl time.
+
+    However old a post is, it is stored if its key is not. ``users`` makes user rows (``id_str`` first) of a batch of
+    posts. A batch that is replayed after a failure finds its rows in the tables and adds none.
     """
-    spark = stream.sparkSession
     stamp = F.lit(crawl_date) if crawl_date else F.current_timestamp().cast("string")
-    fresh = unseen(stream, key, time, delay).withColumn("crawl_date", stamp)
 
     def append(batch: DataFrame, _: int) -> None:
-        rest = batch
-        if table_exists(spark, posts_path):
-            rest = new_rows(batch, spark.read.parquet(posts_path), [key])
-        rest.write.mode("append").parquet(posts_path)
-
-    return fresh.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        rows = batch.withColumn("crawl_date", stamp)
+        rows.persist()
+        try:
+            append_unseen(rows, posts_path, key)
+            if users_path and users:
+                append_unseen(shape_user(users(rows)), users_path, "id_str")
+        finally:
+            rows.unpersist()
+
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
