@@ -174,7 +174,7 @@ def _dump(spark, d):
 
 
 def _wiki_sql(e):
-    for pattern, put in text.MARKUP_RULES:
+    for pattern, put in fixed.MARKUP_RULES:
         e = f"regexp_replace({e}, '{pattern}', '{put.replace('$1', chr(92) + '1')}', 'g')"
     return f"regexp_replace(' ' || {e} || ' ', '[^A-Za-z0-9]+', ' ', 'g')"
 
@@ -193,13 +193,12 @@ CUT = 250000
 
 
 @register("T19", f"""
-SELECT doc_id, decode(encode(text)[1:greatest(least({CUT} - before, strlen(text)), 0)]) AS text FROM (
-  SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text,
-    coalesce(sum(strlen(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM documents) WHERE before < {CUT} AND strlen(text) > 0""")
+SELECT doc_id, CASE WHEN before + strlen(text) <= {CUT} THEN text
+  ELSE left(text, list_max(list_filter(range(0, length(text) + 1), lambda k: strlen(left(text, k)) <= {CUT} - before))) END AS text FROM (
+  SELECT doc_id, text, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM documents) WHERE before < {CUT}""")
 def t19(spark, d):
-    plain = views.documents(spark, d).select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
-    return texts.head_bytes(plain, "doc_id", "text", CUT).where("text <> ''").select("doc_id", "text")
+    return texts.head_bytes(views.documents(spark, d).select("doc_id", "text"), "doc_id", "text", CUT)
 
 
 @register("T20", _sql(r"regexp_replace(replace(replace(substring(TEXT, 1, 50), '\n', ' '), '\t', ' '), '\s\s+', ' ', 'g')", "t"))
