@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterable
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, RegexTokenizer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.cluster import broadcast_if_small
 from claimlens.functions.text import decode_class
 from claimlens.operators.counts import class_weights
 
@@ -48,28 +49,33 @@ def select_features(model: Model, df: DataFrame, cap: int | None = None, feature
     return VectorSlicer(inputCol=features, outputCol=out, indices=sorted(chosen[:cap])).transform(df)
 
 
-def tfidf_stages(train: DataFrame, text: str = "text", vocabulary: int = 5000, out: str = "features") -> PipelineModel:
-    """Sparse TF-IDF with idf ``ln((1+n)/(1+df))+1`` and unit length. The vocabulary is limited by its size parameter."""
-    counted = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\w+", gaps=False, minTokenLength=2),
-        CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=vocabulary),
-    ]).fit(train)
+def tfidf_stages(train: DataFrame, text: str = "text", width: int | None = None, out: str = "features") -> PipelineModel:
+    """Sparse TF-IDF with idf ``ln((1+n)/(1+df))+1`` and unit length, over every term of the training texts.
+
+    With ``width`` terms are hashed to so many columns; none is dropped, but some share a column.
+    """
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\w+", gaps=False, minTokenLength=2)
+    count = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width) if width else CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=2**31 - 1)
+    counted = Pipeline(stages=[words, count]).fit(train)
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted.transform(train)).idf.toArray() + 1
     scale = ElementwiseProduct(inputCol="_tf", outputCol="_scaled", scalingVec=Vectors.dense(idf))
     return PipelineModel(stages=[*counted.stages, scale, Normalizer(inputCol="_scaled", outputCol=out)])
 
 
-def text_classifier(train: DataFrame, classes: int, hidden: int = 100, seed: int = 70, vocabulary: int = 5000, iterations: int = 50,
+#: Columns of the hidden-layer head: its weights are dense, so terms are hashed to this width.
+HASH_WIDTH = 4096
+
+
+def text_classifier(train: DataFrame, classes: int, hidden: int = 100, seed: int = 70, width: int = HASH_WIDTH, iterations: int = 50,
                     weighted: bool = False) -> PipelineModel:
-    """Text to class probabilities: TF-IDF and one hidden layer, or weighted regression when classes are balanced."""
-    features = tfidf_stages(train, vocabulary=vocabulary)
+    """Text to class probabilities: hashed TF-IDF and one hidden layer, or weighted regression over all terms when classes are balanced."""
+    features = tfidf_stages(train, width=None if weighted else width)
     ready = features.transform(train)
     if weighted:
         weights = class_weights(train, "label").select("label", "weight")
-        head = LogisticRegression(weightCol="weight", maxIter=iterations).fit(ready.join(F.broadcast(weights), "label"))
+        head = LogisticRegression(weightCol="weight", maxIter=iterations).fit(ready.join(broadcast_if_small(weights), "label"))
     else:
-        size = len(features.stages[1].vocabulary)
-        head = MultilayerPerceptronClassifier(layers=[size, hidden, classes], seed=seed, maxIter=iterations).fit(ready)
+        head = MultilayerPerceptronClassifier(layers=[width, hidden, classes], seed=seed, maxIter=iterations).fit(ready)
     return PipelineModel(stages=[*features.stages, head])
 
 

@@ -29,7 +29,7 @@ def v11(spark, d):
     train, test = features(spark, d)
     out = None
     for kind in ("forest", "boosting"):
-        one = models.tree_job(train, test, kind, trees=10).select(F.lit(kind).alias("kind"), "id", "label", "prediction")
+        one = models.tree_job(train, test, kind).select(F.lit(kind).alias("kind"), "id", "label", "prediction")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -37,8 +37,8 @@ def v11(spark, d):
 @register("V12")
 def v12(spark, d):
     train, test = features(spark, d)
-    first = models.tree_model(train, "forest", 10)
-    again = models.tree_model(models.select_features(first, train, 9), "forest", 10, features="selected")
+    first = models.tree_model(train, "forest")
+    again = models.tree_model(models.select_features(first, train, 9), "forest", features="selected")
     return again.transform(models.select_features(first, test, 9)).select("id", "label", "prediction")
 
 
@@ -52,7 +52,7 @@ def v13(spark, d):
     train, test = sentences(spark, d)
     out = None
     for weighted in (False, True):
-        model = models.text_classifier(train, 2, hidden=8, vocabulary=500, iterations=10, weighted=weighted)
+        model = models.text_classifier(train, 2, weighted=weighted)
         one = model.transform(test).select(F.lit(weighted).alias("weighted"), "id", "label", "prediction")
         out = one if out is None else out.unionByName(one)
     return out
@@ -62,16 +62,16 @@ def v13(spark, d):
 def v14(spark, d):
     train, test = features(spark, d)
     bases = {
-        "forest": lambda df: models.tree_model(df, "forest", 5),
-        "linear": lambda df: models.LogisticRegression(maxIter=10).fit(df),
+        "forest": lambda df: models.tree_model(df, "forest"),
+        "linear": lambda df: models.LogisticRegression().fit(df),
     }
-    return models.stack(train.drop("split"), test.drop("split"), bases, [("forest",), ("linear",), ("forest", "linear")], folds=2)
+    return models.stack(train.drop("split"), test.drop("split"), bases, [("forest",), ("linear",), ("forest", "linear")])
 
 
 @register("V15")
 def v15(spark, d):
     train, _ = sentences(spark, d)
-    model = models.text_classifier(train, 2, vocabulary=500, iterations=10, weighted=True)
+    model = models.text_classifier(train, 2, weighted=True)
     new = views.sentence(spark, d).where(sentence_selector("cw-new")).select("id", F.col("sentence").alias("text"))
     score = models.annotate(new, model, True, "score", fixed.TRUTH_CLASSES)
     return rounded(score.select("id", "score"), ["score"], 6)
