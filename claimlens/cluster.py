@@ -55,6 +55,11 @@ def settle(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*names))))
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Hints a broadcast for a table of at most ``rows`` rows, counted first; a larger one is left to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 16) -> DataFrame:
     """Inner equi-join where one key may own a large share of ``big``.
 

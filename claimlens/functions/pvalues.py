@@ -23,7 +23,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d if abs(d) > tiny else tiny)
     value = d
-    for m in range(1, 500):
+    for m in range(1, 10_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
@@ -32,8 +32,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"incomplete beta does not converge at a={a}, b={b}, x={x}")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -210,34 +210,9 @@ def white_tokens(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda t: t != "")
 
 
-# Markup rules in order: (pattern, replacement). Fixed patterns of the text-only corpus format.
-MARKUP_RULES = [
-    (r"<.*>", ""),
-    (r"&amp;", "&"),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"<ref[^<]*</ref>", ""),
-    (r"<[^>]*>", ""),
-    (r"\[http:[^\] ]*", "["),
-    (r"(?i)\|thumb", ""),
-    (r"(?i)\|left", ""),
-    (r"(?i)\|right", ""),
-    (r"(?i)\|[0-9]+px", ""),
-    (r"(?i)\[\[image:[^\[\]]*\|", ""),
-    (r"(?i)\[\[category:([^|\]]*)[^\]]*\]\]", "[[$1]]"),
-    (r"\[\[[a-z\-]*:[^\]]*\]\]", ""),
-    (r"\[\[[^|\]]*\|", "[["),
-    (r"\{\{[^}]*\}\}", ""),
-    (r"\{[^}]*\}", ""),
-    (r"\[", ""),
-    (r"\]", ""),
-    (r"&[^;]*;", " "),
-]
-
-
 def strip_wiki(c: Column) -> Column:
     """Plain words of one markup chunk: rules in order, then letters and digits only, single blanks."""
-    for pattern, put in MARKUP_RULES:
+    for pattern, put in fixed.MARKUP_RULES:
         c = F.regexp_replace(c, pattern, put)
     return F.regexp_replace(F.concat(F.lit(" "), c, F.lit(" ")), r"[^A-Za-z0-9]+", " ")
 
@@ -294,7 +269,7 @@ def page_blocks(html: Column) -> Column:
     """
     shown = F.regexp_replace(html, HIDDEN, "")
     opened = F.regexp_replace(shown, rf"(?i)<({BLOCK_TAGS})(\s[^>]*)?>", "\x01")
-    pieces = F.slice(F.split(opened, "\x01"), 2, 1000000000)
+    pieces = let(F.split(opened, "\x01"), lambda p: F.slice(p, F.lit(2), F.size(p)))
     inner = F.transform(pieces, lambda p: F.get(F.split(p, rf"(?i)</({BLOCK_TAGS})\s*>"), F.lit(0)))
     texts = F.transform(inner, lambda p: F.trim(F.regexp_replace(_visible(F.regexp_replace(p, ANY_TAG, "")), r"\s+", " ")))
     return F.filter(texts, lambda t: t != "")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens import fixed
-from claimlens.cluster import settle
+from claimlens.cluster import broadcast_if_small, settle
 from claimlens.functions.text import let, sem_ok, white_tokens
 from claimlens.operators import updates
 
@@ -78,34 +78,29 @@ def flat_candidates(df: DataFrame, key: str = "id", phrases: str = "phrases") ->
     return c.select(key, "phrase_no", "phrase_text", "candidate_no", "_c.*")
 
 
-def enrich_concepts(flat: DataFrame, types: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds tui, type name and group to candidates by two dimension lookups.
+def _kinds(types: DataFrame, groups: DataFrame) -> DataFrame:
+    return types.join(groups.select("tui", "group"), "tui", "left").withColumnRenamed("abbr", "sem_type")
 
-    Both dimensions hold one row per semantic type, so Spark's own size check broadcasts them.
-    """
-    kinds = types.join(groups.select("tui", "group"), "tui", "left").withColumnRenamed("abbr", "sem_type")
-    return flat.join(kinds, "sem_type", "left")
 
+def enrich_concepts(flat: DataFrame, types: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds tui, type name and group to candidates; the dimension has a row per semantic type and is sent to all tasks if it is small."""
+    return flat.join(broadcast_if_small(_kinds(types, groups)), "sem_type", "left")
 
-def type_lookup(types: DataFrame, groups: DataFrame, limit: int = 1000) -> Column:
-    """The semantic-type dimension as a map column, for enriching nested candidates without a shuffle.
 
-    The dimension is read on the driver; a table over ``limit`` rows is refused (use ``enrich_concepts``).
-    """
-    rows = types.join(groups.select("tui", "group"), "tui", "left").select("abbr", "tui", "type_name", "group").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("semantic-type dimension is too large for a lookup column; use enrich_concepts")
-    entry = lambda r: F.struct(F.lit(r["tui"]).alias("tui"), F.lit(r["type_name"]).alias("type_name"), F.lit(r["group"]).alias("group"))
-    return F.create_map(*[x for r in sorted(rows, key=lambda r: r["abbr"]) for x in (F.lit(r["abbr"]), entry(r))])
+def type_lookup(types: DataFrame, groups: DataFrame) -> Column:
+    """The semantic-type dimension as one map value, a subquery, for enriching nested candidates without a shuffle."""
+    kinds = _kinds(types, groups).select("sem_type", F.struct("tui", "type_name", "group").alias("kind"))
+    return kinds.agg(F.map_from_entries(F.collect_list(F.struct("sem_type", "kind")))).scalar()
 
 
-def enrich_nested(candidates: Column, lookup: Column) -> Column:
+def enrich_nested(df: DataFrame, candidates: str, lookup: Column) -> DataFrame:
     """Candidates (array of structs with ``sem_type``) with tui, type_name and group added."""
     def one(c):
-        kind = F.try_element_at(lookup, c["sem_type"])
+        kind = F.try_element_at(F.col("_kinds"), c["sem_type"])
         return c.withField("tui", kind["tui"]).withField("type_name", kind["type_name"]).withField("group", kind["group"])
 
-    return F.transform(candidates, one)
+    held = settle(df.withColumn("_kinds", lookup), "_kinds")
+    return held.withColumn(candidates, F.transform(candidates, one)).drop("_kinds")
 
 
 def health_terms(df: DataFrame, candidates: str = "candidates") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from claimlens import fixed
 from claimlens.cluster import running_total
-from claimlens.functions.inflect import verb_forms
 from claimlens.functions.text import bracket_list, fix_label, let
 
 BE_FORMS = ["am", "are", "is", "was", "were", "been", "being"]
@@ -17,7 +16,7 @@ HAVE_FORMS = ["has", "had", "having"]
 def lemma_table(spark: SparkSession) -> DataFrame:
     """(form, lemma) of the fixed verb list and of be/have; its size is fixed (under 400 rows)."""
     rows = {}
-    for _, base, *forms in verb_forms(fixed.VERBS):
+    for base, *forms in fixed.VERB_FORMS:
         for form in [base, *forms]:
             rows.setdefault(form, base)
     rows.update({f: "be" for f in BE_FORMS} | {f: "have" for f in HAVE_FORMS})

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.functions.inflect import verb_forms
 from claimlens.functions.text import token_spans, white_tokens
 from claimlens.operators.updates import external, worthy
 
@@ -26,7 +25,7 @@ def phrase_patterns() -> list[tuple[int, str, str]]:
 def first_words() -> list[str]:
     """Every word run a lexicon phrase can start with."""
     starts = [lead for leads in fixed.LEADS.values() for lead in leads]
-    starts += [form for row in verb_forms(fixed.VERBS) for form in row[1:]] + fixed.EXTRA_SHORT
+    starts += [form for row in fixed.VERB_FORMS for form in row] + fixed.EXTRA_SHORT
     return sorted({re.match(r"\w+", s).group(0) for s in starts})
 
 
@@ -37,7 +36,7 @@ def longest_phrase() -> int:
 
 
 def _verbs(spark: SparkSession) -> DataFrame:
-    rows = [(no, form, word) for no, *words in verb_forms(fixed.VERBS) for form, word in zip(fixed.SHORT_FORMS, words)]
+    rows = [(no, form, word) for no, words in enumerate(fixed.VERB_FORMS) for form, word in zip(fixed.SHORT_FORMS, words)]
     return spark.createDataFrame(rows, "verb_no int, form string, verb string")
 
 
@@ -91,7 +90,7 @@ def match_lexicon(sent: DataFrame, lexicon: DataFrame, text: str = "sentence", k
     tokens = sent.select(key, match_text(F.col(text)).alias("_t")).select(
         key, F.length("_t").alias("_len"), token_spans(F.col("_t")).alias("_s"))
     longest = longest_phrase()
-    ahead = F.arrays_zip(*[(F.col("_s") if i == 0 else F.slice("_s", i + 1, 1000000000)).alias(f"w{i}") for i in range(longest)])
+    ahead = F.arrays_zip(*[(F.col("_s") if i == 0 else F.slice("_s", F.lit(i + 1), F.size("_s"))).alias(f"w{i}") for i in range(longest)])
     starts = F.filter(ahead, lambda w: w["w0"]["text"].isin(*first_words()))
 
     def grams_from(w):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from claimlens import fixed
 from claimlens.cluster import materialise
-from claimlens.functions.inflect import verb_forms
 from claimlens.operators import concepts, counts, graphs, knowledge
 from claimlens.operators.selectors import item_selector
 from claimlens.plans import views
@@ -74,7 +73,7 @@ def predicates(spark, d):
 
 def _lemma_sql():
     rows = {}
-    for _, base, *forms in verb_forms(fixed.VERBS):
+    for base, *forms in fixed.VERB_FORMS:
         for form in [base, *forms]:
             rows.setdefault(form, base)
     rows.update({f: "be" for f in graphs.BE_FORMS} | {f: "have" for f in graphs.HAVE_FORMS})

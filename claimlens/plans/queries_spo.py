@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from claimlens import fixed
 from claimlens.functions import text
-from claimlens.functions.inflect import verb_forms
 from claimlens.operators import concepts, extraction, lexicon, parsed
 from claimlens.plans import views
 from claimlens.plans.registry import register
@@ -23,7 +22,7 @@ def sql_list(values):
 
 def _lexicon_sql():
     """The lexicon by SQL: the same word lists unnested shape by shape."""
-    forms = ", ".join(f"({no}, {q(b)}, {q(t)}, {q(i)}, {q(p)})" for no, b, t, i, p in verb_forms(fixed.VERBS))
+    forms = ", ".join(f"({no}, {q(b)}, {q(t)}, {q(i)}, {q(p)})" for no, (b, t, i, p) in enumerate(fixed.VERB_FORMS))
     parts, offset = [], 0
     for lead, modified, joint, form in fixed.PHRASE_SHAPES:
         leads, mods = fixed.LEADS[lead], fixed.MODIFIERS if modified else [""]
@@ -197,8 +196,7 @@ def enriched(spark, d, base=None):
     """Sentences with enriched ``candidates`` (stand-in semantic types)."""
     types = views.sem_types(spark)
     lookup = concepts.type_lookup(types.select("abbr", "tui", "type_name"), types.select("tui", "group"))
-    s = views.concept_spans(spark, d, base)
-    return s.withColumn("candidates", concepts.enrich_nested(F.col("raw"), lookup)).drop("raw")
+    return concepts.enrich_nested(views.concept_spans(spark, d, base), "raw", lookup).withColumnRenamed("raw", "candidates")
 
 
 @register("J1", with_views("concept") + 'SELECT id, candidate_no, cui, sem_type, tui, type_name, "group" FROM concept')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimlens import fixed
 from claimlens.cluster import materialise
 from claimlens.functions import text
 from claimlens.operators import articles, ingest, selectors, updates
@@ -86,8 +87,7 @@ LINKS_SQL = """WITH links AS (SELECT page_id,
   (['https://www.facebook.com','https://news.example.org','https://cdc.gov','http://who.int','https://lab.example.org'])[page_id % 5 + 1]
   || '/' || url || (['/a.pdf','/story','/x.png','/download/1','/y'])[page_id % 7 % 5 + 1] AS link FROM pages)
 """
-DOMAINS = ["facebook.com", "youtube.com", "instagram.com", "snopes.com", "politifact.com", "cdc.gov", "who.int"]
-FILES = ["download", ".pdf", ".jpeg", ".jpg", ".png"]
+DOMAINS, FILES = fixed.BLOCKED_DOMAINS, fixed.BLOCKED_FILES
 
 
 @register("F5", LINKS_SQL + f"SELECT page_id, {_blocked('link', DOMAINS)} AS allowed FROM links")
