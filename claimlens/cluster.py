@@ -60,40 +60,37 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 16) -> DataFrame:
-    """Inner equi-join where one key may own a large share of ``big``.
+def split_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 16, share: int = 64) -> DataFrame:
+    """Inner equi-join in which the keys that own more than one row in ``share`` of ``big`` are split over ``salts`` tasks.
 
-    ``small`` has one row per key and is repeated per salt, so a hot key is shared by ``salts`` tasks.
+    The keys are counted first, with partial sums, and fewer than ``share`` of them can be that large; all other keys are
+    joined as they are.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counts = big.where(F.col(key).isNotNull()).groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r[key] for r in counts.where(F.col("count") * share > max(total, share * 10_000)).select(key).collect()]
+    if not hot:
+        return big.join(small, key)
+    left = big.withColumn("_salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).otherwise(0))
+    right = small.withColumn("_salt", F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def running_total(per_key: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over all smaller keys, for one row per non-negative integer key.
+    """Sum of ``value`` over all smaller keys, for one row per key; keys may be any ordered values, rows without one are left out.
 
-    Keys are summed in blocks of 65,536 and blocks in groups of 65,536, so no window sees more rows
-    than that for keys below 2^48 and no task sees the whole column.
+    Keys are dealt to ranges and stored, so that ranges stay the same; every range is summed by itself and moved up by
+    the sums of the ranges before it, of which there are as many as shuffle partitions.
     """
-    # The same null filter on every branch lets Spark compute the per-key rows once and reuse their exchange.
-    block = F.shiftright(F.col(key).cast("long"), 16)
-    keyed = per_key.where(F.col(key).isNotNull() & block.isNotNull() & F.shiftright(block, 16).isNotNull()).withColumn("_block", block)
-    blocks = keyed.groupBy("_block").agg(F.sum(value).alias("_bsum")).withColumn("_group", F.shiftright("_block", 16))
-    groups = blocks.groupBy("_group").agg(F.sum("_bsum").alias("_gsum"))
+    ranges = int(per_key.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(per_key.where(F.col(key).isNotNull()).repartitionByRange(ranges, key).withColumn("_range", F.spark_partition_id()), "ranges")
 
     def earlier(col, window):
         return F.coalesce(F.sum(col).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    groups = groups.select("_group", earlier("_gsum", Window.orderBy("_group")).alias("_goff"))
-    blocks = blocks.join(groups, "_group").select(
-        "_block", (F.col("_goff") + earlier("_bsum", Window.partitionBy("_group").orderBy("_block"))).alias("_boff")
-    )
-    return (
-        keyed.join(blocks, "_block")
-        .withColumn(out, (F.col("_boff") + earlier(value, Window.partitionBy("_block").orderBy(key))).cast("long"))
-        .drop("_block", "_boff")
-    )
+    sums = dealt.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", earlier("_sum", Window.orderBy("_range")).alias("_moved"))
+    inside = earlier(value, Window.partitionBy("_range").orderBy(key))
+    return dealt.join(F.broadcast(sums), "_range").withColumn(out, (F.col("_moved") + inside).cast("long")).drop("_range", "_moved")
 
 
 def gather_ordered(df: DataFrame, keys: list[str], order: str, value: Column, out: str, chunk: int = 4096) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.cluster import salted_join
+from claimlens.cluster import split_join
 from claimlens.functions.text import cui_text, encode_class, words
 from claimlens.operators import articles
 from claimlens.operators.selectors import item_selector, sentence_selector
@@ -81,7 +81,7 @@ def tfidf(train: DataFrame, test: DataFrame, key: str, text: str, lower: bool =
     n = train.agg(F.count("*").alias("n")).scalar()
     df = tf.where("split = 'train'").groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", "df")
-    raw = salted_join(tf, idf, "term", F.col(key)).withColumn("raw", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
+    raw = split_join(tf, idf, "term", F.col(key)).withColumn("raw", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
     norms = raw.groupBy("split", key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     return raw.join(norms, ["split", key]).select("split", key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.cluster import gather_ordered, running_total, salted_join, shared_path
+from claimlens.cluster import gather_ordered, running_total, split_join, shared_path
 from claimlens.functions import pvalues, tagged, text
 from claimlens.operators import articles, concepts, counts, encoding, evaluation, graphs, ingest, lexicon, parsed, texts
 from claimlens.sources import sinks, tables
@@ -197,7 +197,7 @@ def test_hot_key_helpers_keep_every_row(spark):
     """One key owns most rows: nothing is lost, and order is kept."""
     big = spark.range(20000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
     small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert salted_join(big, small, "k", F.col("id")).count() == 20000
+    assert split_join(big, small, "k", F.col("id")).count() == 20000
     lines = gather_ordered(big, ["k"], "id", F.col("id"), "ids", chunk=1000).where("k = 7").first()["ids"]
     assert lines == sorted(lines) and len(lines) > 13000
 
