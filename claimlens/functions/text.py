@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimlens import fixed
 
@@ -233,10 +230,29 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def running_sums(numbers: pd.Series) -> pd.Series:
-    """Inclusive running sums of an int array. A fold in the engine would copy its growing result at each step."""
-    return numbers.map(lambda a: None if a is None else np.cumsum(a, dtype="int32"))
+def running_sums(numbers: Column) -> Column:
+    """Inclusive running sums of an int array, null for null.
+
+    A fold would copy its growing result at each step; here each sum adds up the blocks before it and its own block, for
+    blocks of about the root of the length.
+    """
+    total = lambda values: F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
+
+    def summed(v):
+        def by_block(at):
+            block = at["block"]
+            last = F.floor((F.size(v) - 1) / block).cast("int")
+            blocks = F.transform(F.sequence(F.lit(0), last), lambda k: total(F.slice(v, k * block + 1, block)))
+
+            def with_blocks(sums):
+                before = F.transform(F.sequence(F.lit(0), last), lambda k: total(F.slice(sums, F.lit(1), k)))
+                return let(before, lambda moved: F.transform(v, lambda _, i: F.get(moved, F.floor(i / block).cast("int")) + total(F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block + 1))))
+
+            return let(blocks, with_blocks)
+
+        return F.when(F.size(v) == 0, v).otherwise(let(F.struct(F.ceil(F.sqrt(F.size(v))).cast("int").alias("block")), by_block))
+
+    return let(numbers, lambda v: F.when(v.isNotNull(), summed(v)))
 
 
 def token_spans(c: Column) -> Column:

@@ -20,7 +20,8 @@ from claimlens.operators.counts import class_weights
 
 def split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 25) -> DataFrame:
     """Adds ``part`` (train/dev) by a hash of the key: the same rows however the table is partitioned."""
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000))
+    digest = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10000
     return df.withColumn("part", F.when(place < int(ratio * 10000), "train").otherwise("dev"))
 
 

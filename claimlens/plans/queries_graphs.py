@@ -136,13 +136,13 @@ def l2(spark, d):
 
 @register("J10", NORM_SQL + """
 , rules AS (SELECT DISTINCT predicate AS rp FROM spo WHERE pos = 0)
-SELECT id, CASE WHEN rp IS NOT NULL AND norm_p NOT LIKE 'e%' THEN 'CHEM' ELSE '""" + ",".join(fixed.DEFAULT_GROUPS) + """' END AS groups FROM norm
+SELECT id, CASE WHEN rp IS NOT NULL AND norm_p NOT LIKE 'e%' THEN 'CHEM' ELSE '""" + ",".join(fixed.DEFAULT_GROUPS) + """' END AS subject_groups, subject_groups AS object_groups FROM norm
 LEFT JOIN (SELECT DISTINCT lower(w) AS rp FROM (SELECT string_split(sentence, ' ')[1] AS w FROM sentence)) r ON r.rp = norm_p""")
 def j10(spark, d):
     first = F.lower(F.get(F.split("sentence", " "), F.lit(0)))
     chem = F.when(first.startswith("e"), F.array().cast("array<string>")).otherwise(F.array(F.lit("CHEM")))
     rules = views.sentence(spark, d).select(first.alias("predicate"), chem.alias("subject_groups"), chem.alias("object_groups")).distinct()
-    return graphs.with_valid_groups(predicates(spark, d), rules).select("id", F.array_join("subject_groups", ",").alias("groups"))
+    return graphs.with_valid_groups(predicates(spark, d), rules).select("id", *[F.array_join(c, ",").alias(c) for c in ("subject_groups", "object_groups")])
 
 
 TRIPLE_WHERE = "review_level = 9 AND NOT skip_validations"

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from claimlens.cluster import shared_path
+from claimlens.cluster import materialise, shared_path
 from claimlens.operators import articles, concepts, graphs
 from claimlens.operators.selectors import item_selector
 from claimlens.plans import views
@@ -44,9 +45,13 @@ def s3(spark, d):
         "abbr", "tui", "type_name", "group")
 
 
-@register("S4", 'SELECT p_brand AS "group", min(p_partkey) AS first_line FROM part GROUP BY 1 ORDER BY 2')
+@register("S4", """SELECT p_brand AS "group", row_number() OVER (ORDER BY min(p_partkey)) AS place FROM part GROUP BY 1""")
 def s4(spark, d):
-    return tables.sem_groups(table(spark, d, "part").select(F.col("p_brand").alias("group"), F.col("p_partkey").alias("line_no")))
+    path = shared_path(spark, "groups")
+    line = F.concat_ws("|", "p_brand", F.lit("name"), F.col("p_partkey").cast("string"), "p_type")
+    table(spark, d, "part").orderBy("p_partkey").select(line.alias("value")).coalesce(1).write.text(path)
+    groups = tables.sem_groups(tables.load_sem_groups(spark, path))  # a few rows
+    return groups.select("group", F.row_number().over(Window.orderBy("first_line")).alias("place"))
 
 
 @register("S5", "SELECT DISTINCT lower(p_type) AS phrase FROM part")
@@ -171,7 +176,10 @@ def s13(spark, d):
 @register("S14", with_views("sentence") + """
 SELECT id, sentence AS value FROM sentence WHERE review_level = 3""")
 def s14(spark, d):
-    return sinks.sentence_files(views.sentence(spark, d), 3, clean=True).select("id", "value")
+    path = shared_path(spark, "sentence-lines")
+    sinks.export_sentences(views.sentence(spark, d), path, 3, clean=True)
+    cut = F.split("value", "\t", 2)
+    return spark.read.text(path).select(cut[0].cast("long").alias("id"), cut[1].alias("value"))
 
 
 @register("S15", with_views("spo") + """
@@ -194,18 +202,17 @@ SELECT 'node' AS kind, '            <node id = "' || node || '" label = "' || no
 UNION ALL SELECT 'frame', unnest(['<?xml version="1.0" encoding="UTF-8"?>',
   '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2" xmlns:viz="http://www.gexf.net/1.2draft/viz" >', '    <graph mode="static" defaultedgetype="directed">',
   '        <nodes>', '        </nodes>', '        <edges>', '        </edges>', '    </graph>', '</gexf>'])
-UNION ALL SELECT 'edge', '<edge source = "' || src || '" target= "' || dst || '" label = "' || rel || '" />' FROM e""")
+UNION ALL SELECT 'edge', '            <edge id = "' || edge_id || '" source = "' || src || '" target= "' || dst || '" label = "' || rel || '" />' FROM e""")
 def s16(spark, d):
     _, _, edges = views.kg(spark, d)
     path = shared_path(spark, "graph")
-    listed = edges.select(F.col("start_id").alias("src"), F.col("end_id").alias("dst"), F.col("relation_id").cast("string").alias("rel"),
-                          F.monotonically_increasing_id().alias("ord"))
-    numbered = listed.withColumnRenamed("ord", "edge_id")
-    sinks.export_gexf(graphs.nodes(listed, "ord"), numbered, path)
+    # sorted, so that the stored key grows in reading order
+    listed = materialise(edges.orderBy("start_id", "relation_id", "end_id", "weight").withColumn("key", F.monotonically_increasing_id()), "edges")
+    listed = listed.select("key", F.lit(0).alias("place"), F.col("start_id").alias("src"), F.col("end_id").alias("dst"), F.col("relation_id").cast("string").alias("rel"))
+    sinks.export_gexf(graphs.nodes(listed, "key"), graphs.number_edges(listed, "key"), path)
     line = F.col("value")
     kind = F.when(line.contains("<node id"), "node").when(line.contains("<edge id"), "edge").otherwise("frame")
-    bare = F.when(line.contains("<edge id"), F.regexp_replace(F.trim(line), r'id = "\d+" ', "")).otherwise(line)
-    return spark.read.option("lineSep", "\r\n").text(path).select(kind.alias("kind"), bare.alias("line"))
+    return spark.read.option("lineSep", "\r\n").text(path).select(kind.alias("kind"), line.alias("line"))
 
 
 @register("S17", with_views("results") + """

@@ -57,10 +57,12 @@ mixed AS (SELECT s.* REPLACE (CASE WHEN l.phrase IS NOT NULL THEN left(sentence,
   ELSE sentence END AS sentence), l.phrase AS put, l.kind AS put_kind FROM sentence s LEFT JOIN lexicon l ON s.id % 3 = 0 AND l.priority = s.id % {SIZE})"""
 
 
-@register("P1", with_views("sentence", extra=INJECTED_SQL) + "SELECT id, put AS phrase, put_kind AS kind FROM mixed WHERE put IS NOT NULL")
+@register("P1", with_views("sentence", extra=INJECTED_SQL) + """SELECT l.phrase, l.kind, l.priority, count(s.id) AS n FROM lexicon l
+LEFT JOIN sentence s ON s.id % 3 = 0 AND l.priority = s.id % """ + str(SIZE) + " GROUP BY 1, 2, 3")
 def p1(spark, d):
-    s = views.sentence(spark, d).where("id % 3 = 0").select("id", (F.col("id") % SIZE).alias("priority"))
-    return s.join(F.broadcast(lexicon.build_lexicon(spark)), "priority").select("id", "phrase", "kind")
+    """The whole lexicon, and how many sentences take each phrase."""
+    s = views.sentence(spark, d).where("id % 3 = 0").groupBy((F.col("id") % SIZE).alias("priority")).agg(F.count("*").alias("n"))
+    return lexicon.build_lexicon(spark).join(s, "priority", "left").select("phrase", "kind", "priority", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def match_sql(source, lex, where="true"):

@@ -134,10 +134,14 @@ def j11(spark, d):
 
 
 @register("E9", PAIRS_SQL + """
-SELECT model1, model2, count(*) AS n, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t FROM pr WHERE model1 <> model2 GROUP BY 1, 2""")
+SELECT model1, model2, count(*) AS n, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t FROM pr WHERE model1 <> model2 GROUP BY 1, 2""".replace("SELECT model1, model2, count(*) AS n, round(", ", tt AS (SELECT model1, model2, count(*) AS n, ").replace(", 6) AS t FROM", " AS t FROM") + """),
+-- distribution function of t for nine degrees of freedom (ten seeds)
+th AS (SELECT *, atan(t / 3) AS x FROM tt)
+SELECT model1, model2, n, round(t, 6) AS t, CASE WHEN n = 10 THEN
+  round(1 - abs(2 / pi() * (x + sin(x) * (cos(x) + 2.0 / 3 * cos(x) ** 3 + 8.0 / 15 * cos(x) ** 5 + 16.0 / 35 * cos(x) ** 7))), 9) END AS p FROM th""")
 def e9(spark, d):
     out = evaluation.paired_t(evaluation.model_pairs(views.results(spark, d)))
-    return rounded(out.select("model1", "model2", "n", "t"), ["t"], 6)
+    return rounded(rounded(out.select("model1", "model2", "n", "t", "p"), ["t"], 6), ["p"])
 
 
 WILCOXON_SQL = PAIRS_SQL + """
@@ -148,9 +152,19 @@ wx AS (SELECT model1, model2, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 E
 """
 
 
-@register("E10", WILCOXON_SQL + "SELECT model1, model2, n, w_plus, statistic FROM wx")
+# Exact two-sided p for samples without ties: all signs of the ranks, counted by their rank sum.
+EXACT_SQL = """
+, sub AS (SELECT n, list_sum(list_transform(range(0, n), lambda i: CASE WHEN (s >> i) & 1 = 1 THEN i + 1 ELSE 0 END)) AS w
+  FROM (SELECT n, unnest(range(0, CAST(2 ** n AS BIGINT))) AS s FROM (SELECT DISTINCT n FROM wx))),
+px AS (SELECT model1, model2, any_value(wx.n) AS n, any_value(w_plus) AS w_plus, any_value(statistic) AS statistic,
+  least(1.0, 2 * least(count(*) FILTER (WHERE w <= w_plus), count(*) FILTER (WHERE w >= w_plus)) / count(*)) AS p FROM wx JOIN sub ON sub.n = wx.n GROUP BY 1, 2)
+"""
+
+
+@register("E10", WILCOXON_SQL + EXACT_SQL + "SELECT model1, model2, n, w_plus, statistic, round(p, 9) AS p FROM px")
 def e10(spark, d):
-    return evaluation.wilcoxon(evaluation.model_pairs(views.results(spark, d))).select("model1", "model2", "n", "w_plus", "statistic")
+    out = evaluation.wilcoxon(evaluation.model_pairs(views.results(spark, d))).select("model1", "model2", "n", "w_plus", "statistic", "p")
+    return rounded(out, ["p"])
 
 
 @register("E11")
@@ -165,9 +179,9 @@ def e12(spark, d):
         evaluation.significance(r, normal_test=False).withColumn("rule", F.lit("not normal")))
 
 
-@register("E13", PAIRS_SQL + """
-SELECT left(model1, 50) AS model1, left(model2, 50) AS model2, round(avg(a), 9) AS model1_avg_f1, round(avg(b), 9) AS model2_avg_f1, model1 = model2 AS same
-FROM pr GROUP BY pr.model1, pr.model2""")
+@register("E13", WILCOXON_SQL + EXACT_SQL + """
+SELECT left(g.model1, 50) AS model1, left(g.model2, 50) AS model2, round(m1, 9) AS model1_avg_f1, round(m2, 9) AS model2_avg_f1,
+  CASE WHEN g.model1 = g.model2 THEN 1.0 ELSE round(p, 9) END AS pvalue
+FROM (SELECT model1, model2, avg(a) AS m1, avg(b) AS m2 FROM pr GROUP BY 1, 2) g LEFT JOIN px USING (model1, model2)""")
 def e13(spark, d):
-    out = evaluation.significance_matrix(views.results(spark, d)).withColumn("same", F.col("pvalue") == 1.0)
-    return rounded(out.withColumn("same", F.col("model1") == F.col("model2")).drop("pvalue"), ["model1_avg_f1", "model2_avg_f1"])
+    return rounded(evaluation.significance_matrix(views.results(spark, d)), ["model1_avg_f1", "model2_avg_f1", "pvalue"])

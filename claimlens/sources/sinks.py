@@ -50,8 +50,9 @@ def sentence_files(df: DataFrame, level: int, clean: bool = False) -> DataFrame:
 
 
 def export_sentences(df: DataFrame, path: str, level: int, clean: bool = False) -> None:
-    """One folder per sentence, written by the task that holds the sentence."""
-    sentence_files(df, level, clean).select("id", "value").write.mode("overwrite").partitionBy("id").text(path)
+    """Lines ``id<TAB>text`` in order of the ids; the part files follow each other by name."""
+    ordered = sentence_files(df, level, clean).orderBy("id", "line_no")
+    ordered.select(F.concat_ws("\t", F.col("id").cast("string"), "value").alias("value")).write.mode("overwrite").text(path)
 
 
 def export_triples(df: DataFrame, path: str) -> None:

@@ -31,16 +31,18 @@ def load_sem_types(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("abbr string, tui string, type_name string").option("sep", "|").csv(path)
 
 
-def load_sem_groups(spark: SparkSession, path: str) -> DataFrame:
-    """group|group name|tui|type name file."""
-    return spark.read.schema("`group` string, group_name string, tui string, member string").option("sep", "|").csv(path)
-
-
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file with a number that grows in file order (gaps between splits)."""
     return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
 
 
+def load_sem_groups(spark: SparkSession, path: str) -> DataFrame:
+    """group|group name|tui|type name file, with line numbers in file order."""
+    cut = F.split("value", r"\|")
+    names = ("group", "group_name", "tui", "member")
+    return numbered_lines(spark, path).select(*[F.get(cut, F.lit(i)).alias(c) for i, c in enumerate(names)], "line_no")
+
+
 def sem_groups(df: DataFrame, group: str = "group", order: str = "line_no") -> DataFrame:
     """Distinct groups in order of first appearance."""
     return df.groupBy(group).agg(F.min(order).alias("first_line")).orderBy("first_line")
