@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimlens import fixed
-from claimlens.cluster import split_join
+from claimlens.cluster import broadcast_if_small, materialise, split_join
 from claimlens.functions.text import cui_text, encode_class, words
 from claimlens.operators import articles
 from claimlens.operators.selectors import item_selector, sentence_selector
@@ -15,14 +16,14 @@ from claimlens.operators.selectors import item_selector, sentence_selector
 def token_ids(df: DataFrame, keys: list[str], text: str, index: DataFrame, max_len: int | None = None, lower: bool = True) -> DataFrame:
     """(keys, ids): word ids in order, unknown words as 1.
 
-    ``index`` is a top-k list, so its size is bounded by k and it is broadcast. Tokens over ``max_len`` are cut
-    before they leave their row.
+    ``index`` is a top-k list, sent to all tasks if it is small. Tokens over ``max_len`` are cut before they leave their
+    row.
     """
     tokens = words(F.col(text), lower)
     if max_len is not None:
         tokens = F.slice(tokens, 1, max_len)
     rows = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "word"))
-    known = rows.join(F.broadcast(index.select("word", "word_id")), "word", "left")
+    known = rows.join(broadcast_if_small(index.select("word", "word_id")), "word", "left")
     entry = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("word_id", F.lit(1)).alias("_id")))
     return known.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_id"]).alias("ids"))
 
@@ -74,16 +75,18 @@ def encode_spo_fixed(s: Column, p: Column, o: Column, max_len: int, start: int,
 def tfidf(train: DataFrame, test: DataFrame, key: str, text: str, lower: bool = True) -> DataFrame:
     """(split, key, term, weight): words of two or more characters, idf ``ln((1+n)/(1+df))+1`` of the training rows, L2-normed.
 
-    Terms unseen in training are dropped. One term may occur in most rows, so the idf join is salted.
+    Terms unseen in training are dropped. Counts are stored once; terms of very many rows are split in the idf join, and
+    rows are normed where they meet by key.
     """
     rows = train.select(F.lit("train").alias("split"), key, text).unionByName(test.select(F.lit("test").alias("split"), key, text))
     tf = rows.select("split", key, F.explode(words(F.col(text), lower, 2)).alias("term")).groupBy("split", key, "term").agg(F.count("*").alias("tf"))
+    tf = materialise(tf, "term-counts")
     n = train.agg(F.count("*").alias("n")).scalar()
     df = tf.where("split = 'train'").groupBy("term").agg(F.count("*").alias("df"))
     idf = df.select("term", "df")
     raw = split_join(tf, idf, "term", F.col(key)).withColumn("raw", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    norms = raw.groupBy("split", key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, ["split", key]).select("split", key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("split", key)))
+    return raw.select("split", key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def with_split(df: DataFrame, train: Column, test: Column) -> DataFrame:

@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.cluster import gather_ordered, running_total, split_join, shared_path
+from claimlens.cluster import gather_ordered, running_total, shared_path, split_join
 from claimlens.functions import pvalues, tagged, text
-from claimlens.operators import articles, concepts, counts, encoding, evaluation, graphs, ingest, lexicon, parsed, texts
+from claimlens.operators import articles, concepts, counts, encoding, evaluation, graphs, lexicon, models, parsed, texts
+from claimlens.operators import ingest as posts_ingest
 from claimlens.sources import sinks, tables
+from claimlens.streaming import ingest
 
 WORD = "id int, text string, upos string, xpos string, head int, deprel string, feats string, start_char int, end_char int"
 
@@ -215,7 +217,7 @@ def test_running_total_over_blocks(spark):
 def test_new_rows_keeps_one_copy_per_key(spark):
     new = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "key string, v int")
     old = spark.createDataFrame([("b",)], "key string")
-    assert [(r["key"], r["v"]) for r in ingest.new_rows(new, old, ["key"]).collect()] == [("a", 1)]
+    assert [(r["key"], r["v"]) for r in posts_ingest.new_rows(new, old, ["key"]).collect()] == [("a", 1)]
 
 
 def test_padded_class_weights():
@@ -238,3 +240,28 @@ def test_short_claims_give_nulls(spark):
 def test_byte_cut_splits_the_boundary_row(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "defg"), (3, "h")], "id long, t string")
     assert [(r["id"], r["t"]) for r in texts.head_bytes(df, "id", "t", 5).orderBy("id").collect()] == [(1, "abc"), (2, "de")]
+
+
+def test_byte_cut_keeps_whole_characters(spark):
+    rows = spark.createDataFrame([(1, "aé"), (-5, "x\U0001f600y"), (7, "later")], "k long, t string")
+    for limit, want in ((1, ["x"]), (4, ["x"]), (5, ["x\U0001f600"]), (6, ["x\U0001f600y"]), (8, ["x\U0001f600y", "a"]), (9, ["x\U0001f600y", "aé"]), (99, ["x\U0001f600y", "aé", "later"])):
+        assert [r["t"] for r in texts.head_bytes(rows, "k", "t", limit).orderBy("k").collect()] == want
+
+
+def test_old_posts_are_stored_too(spark):
+    source, posts = shared_path(spark, "in"), shared_path(spark, "posts")
+    offsets = shared_path(spark, "offsets")
+    schema = "id_str string, created_at timestamp, user_id_str string"
+    for rows in ([("a", "2024-03-01"), ("b", "2024-03-02")], [("c", "1999-01-01"), ("a", "2024-03-01"), ("c", "1999-01-01")]):
+        spark.createDataFrame([(i, t, "u") for i, t in rows], "id_str string, t string, user_id_str string").select("id_str", F.to_timestamp("t").alias("created_at"), "user_id_str").write.mode("append").parquet(source)
+        stream = ingest.read_posts(spark, source, spark.read.schema(schema).parquet(source).schema)
+        ingest.ingest_posts(stream, posts, offsets, crawl_date="x").awaitTermination()
+    assert sorted(r["id_str"] for r in spark.read.parquet(posts).collect()) == ["a", "b", "c"]
+
+
+def test_text_features_keep_every_term(spark):
+    rows = spark.createDataFrame([(i, f"common word{i} only{i * 7}") for i in range(300)], "id int, text string")
+    fitted = models.tfidf_stages(rows)
+    assert len(fitted.stages[1].vocabulary) == 601
+    hashed = models.tfidf_stages(rows, width=64).transform(rows).select("features").first()["features"]
+    assert hashed.size == 64 and hashed.numNonzeros() >= 1
