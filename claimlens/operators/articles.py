@@ -90,14 +90,14 @@ def roll_up_level(items: DataFrame, sentences: DataFrame) -> DataFrame:
     return updates.update_where(moved, cond, {"review_level": F.col("_top")}).drop("_top")
 
 
-def workflow_step(items: DataFrame, sentences: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
-    """(items, sentences) after one workflow step, as one lazy plan."""
+def workflow_step(items: DataFrame, sentences: DataFrame, step: int, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(items, sentences) after one workflow step, as one lazy plan; ``full`` goes by automatic scores instead of reviews."""
     if step == 5:
         sentences = updates.advance(sentences, 3, 4, 5)
     elif step == 7:
-        sentences = updates.advance_to_check(sentences, 5, 6)
+        sentences = updates.advance_to_check(sentences, 5, 6, full)
         sentences = updates.advance_external(sentences, 5, 7)
-        sentences = updates.advance_completed(sentences, 6, 7)
+        sentences = updates.advance_completed(sentences, 6, 7, full)
     elif step == 9:
         sentences = updates.advance(sentences, 7, None, 8)
     elif step == 10:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +21,40 @@ def _fill(sent: DataFrame, found: DataFrame) -> DataFrame:
     return out.drop(*[f"_{c}" for c in names])
 
 
-def run_spo(sent: DataFrame, phrases: DataFrame, parse: Callable[[DataFrame], DataFrame], between: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Clears and fills the SPO columns, concepts and preliminary class for corpus then external sentences.
+#: How the cascade is run: on reviewed corpus sentences and external ones; on corpus sentences by their automatic score
+#: only; or with the manual predicates of augmented sentences only.
+MODES = ("reviewed", "full", "augmented")
+
+
+def run_spo(sent: DataFrame, phrases: DataFrame, parse: Callable[[DataFrame], DataFrame], between: Callable[[DataFrame], DataFrame] | None = None,
+            mode: str = "reviewed") -> DataFrame:
+    """Clears and fills the SPO columns, concepts and, where sentences are reviewed, the preliminary class.
 
     ``parse`` turns (id, part_no, kind, part) rows into rows with dependency ``words``. Corpus and external
     rows never meet, so both pass through each stage together. Each stage reads its input twice, so the table
     is stored between stages (``between``, by default a table in the shared folder) instead of being computed
     again; a lost executor then costs one re-read.
     """
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode}")
     keep = between or (lambda df: materialise(df, "extraction"))
-    either = lambda level: updates.spo_pending(level, "corpus") | updates.spo_pending(level, "external")
-    manual = lambda level: lexicon.manual_pending(level, "corpus") | lexicon.manual_pending(level, "external")
+    kinds = ("full",) if mode == "full" else ("corpus", "external")
+
+    def any_of(pending, level):
+        first, *rest = [pending(level, kind) for kind in kinds]
+        return reduce(lambda a, b: a | b, rest, first)
+
     out = keep(updates.clear_spos(sent, 5))
-    out = keep(lexicon.spo_given(out, phrases, either(5)))
-    parts = parsed.reading_parts(out.where(either(5)).select("id", "sentence"))
-    out = keep(_fill(out, parsed.spo_cascade(parse(parts))))
-    out = keep(lexicon.spo_be_have(out, either(5)))
-    out = lexicon.spo_manual(out, manual(5))
-    out = concepts.assign_concepts(out, 5, "corpus", "external")
+    if mode != "augmented":
+        out = keep(lexicon.spo_given(out, phrases, any_of(updates.spo_pending, 5)))
+        parts = parsed.reading_parts(out.where(any_of(updates.spo_pending, 5)).select("id", "sentence"))
+        out = keep(_fill(out, parsed.spo_cascade(parse(parts))))
+        out = keep(lexicon.spo_be_have(out, any_of(updates.spo_pending, 5)))
+    if mode == "full":
+        return concepts.assign_concepts(out, 5, *kinds)
+    out = lexicon.spo_manual(out, any_of(lexicon.manual_pending, 5))
+    out = concepts.assign_concepts(out, 5, *kinds)
     out = updates.preliminary_class(updates.preliminary_class(out, False), True)
-    out = lexicon.spo_manual(out, manual(6))
-    out = concepts.assign_concepts(out, 6, "corpus", "external")
+    out = lexicon.spo_manual(out, any_of(lexicon.manual_pending, 6))
+    out = concepts.assign_concepts(out, 6, *kinds)
     return updates.mark_no_predicate(out, 5)

@@ -279,15 +279,29 @@ def at_extraction_levels(df):
     return df.withColumn("review_level", F.when(F.col("review_level") == 9, 5).when(F.col("review_level") == 8, 6).otherwise(F.col("review_level")))
 
 
-@register("P11")
-def p11(spark, d):
+def _extracted(spark, d, mode):
     lex = lexicon.build_lexicon(spark)
     s = at_extraction_levels(views.with_spo(injected(spark, d, lex, rated=True)))
     s = enriched(spark, d, s).withColumns({c: F.lit("") for c in concepts.CONCEPT_COLUMNS})
-    out = extraction.run_spo(s, lex, parse_parts)
+    out = extraction.run_spo(s, lex, parse_parts, mode=mode)
     return out.select("id", "spo_type", "big_subject", "predicate", "big_object", "sentence_class", "predicate_not_found", *concepts.CONCEPT_COLUMNS)
 
 
+@register("P11")
+def p11(spark, d):
+    return _extracted(spark, d, "reviewed")
+
+
+@register("P11_full")
+def p11_full(spark, d):
+    return _extracted(spark, d, "full")
+
+
+@register("P11_augmented")
+def p11_augmented(spark, d):
+    return _extracted(spark, d, "augmented")
+
+
 @register("T25", with_views("spo") + r"""
 SELECT id, array_to_string(list_filter(list_filter(string_split_regex(coalesce(nullif(subject || ' [UNK] ' || subject, ''), ''), '\s+'), lambda t: t <> ''), lambda t: t <> '[UNK]'), ' ')
   || ' [SEP] ' || array_to_string(list_filter(string_split_regex(predicate, '\s+'), lambda t: t <> '' AND t <> '[UNK]'), ' ')

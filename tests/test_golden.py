@@ -265,3 +265,25 @@ def test_text_features_keep_every_term(spark):
     assert len(fitted.stages[1].vocabulary) == 601
     hashed = models.tfidf_stages(rows, width=64).transform(rows).select("features").first()["features"]
     assert hashed.size == 64 and hashed.numNonzeros() >= 1
+
+
+def test_extraction_modes(spark, data):
+    """Each mode touches its own sentences: full by automatic score, augmented by manual predicates only."""
+    from claimlens.plans import queries_spo, views
+
+    before = {r["id"]: r for r in queries_spo.at_extraction_levels(views.with_spo(queries_spo.injected(spark, data, lexicon.build_lexicon(spark), rated=True))).collect()}
+    full = queries_spo.p11_full(spark, data).collect()
+    assert len(full) == len(before)
+    for r in full:
+        b = before[r["id"]]
+        chosen = b["review_level"] == 5 and not b["skip_validations"] and b["check_worthy_score_auto"] >= 0.5
+        cleared = b["review_level"] <= 5 and not b["predicate_not_found"]
+        if cleared and not chosen:
+            assert r["predicate"] == ""
+        assert chosen or not any(r[c] for c in ("subject_cuis", "predicate_cuis", "object_cuis"))
+    assert any(r["predicate"] for r in full if before[r["id"]]["review_level"] == 5)
+    for r in queries_spo.p11_augmented(spark, data).collect():
+        b = before[r["id"]]
+        if r["predicate"] and b["review_level"] == 5 and not b["predicate_not_found"]:
+            assert r["predicate"].lower() == b["manually_identified_predicate"].lower()
+
