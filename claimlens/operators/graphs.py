@@ -81,6 +81,40 @@ def with_valid_groups(df: DataFrame, rules: DataFrame, default: list[str] = fixe
     return out.withColumns({"subject_groups": fill("subject_groups"), "object_groups": fill("object_groups")})
 
 
+def sentence_graph(df: DataFrame, phrasal: DataFrame, rules: DataFrame, node_type: str = "cui", brackets: bool = True) -> DataFrame:
+    """Adds what a sentence gives the graph: ``norm_p``, the groups its predicate allows, and the labels ``norm_s`` and ``norm_o``.
+
+    ``df`` has tagged predicate tokens ``p_tokens`` and aligned concepts ``s_ext`` and ``o_ext``; ``triples`` makes edges of the
+    result, by token or joined, and ``predicate_report`` its predicate counts.
+    """
+    named = with_valid_groups(norm_predicate(df, phrasal), rules)
+    return named.withColumns({
+        "norm_s": norm_nodes(F.col("s_ext"), F.col("subject_groups"), node_type, brackets),
+        "norm_o": norm_nodes(F.col("o_ext"), F.col("object_groups"), node_type, brackets)})
+
+
+def predicate_report(df: DataFrame, order: str = "new_sentence_id") -> DataFrame:
+    """(norm_p, n, first_seen) of a sentence graph."""
+    return df.groupBy("norm_p").agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
+
+
+def triple_rows(df: DataFrame, by_token: bool = True) -> DataFrame:
+    """Rows of the triple file: item_id, sentence_id, subject, predicate, object and both group lists.
+
+    By token every subject label stands with every object label; joined, a sentence gives its own words and its labels.
+    """
+    keep = [F.col("item_id"), F.col("id").alias("sentence_id")]
+    if by_token:
+        groups = [F.array_join(c, ",").alias(c) for c in ("subject_groups", "object_groups")]
+        one = df.select(*keep, F.explode("norm_s").alias("subject"), F.col("norm_p").alias("predicate"), "norm_o", *groups)
+        return one.select("item_id", "sentence_id", "subject", "predicate", F.explode("norm_o").alias("object"), "subject_groups", "object_groups")
+    pair = lambda s, o: F.struct(s.alias("subject"), o.alias("object"))
+    both = F.array(pair(F.col("big_subject"), F.col("big_object")), pair(F.array_join("norm_s", " "), F.array_join("norm_o", " ")))
+    blank = F.lit("")
+    return df.select(*keep, F.col("norm_p").alias("predicate"), F.explode(both).alias("e")).select(
+        "item_id", "sentence_id", "e.subject", "predicate", "e.object", blank.alias("subject_groups"), blank.alias("object_groups"))
+
+
 def triples(df: DataFrame, by_token: bool = True) -> DataFrame:
     """(s, p, o) rows of a sentence in order: every subject label with every object label, or one joined triple.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.cluster import materialise
-from claimlens.operators import concepts, counts, graphs, knowledge
+from claimlens.cluster import materialise, shared_path
+from claimlens.operators import concepts, graphs, knowledge
 from claimlens.operators.selectors import item_selector
 from claimlens.plans import views
 from claimlens.plans.queries_spo import ALIGN_SQL, enriched, q
 from claimlens.plans.registry import register
 from claimlens.plans.views import table, with_views
+from claimlens.sources import sinks
 
 TERMS_SQL = """, terms AS (SELECT DISTINCT replace(lower(p_name), ' ', '_') AS term FROM part UNION SELECT DISTINCT replace(lower(p_brand), ' ', '_') FROM part)
 """
@@ -63,12 +64,16 @@ def predicate_tokens(df):
     return views.tagged(None, None, base).withColumnRenamed("tokens", "p_tokens").drop("sentence").withColumnRenamed("_whole", "sentence")
 
 
-def predicates(spark, d):
-    """SPO sentences whose big predicate is two words long for half of the rows (a negation for some)."""
+def tokened(spark, d):
+    """SPO sentences whose big predicate is two words long for half of the rows (a negation for some), with its tokens."""
     s = views.spo(spark, d).where("big_predicate <> ''")
     lead = F.element_at(F.array(*[F.lit(w) for w in ["is", "not", "was causing", ""]]), (F.col("pos") % 4 + 1).cast("int"))
     s = s.withColumn("big_predicate", F.trim(F.concat_ws(" ", lead, "predicate")))
-    return graphs.norm_predicate(predicate_tokens(s), phrasal(spark, d))
+    return predicate_tokens(s)
+
+
+def predicates(spark, d):
+    return graphs.norm_predicate(tokened(spark, d), phrasal(spark, d))
 
 
 def _lemma_sql():
@@ -139,27 +144,42 @@ def l2(spark, d):
 SELECT id, CASE WHEN rp IS NOT NULL AND norm_p NOT LIKE 'e%' THEN 'CHEM' ELSE '""" + ",".join(fixed.DEFAULT_GROUPS) + """' END AS subject_groups, subject_groups AS object_groups FROM norm
 LEFT JOIN (SELECT DISTINCT lower(w) AS rp FROM (SELECT string_split(sentence, ' ')[1] AS w FROM sentence)) r ON r.rp = norm_p""")
 def j10(spark, d):
-    first = F.lower(F.get(F.split("sentence", " "), F.lit(0)))
-    chem = F.when(first.startswith("e"), F.array().cast("array<string>")).otherwise(F.array(F.lit("CHEM")))
-    rules = views.sentence(spark, d).select(first.alias("predicate"), chem.alias("subject_groups"), chem.alias("object_groups")).distinct()
-    return graphs.with_valid_groups(predicates(spark, d), rules).select("id", *[F.array_join(c, ",").alias(c) for c in ("subject_groups", "object_groups")])
+    return graphs.with_valid_groups(predicates(spark, d), group_rules(spark, d)).select("id", *[F.array_join(c, ",").alias(c) for c in ("subject_groups", "object_groups")])
 
 
 TRIPLE_WHERE = "review_level = 9 AND NOT skip_validations"
-TRIPLES_SQL = ALIGN_SQL.replace("{where}", TRIPLE_WHERE) + KEPT_SQL + """
-, side AS (SELECT id, item_id, new_sentence_id, sentence_class, part, '[' || cui || ']' AS label, k,
+# Alignment and predicate names over the same views, and the concepts that the predicate's groups allow.
+_VIEWS = with_views("spo", "concept", extra=LEMMAS_SQL)
+GRAPH_SQL = (_VIEWS + ALIGN_SQL[len(with_views("spo", "concept")):].replace("{where}", TRIPLE_WHERE) + NORM_SQL[len(with_views("spo", extra=LEMMAS_SQL)):]
+             + f"""
+, ruled AS (SELECT n.id, n.norm_p, rp IS NOT NULL AND norm_p NOT LIKE 'e%' AS chem FROM norm n LEFT JOIN (SELECT DISTINCT lower(string_split(sentence, ' ')[1]) AS rp FROM sentence) ON rp = norm_p
+  WHERE {TRIPLE_WHERE}),
+kept AS (SELECT e.*, r.norm_p, chem, row_number() OVER (PARTITION BY e.id, part, cui ORDER BY k) AS rn FROM ext e JOIN ruled r ON r.id = e.id
+  WHERE cui <> '[UNK]' AND CASE WHEN chem THEN "group" = 'CHEM' ELSE "group" IN ({_GROUPS}) END)
+""")
+TRIPLES_SQL = GRAPH_SQL + """
+, side AS (SELECT id, item_id, new_sentence_id, sentence_class, norm_p, chem, part, '[' || cui || ']' AS label, k,
   row_number() OVER (PARTITION BY id, part ORDER BY k) - 1 AS n, count(*) OVER (PARTITION BY id, part) AS total FROM kept WHERE rn = 1),
-tri AS (SELECT s.item_id, s.new_sentence_id, s.sentence_class, s.label AS s, lower(p.w) AS p, o.label AS o, s.n * o.total + o.n AS place
-  FROM side s JOIN side o ON o.id = s.id AND o.part = 'o' JOIN (SELECT id, predicate AS w FROM spo) p ON p.id = s.id WHERE s.part = 's')
+tri AS (SELECT s.id, s.item_id, s.new_sentence_id, s.sentence_class, s.chem, s.label AS s, s.norm_p AS p, o.label AS o, s.n * o.total + o.n AS place
+  FROM side s JOIN side o ON o.id = s.id AND o.part = 'o' WHERE s.part = 's')
 """
 
 
+def group_rules(spark, d):
+    """Stand-in predicate rules: the first words of the sentences."""
+    first = F.lower(F.get(F.split("sentence", " "), F.lit(0)))
+    chem = F.when(first.startswith("e"), F.array().cast("array<string>")).otherwise(F.array(F.lit("CHEM")))
+    return views.sentence(spark, d).select(first.alias("predicate"), chem.alias("subject_groups"), chem.alias("object_groups")).distinct()
+
+
+def graph(spark, d, node_type="cui", brackets=True):
+    """The sentence graph of finished corpus sentences."""
+    s = tokened(spark, d).where("review_level = 9 and not skip_validations")
+    return graphs.sentence_graph(aligned_spo(spark, d, s), phrasal(spark, d), group_rules(spark, d), node_type, brackets)
+
+
 def sentence_triples(spark, d):
-    s = views.spo(spark, d).where("review_level = 9 and not skip_validations")
-    groups = F.array(*[F.lit(g) for g in fixed.DEFAULT_GROUPS])
-    a = aligned_spo(spark, d, s).withColumn("norm_p", F.lower("predicate"))
-    a = a.withColumns({"norm_s": graphs.norm_nodes(F.col("s_ext"), groups, "cui"), "norm_o": graphs.norm_nodes(F.col("o_ext"), groups, "cui")})
-    return graphs.triples(a.select("item_id", "new_sentence_id", "sentence_class", "norm_p", "norm_s", "norm_o"))
+    return graphs.triples(graph(spark, d).select("item_id", "new_sentence_id", "sentence_class", "norm_p", "norm_s", "norm_o"))
 
 
 @register("L3", TRIPLES_SQL + "SELECT item_id, new_sentence_id, sentence_class, s, p, o, place FROM tri")
@@ -181,12 +201,11 @@ def l4(spark, d):
 @register("L5", MEMBER_SQL + """
 , ord AS (SELECT *, row_number() OVER (ORDER BY new_sentence_id, place) AS edge_id FROM mem)
 SELECT 'edge' AS kind, edge_id, src AS a, rel AS b, dst AS c, CAST(new_sentence_id AS BIGINT) AS n FROM ord
-UNION ALL SELECT 'predicate', NULL, lower(predicate), NULL, NULL, count(*) FROM spo WHERE review_level = 9 AND NOT skip_validations AND predicate <> '' GROUP BY 3""")
+UNION ALL SELECT 'predicate', NULL, norm_p, NULL, NULL, count(*) FROM norm WHERE review_level = 9 AND NOT skip_validations GROUP BY 3""")
 def l5(spark, d):
     edges = graphs.number_edges(materialise(graphs.with_membership(sentence_triples(spark, d)), "edges"))
     none = F.lit(None).cast("string")
-    report = counts.predicate_counts(
-        views.spo(spark, d).where("review_level = 9 and not skip_validations and predicate <> ''").select(F.lower("predicate").alias("norm_p")))
+    report = graphs.predicate_report(graph(spark, d))
     return edges.select(F.lit("edge").alias("kind"), "edge_id", F.col("src").alias("a"), F.col("rel").alias("b"), F.col("dst").alias("c"),
                         F.col("new_sentence_id").alias("n")).unionByName(
         report.select(F.lit("predicate").alias("kind"), F.lit(None).cast("long").alias("edge_id"), F.col("norm_p").alias("a"), none.alias("b"), none.alias("c"), "n"))
@@ -270,10 +289,26 @@ def w5(spark, d):
 
 @register("T26", TRIPLES_SQL + """
 , st AS (SELECT id, string_agg(preferred, ' ' ORDER BY k) FILTER (part = 's') AS s, string_agg(preferred, ' ' ORDER BY k) FILTER (part = 'o') AS o FROM kept WHERE rn = 1 GROUP BY id)
-SELECT p.id, coalesce(s, '') || ' [SEP] ' || lower(predicate) || ' [SEP] ' || coalesce(o, '') AS t FROM spo p LEFT JOIN st ON st.id = p.id
-WHERE review_level = 9 AND NOT skip_validations AND predicate <> ''""")
+SELECT p.id, coalesce(s, '') || ' [SEP] ' || norm_p || ' [SEP] ' || coalesce(o, '') AS t FROM norm p LEFT JOIN st ON st.id = p.id
+WHERE review_level = 9 AND NOT skip_validations""")
 def t26(spark, d):
-    s = views.spo(spark, d).where("review_level = 9 and not skip_validations and predicate <> ''")
-    groups = F.array(*[F.lit(g) for g in fixed.DEFAULT_GROUPS])
-    node = lambda ext: F.array_join(graphs.norm_nodes(F.col(ext), groups, "text_cui", brackets=False), " ")
-    return aligned_spo(spark, d, s).select("id", F.concat_ws(f" {fixed.SEPARATOR} ", node("s_ext"), F.lower("predicate"), node("o_ext")).alias("t"))
+    parts = [F.array_join("norm_s", " "), F.col("norm_p"), F.array_join("norm_o", " ")]
+    return graph(spark, d, "text_cui", brackets=False).select("id", F.concat_ws(f" {fixed.SEPARATOR} ", *parts).alias("t"))
+
+
+_GROUP_TEXT = f"CASE WHEN chem THEN 'CHEM' ELSE '{','.join(fixed.DEFAULT_GROUPS)}' END"
+_TRIPLE_FILE = "layout string, item_id long, sentence_id long, subject string, predicate string, object string, subject_groups string, object_groups string"
+
+
+@register("S15", TRIPLES_SQL + f"""
+, lab AS (SELECT id, string_agg(label, ' ' ORDER BY k) FILTER (part = 's') AS s, string_agg(label, ' ' ORDER BY k) FILTER (part = 'o') AS o FROM side GROUP BY id)
+SELECT 'by token' AS layout, item_id, id AS sentence_id, s AS subject, p AS predicate, o AS object, {_GROUP_TEXT} AS subject_groups, {_GROUP_TEXT} AS object_groups FROM tri
+UNION ALL SELECT 'joined', item_id, n.id, coalesce(CASE WHEN j = 0 THEN big_subject ELSE s END, ''), norm_p, coalesce(CASE WHEN j = 0 THEN big_object ELSE o END, ''), '', ''
+  FROM norm n LEFT JOIN lab USING (id), range(2) t(j) WHERE {TRIPLE_WHERE}""")
+def s15(spark, d):
+    """The triple file in both layouts, written and read back."""
+    rows, path = graph(spark, d), shared_path(spark, "triples")
+    both = graphs.triple_rows(rows).withColumn("layout", F.lit("by token")).unionByName(graphs.triple_rows(rows, by_token=False).withColumn("layout", F.lit("joined")))
+    names = [x.split()[0] for x in _TRIPLE_FILE.split(", ")]
+    sinks.export_triples(both.select(*[F.coalesce(c, F.lit("")).alias(c) if c in ("subject", "object") else F.col(c) for c in names]), path)
+    return spark.read.schema(_TRIPLE_FILE).option("sep", "\t").option("header", True).option("quote", "").option("nullValue", "\x02").option("emptyValue", "").csv(path)

@@ -182,19 +182,6 @@ def s14(spark, d):
     return spark.read.text(path).select(cut[0].cast("long").alias("id"), cut[1].alias("value"))
 
 
-@register("S15", with_views("spo") + """
-SELECT item_id, id AS sentence_id, big_subject AS subject, lower(predicate) AS predicate, big_object AS object FROM spo
-WHERE NOT skip_validations AND review_level = 9 AND predicate <> ''""")
-def s15(spark, d):
-    path = shared_path(spark, "triples")
-    s = views.spo(spark, d).where("not skip_validations and review_level = 9 and predicate <> ''")
-    rows = s.select("item_id", F.col("id").alias("sentence_id"), F.col("big_subject").alias("subject"),
-                    F.lower("predicate").alias("predicate"), F.col("big_object").alias("object"))
-    sinks.export_triples(rows.where("object is not null"), path)
-    return spark.read.schema("item_id long, sentence_id long, subject string, predicate string, object string").option(
-        "sep", "\t").option("header", True).option("quote", "").option("nullValue", "\x02").option("emptyValue", "").csv(path)
-
-
 @register("S16", with_views("kg") + """
 , e AS (SELECT start_id AS src, end_id AS dst, relation_id AS rel, row_number() OVER (ORDER BY start_id, relation_id, end_id, weight) AS edge_id FROM kg_edges),
 n AS (SELECT node FROM (SELECT src AS node FROM e UNION SELECT dst FROM e))

@@ -56,7 +56,7 @@ def export_sentences(df: DataFrame, path: str, level: int, clean: bool = False)
 
 
 def export_triples(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
 def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
