@@ -297,7 +297,7 @@ def t26(spark, d):
 
 
 _GROUP_TEXT = f"CASE WHEN chem THEN 'CHEM' ELSE '{','.join(fixed.DEFAULT_GROUPS)}' END"
-_TRIPLE_FILE = "layout string, item_id long, sentence_id long, subject string, predicate string, object string, subject_groups string, object_groups string"
+_TRIPLE_COLUMNS = ["layout", "item_id", "sentence_id", "subject", "predicate", "object", "subject_groups", "object_groups"]
 
 
 @register("S15", TRIPLES_SQL + f"""
@@ -309,6 +309,8 @@ def s15(spark, d):
     """The triple file in both layouts, written and read back."""
     rows, path = graph(spark, d), shared_path(spark, "triples")
     both = graphs.triple_rows(rows).withColumn("layout", F.lit("by token")).unionByName(graphs.triple_rows(rows, by_token=False).withColumn("layout", F.lit("joined")))
-    names = [x.split()[0] for x in _TRIPLE_FILE.split(", ")]
+    names = _TRIPLE_COLUMNS
     sinks.export_triples(both.select(*[F.coalesce(c, F.lit("")).alias(c) if c in ("subject", "object") else F.col(c) for c in names]), path)
-    return spark.read.schema(_TRIPLE_FILE).option("sep", "\t").option("header", True).option("quote", "").option("nullValue", "\x02").option("emptyValue", "").csv(path)
+    cut = F.split("value", "\t", -1)
+    lines = spark.read.text(path).where(F.col("value") != "\t".join(names))  # each file has the header
+    return lines.select(*[cut[i].cast("long" if c.endswith("_id") else "string").alias(c) for i, c in enumerate(names)])
