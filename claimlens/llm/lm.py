@@ -46,6 +46,7 @@ _BUCKET_DOCS = 6000
 END = np.uint64(1)
 _COUNT = np.dtype([("hash", "u8"), ("count", "i8"), ("seen", "u1")])
 _TAIL = np.dtype([("hash", "u8"), ("doc", "i8"), ("n", "i4")])
+_SUM = np.dtype([("doc", "i8"), ("far", "f8"), ("known", "i8")])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -397,6 +398,11 @@ def score(docs: DataFrame) -> DataFrame:
     types and one unknown, ``score`` the network's; both are log10 and cover the whole text. Repeated rows are learned from
     and scored each; other columns are ignored; without rows there is no result.
     """
+    with blocks.small_batches(docs.sparkSession, 4000):
+        return _score(docs)
+
+
+def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~held_out(F.col("doc_id"))).alias("train"))
     n_docs = rows.count()
@@ -428,7 +434,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield blocks.pack("count", out["hash"] % np.uint64(buckets), out)
 
     def each(t: pa.Table):
-        """Per document the sum over its tokens of this bucket, and how many of them have a count."""
+        """Per document the sum over its tokens of this bucket, and how many of them have a count; dealt on by document."""
         counts = np.sort(blocks.unpack(t, "count", _COUNT), order="hash")
         tail = blocks.unpack(t, "tail", _TAIL)
         n = np.zeros(len(tail), dtype=np.int64)
@@ -438,13 +444,22 @@ def score(docs: DataFrame) -> DataFrame:
         order = np.argsort(tail["doc"], kind="stable")
         doc, times, n = tail["doc"][order], tail["n"][order].astype(np.int64), n[order]
         at = np.flatnonzero(first_of(doc))
+        out = np.zeros(len(at), dtype=_SUM)
+        if len(at):
+            out["doc"], out["far"], out["known"] = doc[at], np.add.reduceat(times * np.log10(n + 0.5), at), np.add.reduceat(times * (n > 0), at)
+        yield blocks.pack("sum", out["doc"] % buckets, out)
+
+    def added(t: pa.Table):
+        x = blocks.unpack(t, "sum", _SUM)
+        x = x[np.argsort(x["doc"], kind="stable")]
+        at = np.flatnonzero(first_of(x["doc"]))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(np.add.reduceat(times * np.log10(n + 0.5), at)), pa.array(np.add.reduceat(times * (n > 0), at))], ["place", "far", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["doc"][at]), pa.array(np.add.reduceat(x["far"], at)), pa.array(np.add.reduceat(x["known"], at))], ["place", "far", "known"])
 
     names = [x.split()[0] for x in _SCORED.split(", ")]
     scored = materialise(rows.select("doc_id", "text").mapInArrow(read, _SCORED), "scored")
     dealt = scored.where("bucket is not null").select("bucket", "kind", "data").unionByName(counts.mapInArrow(again, blocks.BLOCK))
-    far = blocks.meet(dealt, buckets, each, "place long, far double, known long").groupBy("place").agg(F.sum("far").alias("far"), F.sum("known").alias("known"))
+    far = blocks.meet(blocks.meet(dealt, buckets, each, blocks.BLOCK), buckets, added, "place long, far double, known long")
     both = scored.where("bucket is null").join(far, "place", "left")
     far, known = F.coalesce("far", F.lit(0.0)), F.coalesce("known", F.lit(0))
     mass = F.log10(F.lit(train_tokens + 0.5 * (types + 1)))
