@@ -61,6 +61,19 @@ def v1(spark, d):
     return encoding.fc_dataset(views.sentence(spark, d))
 
 
+_KNOWN_SQL = r"array_to_string(list_filter(string_split_regex({c}, '\s+'), lambda t: t <> '' AND t <> '[UNK]'), ' ')"
+_CONCEPTS_SQL = " || ' [SEP] ' || ".join(_KNOWN_SQL.format(c=c) for c in ("subject || ' [UNK] ' || subject", "predicate", "object"))
+
+
+@register("V1_concepts", with_views("spo") + f"""
+SELECT split, id, {_CONCEPTS_SQL} AS text, list_position(['NA','F','PF','T'], sentence_class) - 1 AS label FROM (
+  SELECT *, 'train' AS split FROM spo WHERE {SENTENCE_WHERE['fc-train']} UNION ALL SELECT *, 'test' FROM spo WHERE {SENTENCE_WHERE['fc-test']})""")
+def v1_concepts(spark, d):
+    """The same rows with concept text; the stand-in concepts are the SPO words, with an unknown one among the subject's."""
+    s = views.spo(spark, d).withColumns({"subject_cuis": F.concat(F.col("subject"), F.lit(" [UNK] "), F.col("subject")), "predicate_cuis": F.col("predicate"), "object_cuis": F.col("object")})
+    return encoding.fc_dataset(s, cuis=True)
+
+
 @register("V3", with_views("item") + f"""
 , r AS (SELECT 'train' AS split, id, text FROM item WHERE {ITEM_WHERE['train']} UNION ALL SELECT 'test', id, text FROM item WHERE {ITEM_WHERE['dev']}),
 tok AS (SELECT split, id, unnest(regexp_extract_all(lower(text), {WORD})) AS term FROM r),

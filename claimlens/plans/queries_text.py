@@ -53,6 +53,13 @@ def t4(spark, d):
     return new.select("item_id", "pos", "sentence", "rating", "review_level", "check_worthy", "new_sentence_id")
 
 
+@register("T4_items", with_views("item") + """
+SELECT id, CASE WHEN review_level = 1 THEN CASE WHEN skip_validations THEN 3 ELSE 2 END ELSE review_level END AS review_level FROM item""")
+def t4_items(spark, d):
+    old = views.sentence(spark, d).where("review_level = 9")
+    return ingest.generate_sentences(views.item(spark, d), old, 1)[1].select("id", "review_level")
+
+
 @register("T5", _sql(r"regexp_replace(TEXT, '\p{So}', '', 'g')", "t"))
 def t5(spark, d):
     return marked(spark, d).select("doc_id", text.strip_symbols(F.col("text")).alias("t"))

@@ -91,9 +91,19 @@ RESULT_FIELDS = ["accuracy", "precision", "recall", "f1", "precision+", "recall+
 
 
 def append_results(df: DataFrame, path: str) -> None:
-    """Appends metric rows at three decimals; every part carries its header."""
+    """Appends metric rows (a few per run) at three decimals; the header is written once, before the first rows."""
+    spark = df.sparkSession
     shown = df.select(*[F.format_string("%.3f", F.col(f"`{c}`")).alias(c) if c != "model" else F.col(c) for c in RESULT_FIELDS])
-    shown.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+    lines = shown.select(F.concat_ws("\t", *[F.col(f"`{c}`") for c in RESULT_FIELDS]).alias("value"))
+    if not exists(spark, path):
+        lines = spark.createDataFrame([("\t".join(RESULT_FIELDS),)], "value string").unionByName(lines)
+    lines.coalesce(1).write.mode("append").text(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    cut = F.split("value", "\t")
+    rows = spark.read.text(path).where(F.col("value") != "\t".join(RESULT_FIELDS))
+    return rows.select(*[cut[i].alias(c) for i, c in enumerate(RESULT_FIELDS)])
 
 
 def export_predictions(df: DataFrame, path: str, truth: str, prediction: str, features: list[str] = ()) -> None:
@@ -101,12 +111,14 @@ def export_predictions(df: DataFrame, path: str, truth: str, prediction: str, fe
     rows.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def cached(spark: SparkSession, label: str, folder: str, build) -> DataFrame:
-    """The stored table for a label, built and written first if it is not there yet."""
-    path = f"{folder.rstrip('/')}/features-{label}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(target):
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def cached(spark: SparkSession, label: str, folder: str, build, version: str = "") -> DataFrame:
+    """The stored table for a label and a version of its data, built and written first if it is not there yet."""
+    path = f"{folder.rstrip('/')}/features-{label}{'-' if version else ''}{version}"
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

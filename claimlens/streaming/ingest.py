@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from claimlens.operators.ingest import new_rows, shape_user
+from claimlens.sources.sinks import exists
 
 
 def read_posts(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def append_unseen(rows: DataFrame, path: str, key: str) -> None:
     """
     spark = rows.sparkSession
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    if table_exists(spark, path):
+    if exists(spark, path):
         touched = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # BUCKETS at most
         stored = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(key)
     else:
@@ -60,11 +61,6 @@ def ingest_posts(stream: DataFrame, posts_path: str, checkpoint: str, key: str =
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def run_stage(stream: DataFrame, stage: Callable[[DataFrame], DataFrame], level: int, out_path: str, checkpoint: str) -> StreamingQuery:
     """Runs a stage over the rows that have reached a level and stores its result, one folder per batch.
 
