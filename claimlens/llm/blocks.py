@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Spark schema of dealt rows.
 BLOCK = "bucket int, kind string, data binary"
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Lowers the session's limit of an Arrow batch to 8 MB, for good: results are computed after an operator has returned.
+
+    Whole texts would else go to Python in batches of 64 MB, which are held several times on both sides.
+    """
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", spark.conf.get(_BATCH_BYTES, "64m").strip().lower()).groups()
+    now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit[:1], 0)
+    if not 0 < now <= most:
+        spark.conf.set(_BATCH_BYTES, str(most))
+
+
 def pack(kind: str, bucket: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
     """One row per bucket with the bytes of its records."""
     order = np.argsort(bucket, kind="stable")

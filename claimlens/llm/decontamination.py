@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.cluster import materialise
-from claimlens.llm import words
+from claimlens.llm import blocks, words
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -51,12 +51,10 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", name: str = "posting
 class Shard:
     """One stored shard: posting lists by term and document bounds."""
 
-    def __init__(self, row: dict):
-        self.name, self.doc_ids = row["shard"], row["doc_ids"]
-        self.bounds = np.frombuffer(row["bounds"], dtype=np.int64)
-        self.terms = np.frombuffer(row["terms"], dtype=np.uint64)
-        self.cuts = np.frombuffer(row["cuts"], dtype=np.int64)
-        self.postings = np.frombuffer(row["postings"], dtype=np.uint32)
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.name, self.doc_ids = batch["shard"][i].as_py(), batch["doc_ids"][i].values
+        kinds = {"bounds": np.int64, "terms": np.uint64, "cuts": np.int64, "postings": np.uint32}
+        self.bounds, self.terms, self.cuts, self.postings = (np.frombuffer(batch[c][i].as_buffer(), dtype=k) for c, k in kinds.items())
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers, -1 for terms that do not occur."""
@@ -140,8 +138,8 @@ def search(index: DataFrame, phrases: DataFrame, within: int | None = None, bloc
             cuts = np.cumsum([0] + [len(t) for t in terms])
             flat = np.concatenate(terms) if terms else np.empty(0, dtype=np.uint64)
             for b in it:
-                for row in b.to_pylist():
-                    yield from _matches(Shard(row), names, flat, cuts, within)
+                for i in range(len(b)):
+                    yield from _matches(Shard(b, i), names, flat, cuts, within)
 
         one = index.mapInArrow(match, _MATCH)
         found = one if found is None else found.unionByName(one)
@@ -163,7 +161,7 @@ def _matches(shard: Shard, names: np.ndarray, flat: np.ndarray, cuts: np.ndarray
         phrase, start, length = (np.concatenate(x) for x in zip(*out))
         doc = shard.doc(start)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([shard.name] * len(doc)), pa.array(doc, pa.int32()), pa.array(shard.doc_ids).cast(pa.int64()).take(pa.array(doc)), pa.array(phrase, pa.int64()), pa.array(start - shard.bounds[doc], pa.int64()), pa.array(length, pa.int32())],
+            [pa.array([shard.name] * len(doc)), pa.array(doc, pa.int32()), shard.doc_ids.take(pa.array(doc)), pa.array(phrase, pa.int64()), pa.array(start - shard.bounds[doc], pa.int64()), pa.array(length, pa.int32())],
             ["shard", "place", "doc_id", "phrase", "start", "length"])
 
 
@@ -206,6 +204,7 @@ def report(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", width:
     item, or the whole item if it has fewer. Null and empty texts have no words; items without words match nothing;
     repeated rows are reported each; other columns are ignored.
     """
+    blocks.bound_batches(docs.sparkSession)
     index = build_index(docs, id_column)
     phrases = phrase_windows(items, width=width).where("item_id is not null").select(F.col("item_id").alias("phrase"), "terms").distinct()
     hits = _stretches(search(index, phrases)).select("shard", "place", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), "phrase", F.struct("start", "end").alias("at"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.llm import blocks
+
 #: Elements without content, and elements whose content is no markup.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "noembed", "noframes", "xmp"}
@@ -208,11 +210,12 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     Null and empty html give an empty text; markup that the page's end cuts off is dropped, elements left open end there.
     Repeated rows give the same text; other columns pass through.
     """
-    rows = pages.select(F.struct(*[pages[f"`{c}`"] for c in pages.columns]).alias("row"), F.col(html).cast("string").alias("html"))
+    blocks.bound_batches(pages.sparkSession)
+    rows = pages.select(F.struct(*[pages[f"`{c}`"] for c in pages.columns]).alias("row"))
 
     def batches(it):
         for b in it:
-            texts = [article(x) if x else "" for x in b["html"].to_pylist()]
+            texts = [article(x) if x else "" for x in b["row"].field(html).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b["row"], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["row", "text", "n_chars"])
 
     return rows.mapInArrow(batches, f"row {rows.schema['row'].dataType.simpleString()}, text string, n_chars long")

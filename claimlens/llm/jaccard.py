@@ -396,6 +396,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     words (null, empty) have no set and no links. A doc_id that occurs with several texts is one document that is linked
     wherever one of them is. Rows with a null doc_id are returned without a component. Other columns are ignored.
     """
+    blocks.bound_batches(docs.sparkSession)
     table = materialise(signatures(docs, hot_shingles(docs), percent), "signatures")
     full = table.where("n > 0 and doc_id is not null")
     same = full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
@@ -422,12 +423,13 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # the likeliest pair of every two components, then all pairs that still lie between components
     low, high = F.least("a_root", "b_root"), F.greatest("a_root", "b_root")
     best = maybe.groupBy(low.alias("x"), high.alias("y")).agg(F.max(F.struct("most", "a", "b")).alias("best")).select("best.a", "best.b")
-    edges = nodes.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(materialise(_verified(best, texts, percent), "links"))
-    roots = components(edges)
+    edges = nodes.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(alike)
+    roots = components(edges.unionByName(materialise(_verified(best, texts, percent), "links")))
     of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"{c}_now"))
     left = maybe.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("a_now", "a") != F.coalesce("b_now", "b"))
-    edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(materialise(_verified(left, texts, percent), "links"))
-    roots = components(edges.unionByName(alike))
+    more = materialise(_verified(left, texts, percent), "links")
+    if more.limit(1).count():
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     found = table.select("doc_id", F.col("n").alias("n_shingles")).join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 

@@ -216,6 +216,7 @@ def near_lines(candidates: DataFrame, buckets: int) -> DataFrame:
 
 def repeated(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """(doc_id, text_hash, line, near): every line with an equal (near false) or a near line before it."""
+    blocks.bound_batches(docs.sparkSession)
     buckets = max(_SALTS, docs.count() // _BUCKET_DOCS)
     met = materialise(_find_equal(docs, min_words, near_words, buckets), "lines")
     equal = met.where("kind = 'equal'").select(*_ORDER, F.lit(False).alias("near"))
@@ -240,14 +241,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
     empty ones empty; a null doc_id comes after all others. Other columns pass through.
     """
     gone = repeated(docs, min_words, near_words).distinct().groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line", "near")).alias("gone"))
-    rows = _keyed(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = rows.select("row", "text", "_doc", "_hash")
-    both = rows.join(gone, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left").select("row", "text", "gone")
+    rows = _keyed(docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "text")).select("row", "_doc", "_hash")
+    both = rows.join(gone, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")), "left").select("row", "gone")
 
     def cut(it):
         for b in it:
             texts, n, equal, near = [], [], [], []
-            for text, out in zip(b["text"].to_pylist(), b["gone"].to_pylist()):
+            for text, out in zip(b["row"].field("text").cast(pa.string()).to_pylist(), b["gone"].to_pylist()):
                 parts = (text or "").split("\n")
                 numbers = {x["line"] for x in out or ()}
                 texts.append("\n".join(x for i, x in enumerate(parts) if i not in numbers) if numbers else text)

@@ -398,12 +398,8 @@ def score(docs: DataFrame) -> DataFrame:
     types and one unknown, ``score`` the network's; both are log10 and cover the whole text. Repeated rows are learned from
     and scored each; other columns are ignored; without rows there is no result.
     """
-    with blocks.small_batches(docs.sparkSession, 4000):
-        return _score(docs)
-
-
-def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
+    blocks.bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~held_out(F.col("doc_id"))).alias("train"))
     n_docs = rows.count()
     buckets = max(8, n_docs // _BUCKET_DOCS)

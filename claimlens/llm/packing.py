@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.cluster import materialise
-from claimlens.llm import words
+from claimlens.llm import blocks, words
 
 CAPACITY = 2048
 SHARD_PIECES = 4096
@@ -119,4 +119,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PI
     without a bin. Null sources and texts without words conflict with nothing. Repeated rows are packed each; as copies
     they never share a bin. Other columns are ignored; an empty table gives no rows.
     """
+    blocks.bound_batches(docs.sparkSession)
     return pack_measured(materialise(measure(docs), "packing"), capacity, shard_pieces)
