@@ -116,10 +116,10 @@ def sentence(spark, d, rated: bool = False):
     truth, worth = ["NA", "F", "PF", "T"], ["NA", "NF", "FNR", "FRC", "FR"]
     empty = ["subject", "predicate", "object", "big_subject", "big_predicate", "big_object", "spo_type", "manually_identified_predicate"]
     return cut.select(
-        (doc * 100000 + pos).alias("id"),
+        (doc * 10_000_000 + pos).alias("id"),
         doc.alias("item_id"),
         pos.cast("long").alias("pos"),
-        (doc * 100000 + pos).alias("new_sentence_id"),
+        (doc * 10_000_000 + pos).alias("new_sentence_id"),
         "sentence",
         F.col("source").alias("title"),
         (((doc * 31 + pos * 17) % 101) / 100.0).alias("sentence_class_score_auto"),
@@ -141,7 +141,7 @@ def _sentence_sql(rated: bool) -> str:
     rating = ", CASE WHEN l.quality IS NULL THEN 50 WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 100 ELSE 25 END AS rating" if rated else ""
     joined = "docs LEFT JOIN labels l USING (doc_id)" if rated else "docs"
     return rf"""sentence AS (
-  SELECT doc_id * 100000 + pos AS id, doc_id AS item_id, pos, doc_id * 100000 + pos AS new_sentence_id, sentence, source AS title,
+  SELECT doc_id * 10000000 + pos AS id, doc_id AS item_id, pos, doc_id * 10000000 + pos AS new_sentence_id, sentence, source AS title,
     ((doc_id * 31 + pos * 17) % 101) / 100.0::DOUBLE AS sentence_class_score_auto,
     ((doc_id * 13 + pos * 7) % 101) / 100.0::DOUBLE AS check_worthy_score_auto,
     (['NA','F','PF','T'])[(doc_id + pos) % 4 + 1] AS sentence_class,
