@@ -34,10 +34,11 @@ KNOWN = 65_536
 STATE = 20
 WINDOW = 32
 LANES = 256
-#: The network trains on one training document in SHARE, but on at least LEAST of them where there are as many.
-SHARE, LEAST = 24, 3000
-#: Documents that one task trains on; the tasks' weights are averaged after every round.
+#: Fewer lanes in training mean more steps for the same text.
+TRAIN_LANES = 64
+#: Documents that are stored together for training, about.
 TASK_DOCS = 3000
+#: Parts of the training documents; the tasks' weights are averaged after each part.
 ROUNDS = 2
 _RUN = 8 << 20
 _BUCKET_DOCS = 6000
@@ -129,21 +130,23 @@ class Network:
     def forward(self, previous: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each step of a window (steps x lanes); ``h`` is the state before it and is updated."""
         w, s = self.w, STATE
-        out = np.empty((*previous.shape, s), dtype=np.float32)
-        inputs = w["e"][previous] + w["b"]
+        # lanes last inside the loop, so that the gates are whole stretches of memory
+        out = np.empty((len(previous), s, previous.shape[1]), dtype=np.float32)
+        inputs = np.ascontiguousarray((w["e"][previous] + w["b"]).transpose(0, 2, 1))
+        u, h = np.ascontiguousarray(w["u"].T), np.ascontiguousarray(h.T)
         for t in range(len(previous)):
             if fresh[t].any():
-                h = h * ~fresh[t][:, None]
-            r = h @ w["u"]
+                h = h * ~fresh[t]
+            r = u @ h
             x = inputs[t]
-            gates = _sigmoid(x[:, : 2 * s] + r[:, : 2 * s])
-            n = np.tanh(x[:, 2 * s :] + gates[:, :s] * r[:, 2 * s :])
-            z = gates[:, s:]
+            gates = _sigmoid(x[: 2 * s] + r[: 2 * s])
+            n = np.tanh(x[2 * s :] + gates[:s] * r[2 * s :])
+            z = gates[s:]
             if keep is not None:
-                keep.append((h, gates, n, r[:, 2 * s :]))
+                keep.append((h, gates, n, r[2 * s :]))
             h = n + z * (h - n)
             out[t] = h
-        return out
+        return np.ascontiguousarray(out.transpose(0, 2, 1))
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the class, and inside head classes of the word, for rows of states."""
@@ -195,21 +198,22 @@ class Network:
                 q *= scale[own][:, None]
                 g["wo"][c], g["bo"][c] = flat[own].T @ q, q.sum(0)
                 back[own] += q @ w["wo"][c].T
-        back = back.reshape(steps, lanes, s)
-        inputs = np.empty((steps, lanes, 3 * s), dtype=np.float32)
-        carry = np.zeros((lanes, s), dtype=np.float32)
+        back = np.ascontiguousarray(back.reshape(steps, lanes, s).transpose(0, 2, 1))
+        inputs = np.empty((steps, 3 * s, lanes), dtype=np.float32)
+        carry = np.zeros((s, lanes), dtype=np.float32)
         for step in range(steps - 1, -1, -1):
             before, gates, n, rn = kept[step]
-            r, z = gates[:, :s], gates[:, s:]
+            r, z = gates[:s], gates[s:]
             d = back[step] + carry
             dn = d * (1 - z) * (1 - n * n)
             dz = d * (before - n) * z * (1 - z)
             dr = dn * rn * r * (1 - r)
-            inputs[step] = np.concatenate([dr, dz, dn], axis=1)
-            turn = np.concatenate([dr, dz, dn * r], axis=1)
-            g["u"] += before.T @ turn
-            carry = d * z + turn @ w["u"].T
-            carry *= ~fresh[step][:, None]
+            inputs[step] = np.concatenate([dr, dz, dn])
+            turn = np.concatenate([dr, dz, dn * r])
+            g["u"] += before @ turn.T
+            carry = d * z + w["u"] @ turn
+            carry *= ~fresh[step]
+        inputs = np.ascontiguousarray(inputs.transpose(0, 2, 1))
         g["b"] = inputs.sum((0, 1))
         source = previous.reshape(-1)
         order = np.argsort(source, kind="stable")
@@ -315,14 +319,16 @@ def count(docs: DataFrame, buckets: int) -> DataFrame:
     return blocks.meet(docs.mapInArrow(deal, blocks.BLOCK), buckets, each, "hash long, count long")
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> Network:
-    """Rounds of training in parallel on a share of the training documents, the weights averaged after each round."""
+def train(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> tuple[Network, int]:
+    """The network after one pass over all training documents, and the number of tokens it has read.
+
+    The documents are read in rounds, each in parallel on its part of them; the weights are averaged after each round.
+    """
     spark = docs.sparkSession
-    share = max(1.0 / SHARE, min(1.0, LEAST / max(1, n_docs)))
-    some = docs.where(F.col("train") & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))).select("doc_id", "text")
-    tasks = max(1, round(n_docs * share / TASK_DOCS))
-    dealt = materialise(some.repartition(tasks, F.xxhash64("doc_id", F.lit(5))), "training-texts") if tasks > 1 else materialise(some.coalesce(1), "training-texts")
-    network = Network.new()
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)).alias("part")
+    every = docs.where("train").select(part, "text", F.xxhash64("doc_id", F.lit(5)).alias("_deal"))
+    dealt = materialise(every.repartition(max(1, round(n_docs / TASK_DOCS)), "_deal").drop("_deal"), "training-texts")
+    network, read = Network.new(), 0
     for step in range(ROUNDS):
         sent = spark.sparkContext.broadcast((network.flat(), vocabulary))
 
@@ -333,7 +339,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> Network:
                 for _, _, first, hashes in _documents(b["text"]):
                     at = vocabulary.find(hashes)
                     token = np.where(at >= 0, vocabulary.number[at] if len(vocabulary.number) else 0, CLASSES * MEMBERS + 1).astype(np.int32)
-                    own.train(streams(token, first, 64), rate=0.01 / (1 + 2 * step))
+                    own.train(streams(token, first, TRAIN_LANES), rate=0.01 / (1 + 2 * step))
                     tokens += len(token)
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([own.flat().tolist()], pa.list_(pa.float64()))], ["tokens", "weights"])
@@ -348,10 +354,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> Network:
                 yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sums / total], pa.list_(pa.float64()))], ["tokens", "weights"])
 
         kind = "tokens double, weights array<double>"
-        found = dealt.select("text").mapInArrow(fit, kind).repartition(8).mapInArrow(add, kind).collect()  # 8 rows at most
+        found = dealt.where(F.col("part") == step).select("text").mapInArrow(fit, kind).repartition(8).mapInArrow(add, kind).collect()  # 8 rows at most
         if found:
             network = Network.unflat(np.average([r["weights"] for r in found], axis=0, weights=[r["tokens"] for r in found]))
-    return network
+            read += int(sum(r["tokens"] for r in found))
+    return network, read
 
 
 def _score_run(network: Network, vocabulary: Vocabulary, first: np.ndarray, hashes: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -407,7 +414,7 @@ def score(docs: DataFrame) -> DataFrame:
     train_tokens, types = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("count"), "hash").limit(KNOWN).toArrow()  # KNOWN rows at most
     vocabulary = Vocabulary.of(top["hash"].to_numpy().view(np.uint64), top["count"].to_numpy(), train_tokens, types)
-    sent = spark.sparkContext.broadcast((train(rows, vocabulary, n_docs).flat(), vocabulary))
+    sent = spark.sparkContext.broadcast((train(rows, vocabulary, n_docs)[0].flat(), vocabulary))
 
     def read(it):
         weights, vocabulary = sent.value

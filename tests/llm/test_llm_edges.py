@@ -111,6 +111,16 @@ def test_lm(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_lm_trains_on_every_training_document(spark):
+    """More documents than one task is dealt: the network reads each token of each of them."""
+    n = 2 * lm.TASK_DOCS + 500
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), (~lm.held_out(F.col("id"))).alias("train"))
+    hashes = np.sort(np.append(words.text_hash(["a", "b", "c"]), lm.END))
+    kept = rows.where("train").count()
+    _, read = lm.train(rows, lm.Vocabulary.of(hashes, np.full(4, kept), 4 * kept, 4), n)
+    assert read == 4 * kept
+
+
 def test_lm_gradients_and_whole_documents():
     rng = np.random.default_rng(0)
     net = lm.Network.new()
