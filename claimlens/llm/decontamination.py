@@ -178,8 +178,8 @@ def _stretches(matches: DataFrame) -> DataFrame:
             keys = [t["shard"].combine_chunks().dictionary_encode().indices.to_numpy(), t["place"].to_numpy(), t["phrase"].to_numpy()]
             for k in keys:
                 group[1:] &= k[1:] == k[:-1]
-            # matches of one phrase owner have one length each or less than it at the end, so ends do not fall back
-            group[1:] &= start[1:] <= np.maximum.accumulate(end)[:-1]
+            # only with the match before it: a match cut off here although an earlier one reaches it is counted once by _covered
+            group[1:] &= start[1:] <= end[:-1]
             group[0] = False
             first = np.flatnonzero(~group)
             yield pa.RecordBatch.from_arrays([*[t[c].combine_chunks().take(pa.array(first)) for c in ("shard", "place", "phrase", "start")], pa.array(np.maximum.reduceat(end, first), pa.int64())], ["shard", "place", "phrase", "start", "end"])

@@ -189,6 +189,18 @@ def test_decontamination(spark, docs, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7] and sorted(kept.columns) == sorted(docs.columns)
 
 
+def test_separate_occurrences_are_not_joined(spark):
+    """A late match in an earlier document, then two occurrences of one item far apart, and one with a changed word."""
+    item = [f"q{i}" for i in range(10)]
+    long = [f"q{i}" for i in range(21)]
+    fill = lambda n: ["x"] * n
+    rows = [(1, fill(900) + item), (2, item + fill(190) + item + fill(5)), (3, long[:10] + ["x"] + long[11:]), (4, fill(3) + long[:15])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(long)), (2, "q3 q4")], "item_id long, text string")
+    found = {r["doc_id"]: r["n_hit"] for r in decontamination.report(docs, items).collect()}
+    assert found == {1: 10, 2: 20, 3: 20, 4: 15}
+
+
 def test_phrase_blocks_and_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c a b d c x a"), (2, "c q b q q a")], "doc_id long, text string")
     index = decontamination.build_index(docs)
