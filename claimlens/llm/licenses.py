@@ -1,9 +1,10 @@
 """License scan with ordered signature rules, in DataFrame functions only.
 
-A rule is a regular expression over a line's words with a keyword that every match contains, a label and a priority.
-Texts without any keyword are passed over; in the others only lines with a keyword are read, and on them only rules whose
-keyword occurs. Of the matches of a line, one inside the interval of a longer match is dropped, and of equal intervals
-the one with the highest priority stays; matches that merely overlap both stay.
+A rule is a regular expression over a paragraph's words with a keyword that every match contains, a label and a priority.
+A paragraph ends at a blank line, so a match may run over any number of wrapped lines. Texts without any keyword are
+passed over; in the others only paragraphs with a keyword are read, and on them only rules whose keyword occurs. Of the
+matches of a paragraph, one inside the interval of a longer match is dropped, and of equal intervals the one with the
+highest priority stays; matches that merely overlap both stay.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Everything that is not a word byte of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` before A-Z are lower-cased.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Between two paragraphs: one or more lines of white space only.
+_BREAK = r"\n[\x09\x0B-\x0D\x20]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed phrases and their labels.
@@ -137,7 +140,7 @@ TEXTS = [
     ("research-only", "for (?:academic|research) (?:and educational )?(?:use|purposes) only", "only", 2),
     ("attribution", "with proper attribution|provided that (?:the )?(?:source|author) is (?:credited|acknowledged)", "a", 1),
 ]
-#: A text or a line is read on only if it holds one of these; each match of each rule does.
+#: A text or a paragraph is read on only if it holds one of these; each match of each rule does.
 KEYWORDS = ["licen", "cc by", "cc0", "rights reserved", "copyright", "public domain", "creative commons", "creativecommons", "hereby granted", "permission to use",
             "redistribution", "endorse or promote", "advertising materials", "free software", "warranty", "unencumbered", "apache", "gpl", "gnu org", "opensource", "bsd",
             "no part of this", "proprietary", "unauthorized", "use only", "purposes only", "attribution", "is credited", "is acknowledged", "wtfpl", "mpl ", "epl ",
@@ -176,9 +179,9 @@ def _length(parts: Column, upto: Column) -> Column:
     return F.aggregate(F.slice(parts, F.lit(1), upto), F.lit(0), lambda a, x: a + F.length(x))
 
 
-def _matches(line: Column, rule: Column) -> Column:
-    """(start, -end, -priority, label, words) of every match of one rule in a line of words."""
-    hits, between = F.regexp_extract_all(line, rule["pattern"], F.lit(0)), F.split(line, rule["pattern"], -1)
+def _matches(part: Column, rule: Column) -> Column:
+    """(start, -end, -priority, label, words) of every match of one rule in a paragraph of words."""
+    hits, between = F.regexp_extract_all(part, rule["pattern"], F.lit(0)), F.split(part, rule["pattern"], -1)
 
     def interval(hit: Column, i: Column) -> Column:
         start = _length(between, i + 1) + _length(hits, i)
@@ -221,15 +224,15 @@ def scan(docs: DataFrame) -> DataFrame:
         first.append(F.when(n > 0, blanks(F.substring(words, F.lit(1), F.regexp_instr(words, F.lit(rx)) - 1))))
         last.append(F.when(n > 0, blanks(F.regexp_extract(words, rf"(?is)^(.*)(?<![^ ]){phrase}(?![^ ])", 1))))
         names.append(F.when(n > 0, F.lit(label)))
-    line = lambda x: F.translate(plain(x), _UPPER, _LOWER)
-    lines = F.filter(F.transform(F.split("_text", "\n"), line), lambda x: _holds_any(x, KEYWORDS))
-    per_line = F.transform(lines, lambda x: _kept(F.flatten(F.transform(F.filter(table, lambda r: F.contains(x, r["keyword"])), lambda r: _matches(x, r)))))
+    part = lambda x: F.translate(plain(x), _UPPER, _LOWER)
+    parts = F.filter(F.transform(F.split("_text", _BREAK), part), lambda x: _holds_any(x, KEYWORDS))
+    per_part = F.transform(parts, lambda x: _kept(F.flatten(F.transform(F.filter(table, lambda r: F.contains(x, r["keyword"])), lambda r: _matches(x, r)))))
     none = F.expr("cast(array() as array<struct<reach:int,words:bigint,labels:array<string>>>)")
     n_words = F.when(words == "", F.lit(0)).otherwise(blanks(words) + 1).cast("long")
     # one row each, so that later columns do not repeat the scan
     out = out.select(*[f"`{c}`" for c in kept], F.inline(F.array(F.struct(
         n_words.alias("n_words"), sum(places[1:], places[0]).alias("n_base"), F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"),
-        F.array_compact(F.array(*names)).alias("_base"), F.when(F.col("_read"), per_line).otherwise(none).alias("_found")))))
+        F.array_compact(F.array(*names)).alias("_base"), F.when(F.col("_read"), per_part).otherwise(none).alias("_found")))))
     found = F.flatten(F.transform("_found", lambda m: m["labels"]))
     covered = F.aggregate("_found", F.lit(0).cast("long"), lambda a, m: a + m["words"])
     return out.select(

@@ -254,6 +254,17 @@ def test_licenses(docs, empty, spark):
     assert rows[0]["score"] == 1.0
 
 
+def test_wrapped_license_texts(spark):
+    """Matches over line feeds, as in the usual headers; a blank line ends a match."""
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the X."
+    bsd = "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted"
+    lgpl = "it under the terms of the GNU Lesser General\n * Public\n * License"
+    rows = [(0, gpl), (1, lgpl), (2, bsd), (3, "the ISC\n \nlicense"), (4, "x\n\nthe MIT\nLicense\n\n\ny")]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in found] == ["gpl", "gpl,lgpl", "bsd", "", "mit"]
+    assert found[0]["score"] == pytest.approx(13 / 19) and found[2]["score"] == 1.0 and found[4]["score"] == pytest.approx(2 / 5)
+
+
 def test_lines(spark, docs, empty):
     base = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"
     texts = [
