@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontamination, html, jaccard, knn, licenses, lines, lm, packing, quality, warc
+from claimlens.llm import bpe, decontamination, html, jaccard, knn, licenses, lines, lm, merkle, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +165,65 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @register("op4_tag_path_extraction")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages")).select("row.page_id", "row.url", "text", "n_chars")
+
+
+@register("op11_distinct_word_bpe")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = bpe.read_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    found = bpe.decode(bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), tokenizer), tokenizer)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+#: CRC-32 of the decimal id, bit by bit.
+_STEP = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+_BYTES = "list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda j: CAST(ascii(substr(CAST(doc_id AS VARCHAR), j, 1)) AS BIGINT))"
+_EVEN = f"xor(list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: {_STEP}), 4294967295) % 2 = 0"
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+
+@register("op13_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT *, replace(text, chr(10), '') AS bare FROM documents),
+l AS (
+  SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text="bare")} AS other,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM d
+),
+t AS (
+  SELECT source, 0 AS lv, i, leaf AS h, count(*) OVER (PARTITION BY source) AS m FROM l
+  UNION ALL
+  SELECT source, lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 2) // 3 FROM t WHERE m > 1 GROUP BY source, lv, i // 3
+),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM t WHERE m = 1),
+u AS (
+  SELECT 0 AS lv, i, h, count(*) OVER () AS m FROM s
+  UNION ALL
+  SELECT lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(m) + 2) // 3 FROM u WHERE m > 1 GROUP BY lv, i // 3
+),
+k AS (SELECT l.doc_id, l.leaf, l.other, l.i, l.source, s.h AS subroot, s.i AS si FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source),
+p AS (
+  SELECT k.doc_id, t.lv, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i < k.i // (3 ** t.lv)::BIGINT), '') AS a, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i > k.i // (3 ** t.lv)::BIGINT), '') AS z
+  FROM k JOIN t ON t.source IS NOT DISTINCT FROM k.source AND t.m > 1 AND t.i // 3 = k.i // (3 ** (t.lv + 1))::BIGINT GROUP BY 1, 2
+  UNION ALL
+  SELECT k.doc_id, 1000 + u.lv, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i < k.si // (3 ** u.lv)::BIGINT), ''), coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i > k.si // (3 ** u.lv)::BIGINT), '')
+  FROM k JOIN u ON u.m > 1 AND u.i // 3 = k.si // (3 ** (u.lv + 1))::BIGINT GROUP BY 1, 2
+),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lv) AS step, a, z FROM p),
+f AS (
+  SELECT doc_id, 0 AS step, CASE WHEN crc32_even THEN other ELSE leaf END AS h FROM (SELECT *, {_EVEN} AS crc32_even FROM k)
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(o.a || f.h || o.z) FROM f JOIN o ON o.doc_id = f.doc_id AND o.step = f.step + 1
+),
+g AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM f GROUP BY 1)
+SELECT k.doc_id, leaf, subroot, (SELECT h FROM u WHERE m = 1) AS root,
+       sha256(coalesce((SELECT string_agg(a || z, '' ORDER BY step) FROM o WHERE o.doc_id = k.doc_id), '')) AS proof_sha256,
+       folded_root, folded_root = (SELECT h FROM u WHERE m = 1) AS verified
+FROM k JOIN g USING (doc_id)
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rest = [F.col(c) for c in merkle.FIELDS[:-1]]
+    bare = merkle.digest(*rest, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle.manifest(table(spark, folder, "documents"), {"other": F.when(even, bare).otherwise(merkle.digest(*rest, F.col("text")))})
+    path, root = F.col("path"), F.col("root")
+    folded = found.select("doc_id", "leaf", "subroot", root, F.sha2(merkle.proof(path), 256).alias("proof_sha256"), merkle.folded(F.col("other"), path).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == root)
