@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import bpe, decontamination, html, jaccard, knn, licenses, lines, lm, merkle, packing, quality, warc
+from claimlens.llm import bpe, collocations, decontamination, html, jaccard, knn, licenses, lines, lm, merkle, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,6 +175,41 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row.doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+@register("op12_collocation_tries", r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x{A}-\x{D}]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x{20}\x{9}]+') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k >= 2 AND f >= 30),
+u AS (
+  SELECT c.lang, c.g, c.a, x.cut, x.l, x.r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (CAST(x.l AS HUGEINT) + x.r) AS BIGINT) AS score
+  FROM c JOIN (
+    SELECT h.lang, h.g, h.cut, a.f AS l, b.f AS r FROM (
+      SELECT lang, g, cut, array_to_string(list_slice(w, 1, cut), ' ') AS p, array_to_string(list_slice(w, cut + 1, k), ' ') AS q FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+    ) h JOIN f a ON a.lang = h.lang AND a.g = h.p JOIN f b ON b.lang = h.lang AND b.g = h.q
+  ) x ON x.lang = c.lang AND x.g = c.g
+),
+v AS (SELECT lang, g, a, l, r, score FROM u QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+o AS (
+  SELECT DISTINCT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g, a FROM (
+    SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)
+  )
+),
+t AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang)
+SELECT v.lang, row_number() OVER (PARTITION BY v.lang ORDER BY score DESC, v.a DESC, v.g) AS rank, v.g AS phrase, v.a, l, r, CAST(t.n AS BIGINT) AS n, score
+FROM v JOIN t ON t.lang = v.lang WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.lang = v.lang AND o.g = v.g AND CAST(100 AS HUGEINT) * o.a >= CAST(80 AS HUGEINT) * v.a)
+QUALIFY rank <= 2000
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 #: CRC-32 of the decimal id, bit by bit.
 _STEP = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
 _BYTES = "list_transform(range(1, strlen(CAST(doc_id AS VARCHAR)) + 1), lambda j: CAST(ascii(substr(CAST(doc_id AS VARCHAR), j, 1)) AS BIGINT))"
