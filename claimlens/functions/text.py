@@ -233,24 +233,12 @@ def let(value: Column, body) -> Column:
 def running_sums(numbers: Column) -> Column:
     """Inclusive running sums of an int array, null for null.
 
-    A fold would copy its growing result at each step; here each sum adds up the blocks before it and its own block, for
-    blocks of about the root of the length.
+    A fold that appends would copy its growing result at each step. Here each pass adds the sums that stand 1, 2, 4, ...
+    places before, so that an array of n numbers takes log n passes.
     """
-    total = lambda values: F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
-
     def summed(v):
-        def by_block(at):
-            block = at["block"]
-            last = F.floor((F.size(v) - 1) / block).cast("int")
-            blocks = F.transform(F.sequence(F.lit(0), last), lambda k: total(F.slice(v, k * block + 1, block)))
-
-            def with_blocks(sums):
-                before = F.transform(F.sequence(F.lit(0), last), lambda k: total(F.slice(sums, F.lit(1), k)))
-                return let(before, lambda moved: F.transform(v, lambda _, i: F.get(moved, F.floor(i / block).cast("int")) + total(F.slice(v, F.floor(i / block).cast("int") * block + 1, i % block + 1))))
-
-            return let(blocks, with_blocks)
-
-        return F.when(F.size(v) == 0, v).otherwise(let(F.struct(F.ceil(F.sqrt(F.size(v))).cast("int").alias("block")), by_block))
+        widths = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda w: w < F.size(v))
+        return F.aggregate(widths, v, lambda now, w: F.transform(now, lambda x, i: x + F.coalesce(F.get(now, i - w), F.lit(0))))
 
     return let(numbers, lambda v: F.when(v.isNotNull(), summed(v)))
 

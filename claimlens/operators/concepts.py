@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens import fixed
 from claimlens.cluster import broadcast_if_small, settle
-from claimlens.functions.text import let, sem_ok, white_tokens
+from claimlens.functions.text import let, running_sums, sem_ok, white_tokens
 from claimlens.operators import updates
 
 def _struct(**fields) -> T.StructType:
@@ -110,22 +109,64 @@ def health_terms(df: DataFrame, candidates: str = "candidates") -> DataFrame:
     return df.withColumn("common_health_terms", terms).withColumn("health_terms_auto", F.size("common_health_terms"))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _walk(tokens: pd.Series, texts: pd.Series, starts: pd.Series) -> pd.Series:
-    """Per token, the index of the last candidate whose start the walk along the text has reached (null if none)."""
-    def one(words, text, firsts):
-        at, last, out = 0, len(text) - 1, []
-        by_start = {int(s): i for i, s in enumerate(firsts)}
-        for word in words:
-            found = None
-            for char in word:
-                found = by_start.get(at, found)
-                at += at < last and text[at] == char
-                at += at < last and text[at] == " "
-            out.append(found)
-        return out
+#: Tokens whose results are put together at once in ``_walk``: a longer result would be copied for each of them.
+_TOGETHER = 256
+_FOUND = "array<int>"
 
-    return pd.Series([None if s is None else one(w, t, s) for w, t, s in zip(tokens, texts, starts)])
+
+def _as_of(tokens: Column, starts: Column) -> Column:
+    """Per token, the index of the last candidate that starts inside it, for tokens one blank apart from the text's start on.
+
+    The last characters of the tokens and the candidate starts are sorted together; what a token looks for stands just
+    before it, if it does not start before the token.
+    """
+    ends = running_sums(F.transform(tokens, lambda t: F.length(t) + 1))
+
+    def point(at, kind, index, first):
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), index.cast("int").alias("index"), first.alias("first"))
+
+    words = F.zip_with(tokens, ends, lambda t, e: F.struct((e - 2).alias("at"), (e - F.length(t) - 1).alias("first")))
+    words = F.transform(words, lambda w, i: point(w["at"], 1, i, w["first"]))
+    points = F.array_sort(F.concat(words, F.transform(starts, lambda s, i: point(s, 0, i, s))))
+
+    def before(sorted_points):
+        def one(x, i):
+            prior = F.get(sorted_points, i - 1)
+            return F.struct(x["kind"].alias("kind"), F.when((prior["kind"] == 0) & (prior["first"] >= x["first"]), prior["index"]).alias("found"))
+
+        return F.transform(F.filter(F.transform(sorted_points, one), lambda x: x["kind"] == 1), lambda x: x["found"])
+
+    return let(points, before)
+
+
+def _walk(tokens: Column, text: Column, starts: Column) -> Column:
+    """Per token, the index of the last candidate whose start the walk along the text has reached (null if none).
+
+    A character that does not match stays where it is, one blank is skipped after each step, and the last character is
+    never passed.
+    """
+    def over(given):
+        chars, latest, last = given["chars"], given["latest"], F.size(given["chars"]) - 1
+
+        def step(now, char):
+            place = F.array_position(latest, now["at"])
+            found = F.when(place > 0, F.size(latest) - place.cast("int")).otherwise(now["found"])
+            on = lambda at, c: at + F.when((at < last) & (F.get(chars, at) == c), 1).otherwise(0)
+            return F.struct(let(on(now["at"], char), lambda at: on(at, F.lit(" "))).alias("at"), found.alias("found"))
+
+        def word(now, token):
+            reached = F.aggregate(F.split(token, ""), F.struct(now["at"].alias("at"), F.lit(None).cast("int").alias("found")), step)
+            return let(reached, lambda r: F.struct(r["at"].alias("at"), F.concat(now["found"], F.array(r["found"])).alias("found")))
+
+        def part(now, first):
+            some = F.slice(given["tokens"], first, F.lit(_TOGETHER))
+            reached = F.aggregate(some, F.struct(now["at"].alias("at"), F.array().cast(_FOUND).alias("found")), word)
+            return let(reached, lambda r: F.struct(r["at"].alias("at"), F.concat(now["found"], r["found"]).alias("found")))
+
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(given["tokens"]), F.lit(1)), F.lit(_TOGETHER))
+        return F.aggregate(firsts, F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found")), part)["found"]
+
+    return let(F.struct(tokens.alias("tokens"), F.split(text, "").alias("chars"), F.reverse(starts).alias("latest")), over)
 
 
 ALIGNED = "array<struct<token_id:int,token_text:string,cui:string,preferred:string,sem_type:string,tui:string,type_name:string,group:string>>"
@@ -135,9 +176,9 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
                    obj: str = "big_object", candidates: str = "candidates", where: Column | None = None) -> DataFrame:
     """Pairs every token of "subject predicate object" with the last concept passed while walking the sentence.
 
-    Adds ``s_ext``, ``p_ext``, ``o_ext`` arrays; all empty when any input is empty. A character that does not
-    match stays where it is, one blank is skipped after each step, and the last character is never passed.
-    ``where`` limits the walk to chosen rows; the others get empty arrays.
+    Adds ``s_ext``, ``p_ext``, ``o_ext`` arrays; all empty when any input is empty. Tokens that make up the sentence's
+    start, one blank apart, are joined to candidate starts as of their last characters; other rows are walked character
+    by character. ``where`` limits the walk to chosen rows; the others get empty arrays.
     """
     empty = F.expr(f"cast(array() as {ALIGNED})")
     usable = (F.size(candidates) > 0) & (F.col(subject) != "") & (F.col(predicate) != "") & (F.col(obj) != "")
@@ -151,7 +192,9 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
     })
     work = settle(work, "_tokens", "_ns", "_np")
     starts = F.transform(candidates, lambda c: c["start_pos"])
-    work = work.withColumn("_found", _walk(F.when(usable, F.col("_tokens")), text, F.when(usable, starts)))
+    plain = F.col(text).startswith(F.array_join("_tokens", " "))
+    found = F.when(usable & plain, _as_of(F.col("_tokens"), starts)).when(usable, _walk(F.col("_tokens"), F.col(text), starts))
+    work = work.withColumn("_found", found)
     pairs = F.zip_with("_tokens", "_found", lambda t, f: F.struct(t.alias("token"), f.alias("found")))
 
     def aligned(cands):

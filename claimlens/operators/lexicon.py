@@ -1,4 +1,4 @@
-"""Predicate phrase lexicon and its match against sentences by an n-gram equi-join."""
+"""Predicate phrase lexicon and its match against sentences by probing a broadcast trie."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.functions.text import token_spans, white_tokens
+from claimlens.cluster import settle
+from claimlens.functions.text import RUN, let, white_tokens
 from claimlens.operators.updates import external, worthy
 
 
@@ -80,32 +81,61 @@ def match_text(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("’"), F.lit("'"))
 
 
+def prefixes(lexicon: DataFrame) -> DataFrame:
+    """The lexicon as a trie: every start of a phrase that ends with a word run; kind and priority where a phrase ends there."""
+    phrases = settle(best_per_phrase(lexicon).withColumns({"_w": F.regexp_extract_all("phrase", F.lit(RUN), F.lit(0)), "_g": F.split("phrase", RUN)}), "_w", "_g")
+    joined = F.zip_with("_g", "_w", lambda g, w: F.concat(g, w))
+    ends = phrases.select("phrase", "kind", "priority", joined.alias("_r"), F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_n"))
+    nodes = ends.select(F.array_join(F.slice("_r", F.lit(1), F.col("_n")), "").alias("prefix"), "phrase", "kind", "priority")
+    own = F.col("prefix") == F.col("phrase")
+    return nodes.groupBy("prefix").agg(F.max(F.when(own, F.col("kind"))).alias("kind"), F.max(F.when(own, F.col("priority"))).alias("priority"))
+
+
+def place(low: Column, phrase: Column) -> Column:
+    """Zero-based start of the leftmost word-bounded place of a phrase, taken literally, in ``low``; null without one."""
+    before = F.regexp_extract_all(low, F.concat(F.lit(r"(?sU)^(.*?)\b\Q"), phrase, F.lit(r"\E\b")), F.lit(1))
+    return F.length(F.get(before, F.lit(0)))
+
+
+def lexicon_hits(sent: DataFrame, lexicon: DataFrame, text: str = "sentence", key: str = "id") -> DataFrame:
+    """(key, hits): the distinct phrases that occur in a sentence as (priority, kind, phrase), best first; no row without one.
+
+    The lexicon's trie is fixed in size and broadcast. It is probed one word run further at a time, from every run that can
+    start a phrase, so the work is linear in the text. Only hits are shuffled, once, by sentence.
+    """
+    trie, longest = F.broadcast(prefixes(lexicon)), longest_phrase()
+    low = sent.select(key, match_text(F.col(text)).alias("_t"))
+    runs = settle(low.select(key, F.regexp_extract_all("_t", F.lit(RUN), F.lit(0)).alias("_w"), F.split("_t", RUN).alias("_g")), "_w", "_g")
+    first = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get("_w", i).isin(*first_words()))
+    ahead = lambda i: F.array(*[F.concat(F.get("_g", i + n), F.get("_w", i + n)) for n in range(1, longest)])
+    now = runs.select(key, F.inline(F.transform(first, lambda i: F.struct(F.get("_w", i).alias("_p0"), ahead(i).alias("_ahead")))))
+    for n in range(longest):
+        node = trie.select(F.col("prefix").alias(f"_p{n}"), F.col("kind").alias(f"_k{n}"), F.col("priority").alias(f"_r{n}"), F.lit(True).alias(f"_in{n}"))
+        now = now.join(node, f"_p{n}", "left" if n else "inner")
+        if n + 1 < longest:
+            now = now.withColumn(f"_p{n + 1}", F.when(F.col(f"_in{n}"), F.concat(f"_p{n}", F.get("_ahead", F.lit(n)))))
+    found = F.array(*[F.struct(F.col(f"_r{n}").alias("priority"), F.col(f"_k{n}").alias("kind"), F.col(f"_p{n}").alias("phrase")) for n in range(longest)])
+    hits = now.select(key, F.explode(F.filter(found, lambda h: h["priority"].isNotNull())).alias("_h"))
+    return hits.groupBy(key).agg(F.array_sort(F.collect_set("_h")).alias("hits"))
+
+
+def best_hit(text: Column, hits: Column) -> Column:
+    """(kind, phrase, at) of the first hit whose leftmost place has text on both sides; a place is looked for only for hits."""
+    def placed(t):
+        at = F.transform(hits, lambda h: F.struct(h["kind"].alias("kind"), h["phrase"].alias("phrase"), place(t, h["phrase"]).alias("at")))
+        return F.get(F.filter(at, lambda h: (h["at"] > 0) & (h["at"] + F.length(h["phrase"]) < F.length(t))), F.lit(0))
+
+    return let(match_text(text), placed)
+
+
 def match_lexicon(sent: DataFrame, lexicon: DataFrame, text: str = "sentence", key: str = "id") -> DataFrame:
     """Best match per sentence: (key, kind, phrase, at) with ``at`` the zero-based start.
 
     A phrase counts at its leftmost word-bounded place, and only if text remains on both sides; among
-    those the lexicon order decides. The lexicon is fixed in size and broadcast, so only hits are shuffled,
-    once, by sentence.
+    those the lexicon order decides.
     """
-    tokens = sent.select(key, match_text(F.col(text)).alias("_t")).select(
-        key, F.length("_t").alias("_len"), token_spans(F.col("_t")).alias("_s"))
-    longest = longest_phrase()
-    ahead = F.arrays_zip(*[(F.col("_s") if i == 0 else F.slice("_s", F.lit(i + 1), F.size("_s"))).alias(f"w{i}") for i in range(longest)])
-    starts = F.filter(ahead, lambda w: w["w0"]["text"].isin(*first_words()))
-
-    def grams_from(w):
-        phrase, out = w["w0"]["text"], []
-        for i in range(longest):
-            phrase = phrase if i == 0 else F.concat(phrase, w[f"w{i}"]["gap"], w[f"w{i}"]["text"])
-            out.append(F.struct(phrase.alias("phrase"), w["w0"]["start"].alias("at")))
-        return F.array(*out)
-
-    grams = tokens.select(key, "_len", F.inline(F.flatten(F.transform(starts, grams_from)))).where("phrase is not null")
-    hits = grams.join(F.broadcast(best_per_phrase(lexicon)), "phrase")
-    leftmost = hits.repartition(key).groupBy(key, "phrase", "kind", "priority", "_len").agg(F.min("at").alias("at"))
-    usable = leftmost.where((F.col("at") > 0) & (F.col("at") + F.length("phrase") < F.col("_len")))
-    best = usable.groupBy(key).agg(F.min_by(F.struct("kind", "phrase", "at"), "priority").alias("_m"))
-    return best.select(key, "_m.*")
+    both = sent.select(key, text).join(lexicon_hits(sent, lexicon, text, key), key)
+    return both.select(key, best_hit(F.col(text), F.col("hits")).alias("_m")).where("_m is not null").select(key, "_m.*")
 
 
 def split_at(df: DataFrame, text: str, phrase: Column, at: Column, found: Column, kind: Column) -> DataFrame:
@@ -120,10 +150,10 @@ def split_at(df: DataFrame, text: str, phrase: Column, at: Column, found: Column
 def spo_given(sent: DataFrame, lexicon: DataFrame, where: Column | None = None) -> DataFrame:
     """All sentences, with SPO columns filled for (chosen) rows that a lexicon phrase splits."""
     pending = sent if where is None else sent.where(where)
-    best = match_lexicon(pending, lexicon).withColumnsRenamed({"kind": "_kind", "phrase": "_phrase", "at": "_at"})
-    out = sent.join(best, "id", "left")
-    done = split_at(out, "sentence", F.col("_phrase"), F.col("_at"), F.col("_at").isNotNull(), F.col("_kind"))
-    return done.drop("_kind", "_phrase", "_at")
+    out = sent.join(lexicon_hits(pending, lexicon).withColumnRenamed("hits", "_hits"), "id", "left")
+    out = settle(out.withColumn("_m", best_hit(F.col("sentence"), F.col("_hits"))).drop("_hits"), "_m")
+    done = split_at(out, "sentence", F.col("_m.phrase"), F.col("_m.at"), F.col("_m").isNotNull(), F.col("_m.kind"))
+    return done.drop("_m")
 
 
 def spo_be_have(sent: DataFrame, where: Column | None = None) -> DataFrame:
@@ -134,11 +164,8 @@ def spo_be_have(sent: DataFrame, where: Column | None = None) -> DataFrame:
 def spo_manual(sent: DataFrame, where: Column) -> DataFrame:
     """Per-row predicate text as the phrase, at its leftmost word-bounded place. Literal, no shuffle."""
     phrase = F.col("manually_identified_predicate")
-    low = match_text(F.col("sentence"))
-    bounded = F.concat(F.lit(r"\b\Q"), F.lower(phrase), F.lit(r"\E\b"))
-    before = F.regexp_extract_all(low, F.concat(F.lit("(?sU)^(.*?)"), bounded), F.lit(1))
-    at, hit = F.length(F.get(before, F.lit(0))), F.size(before) > 0
-    found = where & (phrase != "") & hit & (at > 0) & (at + F.length(phrase) < F.length("sentence"))
+    at = place(match_text(F.col("sentence")), F.lower(phrase))
+    found = where & (phrase != "") & (at > 0) & (at + F.length(phrase) < F.length("sentence"))
     return split_at(sent, "sentence", phrase, at, F.coalesce(found, F.lit(False)), F.lit("manually id"))
 
 
