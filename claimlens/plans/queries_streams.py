@@ -9,7 +9,7 @@ from claimlens.operators import updates
 from claimlens.plans import views
 from claimlens.plans.registry import register
 from claimlens.plans.views import with_views
-from claimlens.streaming import ingest
+from claimlens.streaming import ingest, levels
 
 
 def _post_users(posts):
@@ -32,7 +32,8 @@ def _ingested(spark, d):
         if part is not None:
             part.write.mode("append").parquet(source)
         stream = ingest.read_posts(spark, source, batch.schema)
-        ingest.ingest_posts(stream, posts, offsets, crawl_date="2024-03-01", users_path=users, users=_post_users).awaitTermination()
+        ingest.ingest_posts(stream, posts, f"{offsets}/posts", crawl_date="2024-03-01").awaitTermination()
+        ingest.ingest_users(stream, _post_users, users, f"{offsets}/users", crawl_date="2024-03-01").awaitTermination()
     return spark.read.parquet(posts), spark.read.parquet(users)
 
 
@@ -46,15 +47,34 @@ def r1(spark, d):
   CAST(user_id_str AS BIGINT) * 3 AS followers_count, CAST(user_id_str AS BIGINT) * 2 AS friends_count, 0 AS listed_count, CAST(user_id_str AS BIGINT) AS favourites_count,
   CAST(user_id_str AS BIGINT) + 7 AS statuses_count, '2020-01-01' AS created_at, CAST(user_id_str AS BIGINT) % 2 = 0 AS verified, '2024-03-01' AS crawl_date FROM posts""")
 def r1_users(spark, d):
-    return _ingested(spark, d)[1].drop("bucket")
+    return _ingested(spark, d)[1]
+
+
+def _levelled(spark, d):
+    path = shared_path(spark, "levels")
+    levels.create(views.sentence(spark, d).select("id", "review_level", "skip_validations"), path)
+    return path
+
+
+def _first_stage(spark, path):
+    levels.run_stage(spark, path, lambda df: updates.advance(df, 3, 4, 5), 3, shared_path(spark, "offsets")).awaitTermination()
 
 
 @register("R3", with_views("sentence") + """
-SELECT id, CASE WHEN skip_validations THEN 5 ELSE 4 END AS review_level FROM sentence WHERE review_level = 3""")
+SELECT id, CASE WHEN review_level <> 3 THEN review_level WHEN skip_validations THEN 5 ELSE 4 END AS review_level FROM sentence""")
 def r3(spark, d):
-    source, target = shared_path(spark, "sentences"), shared_path(spark, "advanced")
-    rows = views.sentence(spark, d).select("id", "review_level", "skip_validations")
-    rows.write.parquet(source)
-    stream = ingest.read_posts(spark, source, spark.read.parquet(source).schema)
-    ingest.run_stage(stream, lambda df: updates.advance(df, 3, 4, 5), 3, target, shared_path(spark, "offsets")).awaitTermination()
-    return spark.read.parquet(target).select("id", "review_level")
+    """The whole table after a stage: rows have left level 3."""
+    path = _levelled(spark, d)
+    _first_stage(spark, path)
+    return levels.read(spark, path).select("id", "review_level")
+
+
+@register("R3_chain", with_views("sentence") + """
+SELECT id, CASE WHEN review_level = 3 THEN 5 WHEN review_level = 4 AND NOT skip_validations THEN 5 ELSE review_level END AS review_level FROM sentence""")
+def r3_chain(spark, d):
+    """A second stage works on what the first has moved; polling again without new rows changes nothing."""
+    path, offsets = _levelled(spark, d), shared_path(spark, "offsets")
+    _first_stage(spark, path)
+    for _ in range(2):
+        levels.run_stage(spark, path, lambda df: updates.advance(df, 4, 5), 4, offsets).awaitTermination()
+    return levels.read(spark, path).select("id", "review_level")

@@ -1,16 +1,18 @@
-"""Incremental jobs on Structured Streaming: post ingest and stage polling."""
+"""Incremental post ingest on Structured Streaming."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from claimlens.operators.ingest import new_rows, shape_user
-from claimlens.sources.sinks import exists
+from claimlens.operators.ingest import shape_user
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def read_posts(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -21,52 +23,41 @@ def read_posts(spark: SparkSession, path: str, schema: StructType, files_per_bat
     return reader.parquet(path)
 
 
-BUCKETS = 256
+@contextmanager
+def _state_on_disk(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, so that seen keys need not fit in memory; the setting is put back."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
 
 
-def append_unseen(rows: DataFrame, path: str, key: str) -> None:
-    """Adds the rows whose key the table does not hold, one per key.
+def append_unseen(rows: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
+    """Appends the rows whose key no earlier batch has had, one per key, to a table.
 
-    The table is partitioned by a hash of the key; only the partitions that the batch touches are read.
-    """
-    spark = rows.sparkSession
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    if exists(spark, path):
-        touched = [r["bucket"] for r in dealt.select("bucket").distinct().collect()]  # BUCKETS at most
-        stored = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(key)
-    else:
-        stored = dealt.select(key).where("false")
-    new_rows(dealt, stored, [key]).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
-
-
-def ingest_posts(stream: DataFrame, posts_path: str, checkpoint: str, key: str = "id_str", crawl_date: str | None = None,
-                 users_path: str | None = None, users: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
-    """Appends unseen posts, and their unseen users, to tables, stamped with the crawl time.
-
-    However old a post is, it is stored if its key is not. ``users`` makes user rows (``id_str`` first) of a batch of
-    posts. A batch that is replayed after a failure finds its rows in the tables and adds none.
+    Seen keys are the stream's state, dealt by key to the shuffle partitions and kept with the checkpoint: a batch looks up
+    its own keys and reads no stored row. Tables written this way list their files per batch, so a batch that is replayed
+    after a failure leaves no row twice. All ``path`` rows must come through the same checkpoint.
     """
-    stamp = F.lit(crawl_date) if crawl_date else F.current_timestamp().cast("string")
+    with _state_on_disk(rows.sparkSession):
+        writer = rows.dropDuplicates([key]).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        return writer.outputMode("append").trigger(availableNow=True).start()
 
-    def append(batch: DataFrame, _: int) -> None:
-        rows = batch.withColumn("crawl_date", stamp)
-        rows.persist()
-        try:
-            append_unseen(rows, posts_path, key)
-            if users_path and users:
-                append_unseen(shape_user(users(rows)), users_path, "id_str")
-        finally:
-            rows.unpersist()
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _stamped(stream: DataFrame, crawl_date: str | None) -> DataFrame:
+    return stream.withColumn("crawl_date", F.lit(crawl_date) if crawl_date else F.current_timestamp().cast("string"))
 
 
-def run_stage(stream: DataFrame, stage: Callable[[DataFrame], DataFrame], level: int, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Runs a stage over the rows that have reached a level and stores its result, one folder per batch.
+def ingest_posts(stream: DataFrame, path: str, checkpoint: str, key: str = "id_str", crawl_date: str | None = None) -> StreamingQuery:
+    """Appends unseen posts, stamped with the crawl time; however old a post is, it is stored if its key is new."""
+    return append_unseen(_stamped(stream, crawl_date), path, checkpoint, key)
 
-    A replayed batch overwrites its own folder, so a failure never leaves rows twice.
-    """
-    def process(batch: DataFrame, batch_id: int) -> None:
-        stage(batch.where(F.col("review_level") == level)).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_users(stream: DataFrame, users: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, crawl_date: str | None = None) -> StreamingQuery:
+    """Appends unseen users of the posts; ``users`` makes user rows (``id_str`` first) of stamped posts."""
+    return append_unseen(shape_user(users(_stamped(stream, crawl_date))), path, checkpoint, "id_str")

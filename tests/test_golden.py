@@ -1,6 +1,7 @@
 """Hand-written cases for behaviour the given tables do not reach."""
 
 import math
+import os
 import random
 import re
 
@@ -13,7 +14,7 @@ from claimlens.functions import pvalues, tagged, text
 from claimlens.operators import articles, concepts, counts, encoding, evaluation, graphs, lexicon, models, parsed, texts
 from claimlens.operators import ingest as posts_ingest
 from claimlens.sources import sinks, tables
-from claimlens.streaming import ingest
+from claimlens.streaming import ingest, levels
 
 WORD = "id int, text string, upos string, xpos string, head int, deprel string, feats string, start_char int, end_char int"
 
@@ -248,15 +249,47 @@ def test_byte_cut_keeps_whole_characters(spark):
         assert [r["t"] for r in texts.head_bytes(rows, "k", "t", limit).orderBy("k").collect()] == want
 
 
-def test_old_posts_are_stored_too(spark):
-    source, posts = shared_path(spark, "in"), shared_path(spark, "posts")
-    offsets = shared_path(spark, "offsets")
+def test_old_posts_are_stored_too_and_replays_add_none(spark):
+    source, posts, offsets = (shared_path(spark, x) for x in ("in", "posts", "offsets"))
     schema = "id_str string, created_at timestamp, user_id_str string"
-    for rows in ([("a", "2024-03-01"), ("b", "2024-03-02")], [("c", "1999-01-01"), ("a", "2024-03-01"), ("c", "1999-01-01")]):
+
+    def run():
+        ingest.ingest_posts(ingest.read_posts(spark, source, spark.read.schema(schema).parquet(source).schema), posts, offsets, crawl_date="x").awaitTermination()
+        return sorted((r["id_str"], r["created_at"].year) for r in spark.read.parquet(posts).collect())
+
+    for rows in ([("a", "2024-03-01"), ("b", "2024-03-02")], [("c", "1999-01-01"), ("a", "2025-03-01"), ("c", "1999-01-01")]):
         spark.createDataFrame([(i, t, "u") for i, t in rows], "id_str string, t string, user_id_str string").select("id_str", F.to_timestamp("t").alias("created_at"), "user_id_str").write.mode("append").parquet(source)
-        stream = ingest.read_posts(spark, source, spark.read.schema(schema).parquet(source).schema)
-        ingest.ingest_posts(stream, posts, offsets, crawl_date="x").awaitTermination()
-    assert sorted(r["id_str"] for r in spark.read.parquet(posts).collect()) == ["a", "b", "c"]
+        found = run()
+    assert found == [("a", 2024), ("b", 2024), ("c", 1999)]
+    commits = f"{offsets.removeprefix('file:')}/commits"
+    last = max(n for n in os.listdir(commits) if n.isdigit())
+    for name in (last, f".{last}.crc"):
+        os.remove(f"{commits}/{name}")  # as if the last batch had failed after writing: it is run again
+    assert run() == found and os.path.exists(f"{commits}/{last}")
+
+
+def test_stages_move_rows_between_levels(spark):
+    path, offsets = shared_path(spark, "levels"), shared_path(spark, "offsets")
+    levels.create(spark.createDataFrame([(i, i % 4) for i in range(40)], "id int, review_level int"), path)
+    first = levels.version(spark, path)
+
+    def up(df):
+        return df.withColumn("review_level", F.when(F.col("id") < 20, F.col("review_level") + 1).otherwise(F.col("review_level")))
+
+    def failing(df):
+        return df.select("id", F.expr("cast(assert_true(id < 5) is null as int)").alias("review_level"))
+
+    with pytest.raises(Exception):
+        levels.move(spark, path, failing, 2)
+    assert levels.version(spark, path) == first  # a failed stage changes nothing
+    levels.run_stage(spark, path, up, 2, offsets).awaitTermination()
+    assert levels.move(spark, path, up, 3) and not levels.move(spark, path, up, 9)
+    levels.run_stage(spark, path, lambda df: df.where("false"), 7, shared_path(spark, "offsets")).awaitTermination()
+    found = {r["id"]: r["review_level"] for r in levels.read(spark, path).collect()}
+    assert found == {i: (4 if i < 20 else i % 4) if i % 4 >= 2 else i % 4 for i in range(40)}
+    assert levels.read(spark, path, 2).count() == 5 and levels.read(spark, path, 9).count() == 0
+    untouched = {f for f, n in first[1] if n < 2}
+    assert untouched <= {f for f, _ in levels.version(spark, path)[1]}  # other levels are not rewritten
 
 
 def test_text_features_keep_every_term(spark):
