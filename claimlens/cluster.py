@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -93,16 +97,49 @@ def running_total(per_key: DataFrame, key: str, value: str, out: str) -> DataFra
     return dealt.join(F.broadcast(sums), "_range").withColumn(out, (F.col("_moved") + inside).cast("long")).drop("_range", "_moved")
 
 
-def gather_ordered(df: DataFrame, keys: list[str], order: str, value: Column, out: str, chunk: int = 4096) -> DataFrame:
-    """Array of ``value`` per key in ``order``, gathered in chunks first.
+def gather_ordered(df: DataFrame, keys: list[str], order: str, value: Column, out: str) -> DataFrame:
+    """Array of ``value`` per key in ``order`` (equal places by value).
 
-    Chunks of one key are built by different tasks; only the finished chunks meet for the final row.
+    Rows are dealt by key and sorted once, so the values of a key follow each other and are put into its array as they
+    come: one exchange, and besides a batch only the array that is being filled is held.
     """
-    parts = (
-        df.withColumn("_chunk", F.floor(F.col(order) / chunk))
-        .groupBy(*keys, "_chunk")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))).alias("_part"))
-    )
-    merged = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))).alias("_parts"))
-    flat = F.flatten(F.transform("_parts", lambda p: F.transform(p["_part"], lambda r: r["v"])))
-    return merged.select(*keys, flat.alias(out))
+    given = df.select(*keys, F.col(order).alias("_order"), value.alias("_value"))
+    dealt = given.repartition(*keys).sortWithinPartitions(*keys, "_order", "_value").drop("_order")
+    fields = {f.name: f for f in dealt.schema}
+    schema = T.StructType([fields[k] for k in keys] + [T.StructField(out, T.ArrayType(fields["_value"].dataType))])
+
+    def row(held):
+        values = pa.concat_arrays([b.column("_value") for b in held])
+        listed = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([*[held[0].column(k).slice(0, 1) for k in keys], listed], [*keys, out])
+
+    def starts(b, last):
+        """Whether a row has another key than the row before; ``last`` is the row before the batch."""
+        new = np.zeros(len(b), dtype=bool)
+        for k in keys:
+            c = b.column(k)
+            before = pa.concat_arrays([last.column(k) if last is not None else pa.nulls(1, c.type), c.slice(0, len(c) - 1)])
+            same = pc.or_(pc.fill_null(pc.equal(c, before), False), pc.and_(pc.is_null(c), pc.is_null(before)))
+            new |= ~same.to_numpy(zero_copy_only=False)
+        new[0] |= last is None
+        return np.flatnonzero(new)
+
+    def lists(batches):
+        held = []
+        for b in batches:
+            if not len(b):
+                continue
+            at = starts(b, held[-1].slice(len(held[-1]) - 1) if held else None)
+            if not len(at):
+                held.append(b)
+                continue
+            if held:
+                yield row([*held, b.slice(0, at[0])])
+            if len(at) > 1:
+                values = pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), b.column("_value").slice(at[0], at[-1] - at[0]))
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(pa.array(at[:-1])) for k in keys], values], [*keys, out])
+            held = [b.slice(at[-1])]
+        if held:
+            yield row(held)
+
+    return dealt.mapInArrow(lists, schema)

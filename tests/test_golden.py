@@ -201,8 +201,17 @@ def test_hot_key_helpers_keep_every_row(spark):
     big = spark.range(20000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 50).alias("k"), "id")
     small = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     assert split_join(big, small, "k", F.col("id")).count() == 20000
-    lines = gather_ordered(big, ["k"], "id", F.col("id"), "ids", chunk=1000).where("k = 7").first()["ids"]
-    assert lines == sorted(lines) and len(lines) > 13000
+    gathered = gather_ordered(big.withColumn("k", F.expr("if(k = 3, null, k)")), ["k"], "id", F.struct("id", F.col("id").cast("string").alias("t")), "ids")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # groups over many batches
+    try:
+        lists = {r["k"]: [x["id"] for x in r["ids"]] for r in gathered.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i in range(20000):
+        k = 7 if i % 3 else i % 50
+        want.setdefault(None if k == 3 else k, []).append(i)
+    assert lists == want and len(lists[7]) > 13000
 
 
 def test_running_total_over_blocks(spark):
