@@ -14,12 +14,16 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.functions.text import let, running_sums
+
 #: Everything that is not a word byte of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` before A-Z are lower-cased.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Between two paragraphs: one or more lines of white space only.
 _BREAK = r"\n[\x09\x0B-\x0D\x20]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_NO_MATCH = "cast(array() as array<struct<start:int,back:int,rank:int,label:string,words:int>>)"
+
 #: Fixed phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -132,19 +136,138 @@ TEXTS = [
     ("mit", "opensource org licenses mit", "opensource", 3),
     ("reserved", "all rights reserved", "rights reserved", 1),
     ("reserved", "no part of this (?:publication|book|work|document) may be reproduced", "no part of this", 2),
-    ("copyright", "copyright(?: c)?(?: (?:19|20)[0-9][0-9])+(?: (?:19|20)[0-9][0-9])*", "copyright", 1),
+    ("copyright", "copyright(?: c)?(?: (?:19|20)[0-9][0-9](?![^ ]))++", "copyright", 1),  # possessive: no stack per year
     ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary", 2),
     ("proprietary", "unauthorized (?:copying|use|distribution|reproduction) (?:of this .{1,40}? )?is (?:strictly )?prohibited", "unauthorized", 2),
     ("proprietary", "end user licen[sc]e agreement", "end user", 2),
     ("noncommercial", "for (?:non ?commercial|personal|educational) use only", "use only", 2),
     ("research-only", "for (?:academic|research) (?:and educational )?(?:use|purposes) only", "only", 2),
     ("attribution", "with proper attribution|provided that (?:the )?(?:source|author) is (?:credited|acknowledged)", "a", 1),
+    # grants
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense", "without restriction", 4),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions", "permission notice", 4),
+    ("mit-style", "permission is granted to (?:anyone|any person) to use this software for any purpose", "permission is granted", 3),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", "permission notice", 4),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose", "permission to use", 4),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "required by applicable law", 4),
+    ("apache-2.0", "you may not use this file except in compliance with the license", "except in compliance", 4),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license", "hereby grants", 4),
+    ("apache-1.1", "the end user documentation included with the redistribution if any must include the following acknowledg?ment", "end user documentation", 4),
+    ("gpl", "either version [123](?: 0)? of the license or at your option any later version", "any later version", 3),
+    ("gpl-2.0-only", "gpl(?: v| version)? ?2(?: 0)? only", "only", 4),
+    ("gpl-3.0-only", "gpl(?: v| version)? ?3(?: 0)? only", "only", 4),
+    ("gpl-2.0-or-later", "gpl(?: v| version)? ?2(?: 0)?(?: or (?:any )?later| plus)", "gpl", 4),
+    ("gpl-3.0-or-later", "gpl(?: v| version)? ?3(?: 0)?(?: or (?:any )?later| plus)", "gpl", 4),
+    ("gpl", "you should have received a copy of the gnu general public license", "should have received", 3),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license", "should have received", 4),
+    ("agpl", "you should have received a copy of the gnu affero general public license", "should have received", 4),
+    ("gpl-exception", "as a special exception .{1,120}? (?:link|combine|linking)", "special exception", 3),
+    ("gpl-classpath-exception", "classpath exception|linking this library statically or dynamically with other modules", "l", 4),
+    ("gpl-font-exception", "if you create a document which uses this font", "uses this font", 4),
+    ("llvm-exception", "(?:apache(?: licen[sc]e)?(?: v)? ?2(?: 0)? )?with llvm exceptions?", "llvm exception", 4),
+    ("agpl", "interacting with it remotely through a computer network", "remotely through", 4),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions of source", 3),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions in binary", 3),
+    ("bsd", "this software is provided by .{1,80}? as is and any express or implied warranties", "implied warranties", 3),
+    ("bsd-4-clause", "this product includes software developed by", "software developed by", 3),
+    ("bsd-patent", "subject to the terms and conditions of this license each copyright holder and contributor hereby grants", "hereby grants", 4),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license", "contents of this file", 4),
+    ("npl", "the contents of this file are subject to the netscape public license", "contents of this file", 4),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", "contents of this file", 4),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "accompanying materials", 4),
+    ("cpl-1.0", "this program and the accompanying materials are made available under the terms of the common public license", "accompanying materials", 4),
+    ("edl-1.0", "this program and the accompanying materials are made available under the terms of the eclipse distribution license", "accompanying materials", 4),
+    ("zlib", "altered source versions must be plainly marked as such", "altered source versions", 4),
+    ("zlib", "the origin of this software must not be misrepresented", "misrepresented", 4),
+    ("libpng", "this copy of the libpng notices is provided for your convenience", "libpng", 4),
+    ("ijg", "this software is based in part on the work of the independent jpeg group", "independent jpeg group", 4),
+    ("openssl", "this product includes software developed by the openssl project", "openssl project", 4),
+    ("curl", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided", "permission to use", 4),
+    ("ofl-1.1", "this font software is licensed under the sil open font license(?: version 1 1)?", "font software", 4),
+    ("ofl-1.1", "reserved font name", "reserved font name", 2),
+    ("bitstream-vera", "fonts generated using vera|bitstream vera fonts copyright", "vera", 4),
+    ("wtfpl", "do what the f ?(?:uck|ck)? you want to(?: public licen[sc]e)?", "you want to", 4),
+    ("beerware", "(?:the )?beer ?ware licen[sc]e|you can buy me a beer in return", "beer", 4),
+    ("postcardware", "send (?:me|us) a postcard", "postcard", 2),
+    ("json", "the software shall be used for good not evil", "good not evil", 4),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free", 4),
+    ("cc0", "to the extent possible under law .{1,80}? has waived all copyright", "extent possible under law", 4),
+    ("cc0", "dedicate any and all copyright interest in the software to the public domain", "copyright interest", 4),
+    ("public-domain", "this (?:work|file|software|code|text) (?:is|has been) (?:hereby )?(?:placed|released) (?:in|into) the public domain", "public domain", 3),
+    ("public-domain", "public domain (?:work|mark|dedication|notice)", "public domain", 2),
+    ("public-domain", "no known copyright restrictions", "known copyright restrictions", 3),
+    ("public-domain", "a work of the united states government", "united states government", 3),
+    # creative works and data
+    ("cc-by", "you are free to share copy and redistribute the material", "copy and redistribute", 3),
+    ("cc-by", "you must give appropriate credit provide a link to the license", "appropriate credit", 3),
+    ("cc-by-sa", "you must distribute your contributions under the same license as the original", "same license as the original", 4),
+    ("cc-by-sa", "share ?alike", "alike", 1),
+    ("cc-by-nc", "you may not use the material for commercial purposes", "commercial purposes", 4),
+    ("cc-by-nd", "you may not distribute the modified material", "modified material", 4),
+    ("cc-by-nd", "no ?derivatives", "derivatives", 1),
+    ("cc-by-nc", "attribution non ?commercial", "attribution", 2),
+    ("cc-by-sa", "attribution share ?alike", "attribution", 2),
+    ("cc-by-nd", "attribution no ?derivs", "attribution", 2),
+    ("cc", "some rights reserved", "rights reserved", 2),
+    ("odbl-1.0", "any rights in individual contents of the database are licensed under the database contents license", "database contents", 4),
+    ("odbl-1.0", "made available under the open database licen[sc]e", "open database", 4),
+    ("ogl-uk", "contains public sector information licensed under the open government licen[sc]e", "public sector information", 4),
+    ("ogl-uk", "open government licen[sc]e(?: v ?[123](?: 0)?)?", "open government", 3),
+    ("etalab-2.0", "licence ouverte(?: open licen[sc]e)?(?: v(?:ersion)? 2 0)?", "licence ouverte", 3),
+    ("dl-de-by-2.0", "datenlizenz deutschland(?: namensnennung)?(?: version 2 0)?", "datenlizenz", 3),
+    ("cdla", "community data license agreement(?: permissive| sharing)?", "community data", 3),
+    ("free-art", "free art licen[sc]e|licence art libre", "art", 3),
+    ("gutenberg", "project gutenberg license|you may copy it give it away or re use it under the terms", "g", 3),
+    ("fair-use", "fair use (?:notice|doctrine)|constitutes a fair use", "fair use", 2),
+    # restricted and commercial
+    ("reserved", "tous droits r[ée]serv[ée]s", "droits", 2),
+    ("reserved", "todos los derechos reservados", "derechos reservados", 2),
+    ("reserved", "alle rechte vorbehalten", "rechte vorbehalten", 2),
+    ("reserved", "reproduction (?:in whole or in part )?(?:without (?:written )?permission )?is (?:strictly )?(?:prohibited|forbidden)", "reproduction", 2),
+    ("reserved", "without the (?:prior )?(?:express )?(?:written )?(?:permission|consent) of the (?:publisher|author|copyright (?:holder|owner))", "of the", 2),
+    ("reserved", "used (?:by|with) (?:kind )?permission", "permission", 1),
+    ("reserved", "reprinted (?:by|with) permission", "reprinted", 2),
+    ("proprietary", "this software is the (?:confidential and )?proprietary (?:information|property) of", "proprietary", 3),
+    ("proprietary", "licensed (?:materials|material) property of", "property of", 2),
+    ("proprietary", "trade secrets? (?:and confidential|of)", "trade secret", 2),
+    ("proprietary", "for internal use only", "internal use", 2),
+    ("proprietary", "not for (?:re ?)?distribution", "not for", 1),
+    ("proprietary", "reverse engineer(?:ing)? decompil(?:e|ing|ation) or disassembl(?:e|ing|y)", "reverse engineer", 2),
+    ("proprietary", "you may not (?:copy modify|rent lease|sell sublicense|redistribute or sell)", "you may not", 2),
+    ("shareware", "this (?:program|software) is shareware|shareware (?:version|registration)", "shareware", 2),
+    ("freeware", "this (?:program|software) is freeware|freeware licen[sc]e", "freeware", 2),
+    ("evaluation", "for evaluation purposes only|evaluation licen[sc]e", "evaluation", 2),
+    ("noncommercial", "not (?:be used )?for commercial (?:use|purposes)", "commercial", 2),
+    ("noncommercial", "commercial use (?:is )?(?:not permitted|prohibited|requires)", "commercial use", 2),
+    ("noncommercial", "polyform (?:noncommercial|strict|small business|shield)(?: licen[sc]e)?(?: 1 0 0)?", "polyform", 3),
+    ("busl-1.1", "business source licen[sc]e(?: 1 1)?", "business source", 3),
+    ("sspl-1.0", "server side public licen[sc]e(?: v(?:ersion)? ?1)?", "server side public", 3),
+    ("elastic-2.0", "elastic licen[sc]e(?: v(?:ersion)? ?| )2(?: 0)?", "elastic", 3),
+    ("commons-clause", "commons clause(?: licen[sc]e condition)?", "commons clause", 3),
+    ("confluent", "confluent community licen[sc]e", "confluent", 3),
+    ("hippocratic", "hippocratic licen[sc]e", "hippocratic", 3),
+    # models and code of service
+    ("openrail", "use based restrictions", "use based restrictions", 2),
+    ("openrail", "creativeml open ?rail(?: m)?", "creativeml", 4),
+    ("llama", "llama [234](?: [0-9])? community license(?: agreement)?", "llama", 4),
+    ("gemma", "gemma terms of use", "gemma", 3),
+    ("research-only", "non ?commercial research (?:use|purposes)(?: only)?", "research", 3),
+    ("research-only", "available for research (?:use|purposes)", "available for research", 2),
+    ("terms-of-service", "by (?:using|accessing) this (?:site|website|service) you agree to", "you agree to", 2),
+    ("terms-of-service", "terms (?:of (?:use|service)|and conditions) apply", "apply", 1),
 ]
 #: A text or a paragraph is read on only if it holds one of these; each match of each rule does.
 KEYWORDS = ["licen", "cc by", "cc0", "rights reserved", "copyright", "public domain", "creative commons", "creativecommons", "hereby granted", "permission to use",
             "redistribution", "endorse or promote", "advertising materials", "free software", "warranty", "unencumbered", "apache", "gpl", "gnu org", "opensource", "bsd",
             "no part of this", "proprietary", "unauthorized", "use only", "purposes only", "attribution", "is credited", "is acknowledged", "wtfpl", "mpl ", "epl ",
-            "cddl", "eupl", "odbl", "odc by", "pddl", "ms pl", "cecill", "mulan", "rail", "spdx"]
+            "cddl", "eupl", "odbl", "odc by", "pddl", "ms pl", "cecill", "mulan", "rail", "spdx",
+            "without restriction", "permission", "applicable law", "hereby grants", "acknowledg", "later version", "should have received", "special exception", "classpath", "dynamically with",
+            "uses this font", "llvm", "remotely through", "contents of this file", "accompanying materials", "altered source", "misrepresented", "libpng", "jpeg group", "software developed by",
+            "font software", "reserved font", "vera", "you want to", "beer", "postcard", "good not evil", "anyone is free", "waived all", "united states government", "copy and redistribute",
+            "appropriate credit", "alike", "commercial", "modified material", "derivatives", "database", "public sector", "datenlizenz", "community data", "art libre", "gutenberg",
+            "under the terms", "fair use", "droits", "derechos", "rechte", "reproduction", "consent of the", "reprinted", "property of", "trade secret", "internal use", "not for", "distribution",
+            "reverse engineer", "you may not", "shareware", "freeware", "evaluation", "polyform", "business source", "commons clause", "creativeml", "gemma", "based restrictions", "research",
+            "you agree to", "terms of", "conditions apply"]
 
 
 def rules() -> list[dict]:
@@ -175,19 +298,21 @@ def _holds_any(lowered: Column, keywords: list[str]) -> Column:
     return found
 
 
-def _length(parts: Column, upto: Column) -> Column:
-    return F.aggregate(F.slice(parts, F.lit(1), upto), F.lit(0), lambda a, x: a + F.length(x))
+def _matches(part: Column, rule: Column) -> Column:
+    """(start, -end, -priority, label, words) of every match of one rule in a paragraph of words.
 
+    Starts come from running sums of the matches' and the gaps' lengths, so many matches cost little more than few.
+    """
+    def placed(x):
+        ends = running_sums(F.zip_with(x["hits"], x["gaps"], lambda h, g: F.length(h) + F.length(g)))
 
-def _matches(part: Column, rule: Column) -> Column:
-    """(start, -end, -priority, label, words) of every match of one rule in a paragraph of words."""
-    hits, between = F.regexp_extract_all(part, rule["pattern"], F.lit(0)), F.split(part, rule["pattern"], -1)
+        def interval(hit: Column, end: Column) -> Column:
+            return F.struct((end - F.length(hit)).alias("start"), (-end).alias("back"), (-rule["priority"]).alias("rank"), rule["label"].alias("label"), (blanks(hit) + 1).alias("words"))
 
-    def interval(hit: Column, i: Column) -> Column:
-        start = _length(between, i + 1) + _length(hits, i)
-        return F.struct(start.alias("start"), (-start - F.length(hit)).alias("back"), (-rule["priority"]).alias("rank"), rule["label"].alias("label"), (blanks(hit) + 1).alias("words"))
+        return F.zip_with(x["hits"], ends, interval)
 
-    return F.transform(hits, interval)
+    hits = F.regexp_extract_all(part, rule["pattern"], F.lit(0))
+    return let(hits, lambda h: F.when(F.size(h) > 0, let(F.struct(h.alias("hits"), F.slice(F.split(part, rule["pattern"], -1), F.lit(1), F.size(h)).alias("gaps")), placed)))
 
 
 def _kept(matches: Column) -> Column:
@@ -206,7 +331,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Adds n_words, n_base, first_word, last_word, base_labels, labels and score; columns of those names are replaced.
 
     A null text is empty: no words, no labels (empty strings), score 0. ``score`` is the share of the text's words that
-    lie in kept matches, 1 at most. Repeated rows get the same result.
+    lie in kept matches, 1 at most. Repeated rows get the same result. Texts of any length, and of any number of matches in a
+    paragraph, are read whole; the time grows with n log n.
     """
     table = F.from_json(F.lit(json.dumps(rules())), "array<struct<id:int,label:string,pattern:string,keyword:string,priority:int>>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -226,7 +352,7 @@ def scan(docs: DataFrame) -> DataFrame:
         names.append(F.when(n > 0, F.lit(label)))
     part = lambda x: F.translate(plain(x), _UPPER, _LOWER)
     parts = F.filter(F.transform(F.split("_text", _BREAK), part), lambda x: _holds_any(x, KEYWORDS))
-    per_part = F.transform(parts, lambda x: _kept(F.flatten(F.transform(F.filter(table, lambda r: F.contains(x, r["keyword"])), lambda r: _matches(x, r)))))
+    per_part = F.transform(parts, lambda x: _kept(F.flatten(F.transform(F.filter(table, lambda r: F.contains(x, r["keyword"])), lambda r: F.coalesce(_matches(x, r), F.expr(_NO_MATCH))))))
     none = F.expr("cast(array() as array<struct<reach:int,words:bigint,labels:array<string>>>)")
     n_words = F.when(words == "", F.lit(0)).otherwise(blanks(words) + 1).cast("long")
     # one row each, so that later columns do not repeat the scan
