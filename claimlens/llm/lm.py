@@ -34,10 +34,10 @@ KNOWN = 65_536
 STATE = 20
 WINDOW = 32
 LANES = 256
-#: Fewer lanes in training mean more steps for the same text.
-TRAIN_LANES = 64
-#: Documents that are stored together for training, about.
-TASK_DOCS = 3000
+#: Tokens that a task deals to its lanes at once: enough that one long document does not leave the other lanes idle for long.
+DEALT_TOKENS = 2_500_000
+#: Longer documents are trained on in spans, each from an empty state; scoring reads every document as a whole.
+TRAIN_SPAN = 2048
 #: Parts of the training documents; the tasks' weights are averaged after each part.
 ROUNDS = 2
 _RUN = 8 << 20
@@ -221,11 +221,13 @@ class Network:
         g["e"][source[order][start]] = np.add.reduceat(inputs.reshape(-1, 3 * s)[order], start, axis=0)
         return g, float(loss), states[-1]
 
-    def train(self, data: Streams, rate: float = 0.01, passes: int = 1) -> float:
-        """Adam steps, one per window; returns the mean loss of the last pass."""
-        m = {k: np.zeros(s, dtype=np.float32) for k, s in self.SHAPES.items()}
-        v = {k: np.zeros(s, dtype=np.float32) for k, s in self.SHAPES.items()}
-        step, total, tokens = 0, 0.0, 1
+    def train(self, data: Streams, rate: float = 0.01, passes: int = 1, moments: list | None = None) -> float:
+        """Adam steps, one per window; returns the mean loss of the last pass. ``moments`` (empty at first) carries them to the next call."""
+        moments = [] if moments is None else moments
+        if not moments:
+            moments += [0, *({k: np.zeros(s, dtype=np.float32) for k, s in self.SHAPES.items()} for _ in range(2))]
+        step, m, v = moments
+        total, tokens = 0.0, 1
         for _ in range(passes):
             total, tokens = 0.0, 0
             h = np.zeros((data.token.shape[1], STATE), dtype=np.float32)
@@ -241,6 +243,7 @@ class Network:
                     v[k] += np.float32(0.01) * (d * d - v[k])
                     self.w[k] = self.w[k] - np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k]) + np.float32(1e-8))
                 total, tokens = total + loss * int(use.sum()), tokens + int(use.sum())
+        moments[0] = step
         return total / max(1, tokens)
 
 
@@ -298,6 +301,27 @@ def _documents(column: pa.Array):
         yield run.lo, run.hi, first, hashes
 
 
+def _gathered(batches):
+    """(ids, first, hashes) of the documents of several Arrow batches at a time; ``ids`` is null without a doc_id column."""
+    ids, sizes, held, n = [], [], [], 0
+
+    def out():
+        return pa.concat_arrays(ids) if ids else None, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(held)
+
+    for b in batches:
+        for lo, hi, first, hashes in _documents(b["text"]):
+            if "doc_id" in b.schema.names:
+                ids.append(b["doc_id"].slice(lo, hi - lo))
+            sizes.append(np.diff(first))
+            held.append(hashes)
+            n += len(hashes)
+            if n >= DEALT_TOKENS:
+                yield out()
+                ids, sizes, held, n = [], [], [], 0
+    if n:
+        yield out()
+
+
 def count(docs: DataFrame, buckets: int) -> DataFrame:
     """(hash, count) of every token of the training rows (``train`` true)."""
 
@@ -319,28 +343,27 @@ def count(docs: DataFrame, buckets: int) -> DataFrame:
     return blocks.meet(docs.mapInArrow(deal, blocks.BLOCK), buckets, each, "hash long, count long")
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> tuple[Network, int]:
+def train(docs: DataFrame, vocabulary: Vocabulary) -> tuple[Network, int]:
     """The network after one pass over all training documents, and the number of tokens it has read.
 
-    The documents are read in rounds, each in parallel on its part of them; the weights are averaged after each round.
+    The documents are read where they lie, in rounds, each in parallel on its part of them; the weights are averaged after
+    each round. Adam's moments last as long as the task.
     """
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS)).alias("part")
-    every = docs.where("train").select(part, "text", F.xxhash64("doc_id", F.lit(5)).alias("_deal"))
-    dealt = materialise(every.repartition(max(1, round(n_docs / TASK_DOCS)), "_deal").drop("_deal"), "training-texts")
+    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(ROUNDS))
     network, read = Network.new(), 0
     for step in range(ROUNDS):
         sent = spark.sparkContext.broadcast((network.flat(), vocabulary))
 
         def fit(it, sent=sent, step=step):
             weights, vocabulary = sent.value
-            own, tokens = Network.unflat(weights), 0
-            for b in it:
-                for _, _, first, hashes in _documents(b["text"]):
-                    at = vocabulary.find(hashes)
-                    token = np.where(at >= 0, vocabulary.number[at] if len(vocabulary.number) else 0, CLASSES * MEMBERS + 1).astype(np.int32)
-                    own.train(streams(token, first, TRAIN_LANES), rate=0.01 / (1 + 2 * step))
-                    tokens += len(token)
+            own, tokens, moments = Network.unflat(weights), 0, []
+            for _, first, hashes in _gathered(it):
+                at = vocabulary.find(hashes)
+                token = np.where(at >= 0, vocabulary.number[at] if len(vocabulary.number) else 0, CLASSES * MEMBERS + 1).astype(np.int32)
+                long = [np.arange(first[i], first[i + 1], TRAIN_SPAN) for i in np.flatnonzero(np.diff(first) > TRAIN_SPAN)]
+                own.train(streams(token, np.unique(np.concatenate([first, *long]))), rate=0.01 / (1 + 2 * step), moments=moments)
+                tokens += len(token)
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([own.flat().tolist()], pa.list_(pa.float64()))], ["tokens", "weights"])
 
@@ -354,7 +377,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, n_docs: int) -> tuple[Network
                 yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([sums / total], pa.list_(pa.float64()))], ["tokens", "weights"])
 
         kind = "tokens double, weights array<double>"
-        found = dealt.where(F.col("part") == step).select("text").mapInArrow(fit, kind).repartition(8).mapInArrow(add, kind).collect()  # 8 rows at most
+        found = docs.where(F.col("train") & (part == step)).select("text").mapInArrow(fit, kind).repartition(8).mapInArrow(add, kind).collect()  # 8 rows at most
         if found:
             network = Network.unflat(np.average([r["weights"] for r in found], axis=0, weights=[r["tokens"] for r in found]))
             read += int(sum(r["tokens"] for r in found))
@@ -414,21 +437,20 @@ def score(docs: DataFrame) -> DataFrame:
     train_tokens, types = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("count"), "hash").limit(KNOWN).toArrow()  # KNOWN rows at most
     vocabulary = Vocabulary.of(top["hash"].to_numpy().view(np.uint64), top["count"].to_numpy(), train_tokens, types)
-    sent = spark.sparkContext.broadcast((train(rows, vocabulary, n_docs)[0].flat(), vocabulary))
+    sent = spark.sparkContext.broadcast((train(rows, vocabulary)[0].flat(), vocabulary))
 
     def read(it):
         weights, vocabulary = sent.value
         network, task, seen = Network.unflat(weights), TaskContext.get().partitionId(), 0
-        for b in it:
-            for lo, hi, first, hashes in _documents(b["text"]):
-                sums, tail = _score_run(network, vocabulary, first, hashes)
-                place = (task << 40) + seen + np.arange(hi - lo)
-                seen += hi - lo
-                tail["doc"] = place[tail["doc"]]
-                nothing = [pa.nulls(hi - lo, k) for k in (pa.int32(), pa.string(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*nothing, pa.array(place), b["doc_id"].slice(lo, hi - lo), *[pa.array(sums[k]) for k in ("n_tokens", "n_sent", "base", "model")]], names)
-                block = blocks.pack("tail", tail["hash"] % np.uint64(buckets), tail)
-                yield pa.RecordBatch.from_arrays([*block.columns, *[pa.nulls(len(block), k) for k in (pa.int64(),) * 4 + (pa.float64(),) * 2]], names)
+        for ids, first, hashes in _gathered(it):
+            sums, tail = _score_run(network, vocabulary, first, hashes)
+            place = (task << 40) + seen + np.arange(len(ids))
+            seen += len(ids)
+            tail["doc"] = place[tail["doc"]]
+            nothing = [pa.nulls(len(ids), k) for k in (pa.int32(), pa.string(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(place), ids, *[pa.array(sums[k]) for k in ("n_tokens", "n_sent", "base", "model")]], names)
+            block = blocks.pack("tail", tail["hash"] % np.uint64(buckets), tail)
+            yield pa.RecordBatch.from_arrays([*block.columns, *[pa.nulls(len(block), k) for k in (pa.int64(),) * 4 + (pa.float64(),) * 2]], names)
 
     def again(it):
         for b in it:

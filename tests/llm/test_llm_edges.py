@@ -113,11 +113,11 @@ def test_lm(docs, empty):
 
 def test_lm_trains_on_every_training_document(spark):
     """More documents than one task is dealt: the network reads each token of each of them."""
-    n = 2 * lm.TASK_DOCS + 500
+    n = 6500
     rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), (~lm.held_out(F.col("id"))).alias("train"))
     hashes = np.sort(np.append(words.text_hash(["a", "b", "c"]), lm.END))
     kept = rows.where("train").count()
-    _, read = lm.train(rows, lm.Vocabulary.of(hashes, np.full(4, kept), 4 * kept, 4), n)
+    _, read = lm.train(rows, lm.Vocabulary.of(hashes, np.full(4, kept), 4 * kept, 4))
     assert read == 4 * kept
 
 
@@ -234,6 +234,13 @@ def test_products_are_exact():
     assert knn.products(big, big).item() == (2**31 - 1) ** 2 + 2**62
 
 
+def test_licenses_with_many_matches_in_a_paragraph(spark):
+    text = "Copyright 2020 by me, some rights reserved\n" * 20_000 + "copyright" + " 1999" * 50_000
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert (r["n_words"], r["labels"], r["n_base"]) == (7 * 20_000 + 50_001, "cc,copyright", 0)
+    assert r["score"] == pytest.approx((5 * 20_000 + 50_001) / (7 * 20_000 + 50_001))
+
+
 def test_licenses(docs, empty, spark):
     found = licenses.scan(docs)
     assert {r["n_base"] for r in found.collect()} == {0} and "score" in found.columns and found.schema["n_words"].dataType.simpleString() == "bigint"
