@@ -23,6 +23,8 @@ WINDOW = 10
 SHARD_BYTES = 4 << 20
 #: Phrases sent to the tasks at once: at most about 20 MB; more are searched in further blocks.
 PHRASE_BLOCK = 200_000
+#: Stands for the id of all items that have none.
+_NAMELESS = -(1 << 63)
 
 _INDEX = "shard string, doc_ids array<long>, bounds binary, terms binary, cuts binary, postings binary"
 _MATCH = "shard string, place int, doc_id long, phrase long, start long, length int"
@@ -201,12 +203,13 @@ def report(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", width:
     """Per document: its id, n_words, n_hit (words inside any occurrence of a window) and the sorted ids of the items found.
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; a window is ``width`` consecutive words of an
-    item, or the whole item if it has fewer. Null and empty texts have no words; items without words match nothing;
-    repeated rows are reported each; other columns are ignored.
+    item, or the whole item if it has fewer. Null and empty texts have no words; items without words match nothing; an item
+    without an id is searched like the others and its words are hit, but it cannot be listed. Texts of any length are read
+    whole; repeated rows are reported each; other columns are ignored; an empty table gives no rows.
     """
     blocks.bound_batches(docs.sparkSession)
     index = build_index(docs, id_column)
-    phrases = phrase_windows(items, width=width).where("item_id is not null").select(F.col("item_id").alias("phrase"), "terms").distinct()
+    phrases = phrase_windows(items, width=width).select(F.coalesce("item_id", F.lit(_NAMELESS)).alias("phrase"), "terms").distinct()
     hits = _stretches(search(index, phrases)).select("shard", "place", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), "phrase", F.struct("start", "end").alias("at"))
 
     def sizes(it):
@@ -218,7 +221,8 @@ def report(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", width:
     every = index.select("shard", "doc_ids", "bounds").mapInArrow(sizes, "shard string, place int, doc_id long, n_words long")
     every = every.select("*", F.lit(None).cast("long").alias("phrase"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("at"))
     # each document and its stretches meet in one group; there are no more stretches than words
-    both = every.unionByName(hits).groupBy("shard", "place").agg(F.max("doc_id").alias(id_column), F.max("n_words").alias("n_words"), F.collect_list("at").alias("_at"), F.collect_set("phrase").alias("items"))
+    listed = F.collect_set(F.when(F.col("phrase") != _NAMELESS, F.col("phrase")))
+    both = every.unionByName(hits).groupBy("shard", "place").agg(F.max("doc_id").alias(id_column), F.max("n_words").alias("n_words"), F.collect_list("at").alias("_at"), listed.alias("items"))
     return both.select(id_column, "n_words", _covered(F.col("_at")).alias("n_hit"), F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"))
 
 

@@ -182,11 +182,12 @@ def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, "two three FOUR"), (2, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15, w16"), (3, None), (4, "..."), (1, "two three FOUR"), (11, "café"), (None, "hi")], "item_id long, text string")
     found = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontamination.report(docs, items).collect())
     hit = (11, 3, ("1",))
-    assert found == [(0, *hit), (1, *hit), (2, *hit), (2, *hit), (3, 0, 0, ()), (4, 0, 0, ()), (5, 0, 0, ()), (6, 1, 0, ()), (7, 1, 0, ()), (8, 30000, 12, ("2",)), (9, 30001, 12, ("2",)), (10, 8, 1, ("11",))]
+    assert found == [(0, *hit), (1, *hit), (2, *hit), (2, *hit), (3, 0, 0, ()), (4, 0, 0, ()), (5, 0, 0, ()), (6, 1, 1, ()), (7, 1, 1, ()), (8, 30000, 12, ("2",)), (9, 30001, 12, ("2",)), (10, 8, 1, ("11",))]
     assert decontamination.report(empty, items).count() == 0
     assert all(r["n_hit"] == 0 for r in decontamination.report(docs, items.where("false")).collect())
     kept = decontamination.clean(docs, items)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7] and sorted(kept.columns) == sorted(docs.columns)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5]  # an item without an id leaks all the same
+    assert sorted(kept.columns) == sorted(docs.columns)
 
 
 def test_separate_occurrences_are_not_joined(spark):
