@@ -97,6 +97,22 @@ def running_total(per_key: DataFrame, key: str, value: str, out: str) -> DataFra
     return dealt.join(F.broadcast(sums), "_range").withColumn(out, (F.col("_moved") + inside).cast("long")).drop("_range", "_moved")
 
 
+def ranked(df: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """Adds ``rank`` (from 0 within the part, in the given order) and ``size`` (rows of the part).
+
+    Rows are dealt to ranges of (part, order) and stored, so that ranges stay the same; a range ranks its own rows, moved by
+    the rows that earlier ranges hold of the part. A part of any size is spread over ranges. Rows without a part are left out.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = df.where(F.col(part).isNotNull())
+    dealt = materialise(given.repartitionByRange(ranges, part, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(part, "_range").count()
+    before = F.sum("count").over(Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(part, "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("count").over(Window.partitionBy(part)).alias("size"))
+    inside = F.row_number().over(Window.partitionBy(part, "_range").orderBy(*order))
+    return dealt.join(counts, [part, "_range"]).withColumn("rank", F.col("_before") + inside - 1).drop("_range", "_before")
+
+
 def gather_ordered(df: DataFrame, keys: list[str], order: str, value: Column, out: str) -> DataFrame:
     """Array of ``value`` per key in ``order`` (equal places by value).
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from claimlens.cluster import ranked
 from claimlens.functions import pvalues
 
 ALPHA = 0.05
@@ -107,10 +108,9 @@ def wilcoxon(pairs: DataFrame, alternative: str = "two-sided") -> DataFrame:
 
 
 def shapiro(df: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, w, p, normal): weights follow from rank and size, so only sums leave the ranking window."""
-    whole = Window.partitionBy(by)
-    ranked = df.withColumn("_n", F.count("*").over(whole)).withColumn("_i", F.row_number().over(whole.orderBy(value)))
-    weighted = ranked.withColumn("_a", pvalues.order_weight("_i", "_n"))
+    """(by, n, w, p, normal): weights follow from rank and size; ranks come from ranges of the values, so a group of any size is spread."""
+    placed = ranked(df.select(by, value), by, [value])
+    weighted = placed.withColumn("_a", pvalues.order_weight(F.col("rank") + 1, "size"))
     out = weighted.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("_a") * F.col(value)).alias("_b"), F.var_pop(value).alias("_v"))
     out = out.withColumn("w", F.col("_b") * F.col("_b") / (F.col("_v") * F.col("n")))
     out = out.withColumn("p", pvalues.shapiro_p("w", "n")).drop("_b", "_v")

@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,27 +51,40 @@ def select_features(model: Model, df: DataFrame, cap: int | None = None, feature
     return VectorSlicer(inputCol=features, outputCol=out, indices=sorted(chosen[:cap])).transform(df)
 
 
-def tfidf_stages(train: DataFrame, text: str = "text", width: int | None = None, out: str = "features") -> PipelineModel:
+#: Columns that terms are hashed to: for the linear head, whose weights are one vector of that length whatever the corpus, and
+#: for the hidden layer, which has so many weights per unit.
+LINEAR_WIDTH, HASH_WIDTH = 1 << 18, 4096
+
+
+def _terms(text: str) -> RegexTokenizer:
+    return RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\w+", gaps=False, minTokenLength=2)
+
+
+def shared_columns(df: DataFrame, width: int, text: str = "text") -> tuple[int, int]:
+    """Numbers of distinct terms of the texts and of the columns they take; the difference shares a column."""
+    split = _terms(text).transform(df).select("_words")
+    used = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width).transform(split).select(Summarizer.numNonZeros(F.col("_tf"))).first()[0]
+    return split.select(F.explode("_words")).distinct().count(), int((used.toArray() > 0).sum())
+
+
+def tfidf_stages(train: DataFrame, text: str = "text", width: int = LINEAR_WIDTH, out: str = "features") -> PipelineModel:
     """Sparse TF-IDF with idf ``ln((1+n)/(1+df))+1`` and unit length, over every term of the training texts.
 
-    With ``width`` terms are hashed to so many columns; none is dropped, but some share a column.
+    Terms are hashed to ``width`` columns, so that no vocabulary passes through the driver; none is dropped, but some share
+    a column (``shared_columns`` counts them).
     """
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\w+", gaps=False, minTokenLength=2)
-    count = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width) if width else CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=2**31 - 1)
-    counted = Pipeline(stages=[words, count]).fit(train)
+    words = _terms(text)
+    count = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width)
+    counted = PipelineModel(stages=[words, count])
     idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted.transform(train)).idf.toArray() + 1
     scale = ElementwiseProduct(inputCol="_tf", outputCol="_scaled", scalingVec=Vectors.dense(idf))
     return PipelineModel(stages=[*counted.stages, scale, Normalizer(inputCol="_scaled", outputCol=out)])
 
 
-#: Columns of the hidden-layer head: its weights are dense, so terms are hashed to this width.
-HASH_WIDTH = 4096
-
-
 def text_classifier(train: DataFrame, classes: int, hidden: int = 100, seed: int = 70, width: int = HASH_WIDTH, iterations: int = 50,
                     weighted: bool = False) -> PipelineModel:
-    """Text to class probabilities: hashed TF-IDF and one hidden layer, or weighted regression over all terms when classes are balanced."""
-    features = tfidf_stages(train, width=None if weighted else width)
+    """Text to class probabilities: hashed TF-IDF and one hidden layer, or weighted regression over a wide hash when classes are balanced."""
+    features = tfidf_stages(train, width=LINEAR_WIDTH if weighted else width)
     ready = features.transform(train)
     if weighted:
         weights = class_weights(train, "label").select("label", "weight")

@@ -225,8 +225,8 @@ def s18(spark, d):
 SELECT i.id, {A6_SELECT} FROM item i LEFT JOIN sentence s ON s.item_id = i.id AND s.review_level = 9
 WHERE NOT i.skip_validations AND i.review_level = 9 AND i.instance_type = 'Dev' GROUP BY i.id""")
 def s19(spark, d):
-    build = lambda: articles.item_features(
-        views.item(spark, d).where(item_selector("dev")).select("id"), views.sentence(spark, d), 9).select("id", *articles.FEATURES)
+    build = lambda items, sentences: articles.item_features(items, sentences, 9).select("id", *articles.FEATURES)
+    sources = views.item(spark, d).where(item_selector("dev")).select("id"), views.sentence(spark, d)
     folder = shared_path(spark, "cache")
-    sinks.cached(spark, "dev", folder, build)
-    return rounded(sinks.cached(spark, "dev", folder, build), FEATURE_DOUBLES)
+    sinks.cached("dev", folder, build, *sources)
+    return rounded(sinks.cached("dev", folder, build, *sources), FEATURE_DOUBLES)

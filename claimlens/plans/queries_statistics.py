@@ -167,12 +167,41 @@ def e10(spark, d):
     return rounded(out, ["p"])
 
 
-@register("E11")
+# Normality of ten seeds a model: fixed values are the standard normal quantiles of (i - 0.375) / 10.25 and the published
+# polynomials; the upper tail of the normal distribution is summed as a series.
+QUANTILES = "-1.546635271399230, -1.000490545619315, -0.655423505234427, -0.375461770235518, -0.122580843888802, 0.122580843888803, 0.375461770235518, 0.655423505234427, 1.000490545619315, 1.546635271399230"
+NORMALITY_SQL = f"""
+, qm AS (SELECT unnest([{QUANTILES}]) AS m, unnest(range(1, 11)) AS i),
+ss AS (SELECT sum(m * m) AS ssm, max(m) AS m10, max(m) FILTER (i = 9) AS m9, 1 / sqrt(10) AS u FROM qm),
+en AS (SELECT *, 0.221157 * u - 0.147981 * u ** 2 - 2.07119 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 + m10 / sqrt(ssm) AS a10,
+  0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5 + m9 / sqrt(ssm) AS a9 FROM ss),
+wt AS (SELECT i, CASE i WHEN 10 THEN a10 WHEN 9 THEN a9 WHEN 2 THEN -a9 WHEN 1 THEN -a10
+  ELSE m / sqrt((ssm - 2 * m10 ** 2 - 2 * m9 ** 2) / (1 - 2 * a10 ** 2 - 2 * a9 ** 2)) END AS a FROM qm, en),
+rs AS (SELECT model, f1, row_number() OVER (PARTITION BY model ORDER BY f1) AS i FROM results),
+sw AS (SELECT model, count(*) AS n, sum(a * f1) ** 2 / (var_pop(f1) * count(*)) AS w FROM rs LEFT JOIN wt USING (i) GROUP BY 1),
+sz AS (SELECT model, n, w, (-ln(0.459 * n - 2.273 - ln(1 - w)) - (0.544 - 0.39978 * n + 0.025054 * n ** 2 - 6.714e-4 * n ** 3))
+  / exp(1.3822 - 0.77857 * n + 0.062767 * n ** 2 - 0.0020322 * n ** 3) AS z FROM sw WHERE n = 10),
+sp AS (SELECT model, n, w, 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80), lambda k: z ** (2 * k + 1) * sqrt(pi()) / (2.0 ** (k + 1) * gamma(k + 1.5)))) AS p FROM sz)
+"""
+
+
+@register("E11", with_views("results") + NORMALITY_SQL + "SELECT model, n, round(w, 6) AS w, round(p, 6) AS p, p > 0.05 AS normal FROM sp")
 def e11(spark, d):
     return rounded(evaluation.shapiro(views.results(spark, d), "model", "f1"), ["w", "p"], 6)
 
 
-@register("E12")
+# Two-sided p of the paired t test for nine degrees of freedom (ten seeds).
+T_SQL = """
+, t0 AS (SELECT model1, model2, atan(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) / 3) AS x FROM pr WHERE model1 <> model2 GROUP BY 1, 2),
+tp AS (SELECT model1, model2, 1 - abs(2 / pi() * (x + sin(x) * (cos(x) + 2.0 / 3 * cos(x) ** 3 + 8.0 / 15 * cos(x) ** 5 + 16.0 / 35 * cos(x) ** 7))) AS p FROM t0)
+"""
+
+
+@register("E12", WILCOXON_SQL + EXACT_SQL + T_SQL + NORMALITY_SQL + """
+SELECT 'normal' AS rule, model1, model2, CASE WHEN s1.p <= 0.05 THEN 'sample 1 not normal' WHEN s2.p <= 0.05 THEN 'sample 2 not normal'
+  WHEN tp.p < 0.05 THEN 'statistically significant' ELSE 'not statistically significant' END AS verdict
+FROM tp JOIN sp s1 ON s1.model = model1 JOIN sp s2 ON s2.model = model2
+UNION ALL SELECT 'not normal', model1, model2, CASE WHEN p < 0.05 THEN 'statistically significant' ELSE 'not statistically significant' END FROM px""")
 def e12(spark, d):
     r = views.results(spark, d)
     return evaluation.significance(r).withColumn("rule", F.lit("normal")).unionByName(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,9 +119,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def cached(spark: SparkSession, label: str, folder: str, build, version: str = "") -> DataFrame:
-    """The stored table for a label and a version of its data, built and written first if it is not there yet."""
-    path = f"{folder.rstrip('/')}/features-{label}{'-' if version else ''}{version}"
+def fingerprint(df: DataFrame) -> str:
+    """A digest of a table's columns and rows that does not depend on the order of either; repeated rows count."""
+    names = sorted(df.columns)
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+    hashed = df.select(F.xxhash64(F.lit(1), row).alias("a"), F.xxhash64(F.lit(2), row).alias("b"))
+    sums = hashed.agg(F.count("*"), *[F.sum(F.col(c).cast("decimal(38,0)")) for c in "ab"], *[F.bit_xor(c) for c in "ab"]).first()
+    return hashlib.sha256(repr([[(c, df.schema[c].dataType.simpleString()) for c in names], *sums]).encode()).hexdigest()[:32]
+
+
+def cached(label: str, folder: str, build: Callable[..., DataFrame], *sources: DataFrame) -> DataFrame:
+    """The stored result of ``build(*sources)`` for a label, built and written first unless it is there for just these rows.
+
+    The sources' fingerprint, one pass over them, names the stored table: changed data is built anew, and a table that is
+    still used by another run is never overwritten.
+    """
+    spark = sources[0].sparkSession
+    path = f"{folder.rstrip('/')}/features-{label}-{hashlib.sha256(''.join(map(fingerprint, sources)).encode()).hexdigest()[:32]}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        build(*sources).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -303,10 +303,25 @@ def test_stages_move_rows_between_levels(spark):
 
 def test_text_features_keep_every_term(spark):
     rows = spark.createDataFrame([(i, f"common word{i} only{i * 7}") for i in range(300)], "id int, text string")
-    fitted = models.tfidf_stages(rows)
-    assert len(fitted.stages[1].vocabulary) == 601
-    hashed = models.tfidf_stages(rows, width=64).transform(rows).select("features").first()["features"]
-    assert hashed.size == 64 and hashed.numNonzeros() >= 1
+    terms, columns = models.shared_columns(rows, models.LINEAR_WIDTH)
+    assert terms == 601 and columns >= 600
+    assert models.shared_columns(rows, 64) == (601, 64)
+    first = models.tfidf_stages(rows).transform(rows).select("features").first()["features"]
+    assert first.size == models.LINEAR_WIDTH and first.numNonzeros() == 3 and first.norm(2) == pytest.approx(1)
+
+
+def test_cache_follows_its_data(spark):
+    folder, built = shared_path(spark, "cache"), []
+
+    def build(df):
+        built.append(1)
+        return df.groupBy("k").count()
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, None)], "k int, v string")
+    mixed = rows.select("v", "k").orderBy(F.desc("k")).repartition(3)
+    for source, times in ((rows, 1), (mixed, 1), (rows.distinct(), 2), (rows.where("v = 'b'"), 3), (rows, 3), (rows.withColumn("k", F.col("k").cast("long")), 4), (rows.where("false"), 5)):
+        found = sinks.cached("x", folder, build, source)
+        assert len(built) == times and found.count() == source.select("k").distinct().count()
 
 
 def test_extraction_modes(spark, data):
