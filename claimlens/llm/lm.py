@@ -151,19 +151,24 @@ class Network:
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the class, and inside head classes of the word, for rows of states."""
         w, head = self.w, CLASSES * MEMBERS
-        cls = np.where(target < head, target // MEMBERS, target - head + CLASSES)
-        logits = states @ w["wc"] + w["bc"]
-        top = logits.max(1)
-        out = logits[np.arange(len(cls)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        cls = np.where(target < head, target // MEMBERS, target - head + CLASSES).astype(np.uint8)
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                inner = states[rows] @ w["wo"][c] + w["bo"][c]
-                top = inner.max(1)
-                out[rows] += inner[np.arange(len(rows)), target[rows] - c * MEMBERS] - top - np.log(np.exp(inner - top[:, None]).sum(1))
-        return out
+        states, target, cls = states[order], target[order], cls[order]
+        logits = states @ w["wc"] + w["bc"]
+        logits -= logits.max(1, keepdims=True)
+        out = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits).sum(1))
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        inner = np.empty((int(cuts[-1]), MEMBERS), dtype=w["wo"].dtype)
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            rows = slice(cuts[c], cuts[c + 1])
+            np.matmul(states[rows], w["wo"][c], out=inner[rows])
+            inner[rows] += w["bo"][c]
+        inner -= inner.max(1, keepdims=True)
+        n = len(inner)
+        out[:n] += inner[np.arange(n), target[:n] % MEMBERS] - np.log(np.exp(inner).sum(1))
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def gradient(self, previous: np.ndarray, fresh: np.ndarray, target: np.ndarray, use: np.ndarray, h: np.ndarray) -> tuple[dict, float, np.ndarray]:
         """Backpropagation through one window; returns gradients of the mean loss, the loss and the last state."""
@@ -171,33 +176,41 @@ class Network:
         steps, lanes = previous.shape
         kept: list = []
         states = self.forward(previous, fresh, h, kept)
-        flat, t = states.reshape(-1, s), target.reshape(-1)
-        scale = use.reshape(-1).astype(np.float32) / max(1, int(use.sum()))
-        cls = np.where(t < head, t // MEMBERS, t - head + CLASSES)
+        t, scale = target.reshape(-1), use.reshape(-1).astype(np.float32) / max(1, int(use.sum()))
+        cls = np.where(t < head, t // MEMBERS, t - head + CLASSES).astype(np.uint8)
+        order = np.argsort(cls, kind="stable")  # by class, so that a class is a stretch of rows
+        flat, t, scale, cls = states.reshape(-1, s)[order], t[order], scale[order], cls[order]
         rows = np.arange(len(t))
-        logits = flat @ w["wc"] + w["bc"]
-        p = np.exp(logits - logits.max(1, keepdims=True))
+        p = flat @ w["wc"] + w["bc"]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         loss = -(np.log(p[rows, cls] + 1e-30) * scale).sum()
         p[rows, cls] -= 1
         p *= scale[:, None]
         g = {k: np.zeros(shape, dtype=np.float32) for k, shape in self.SHAPES.items()}
         g["wc"], g["bc"] = flat.T @ p, p.sum(0)
-        back = p @ w["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                inner = flat[own] @ w["wo"][c] + w["bo"][c]
-                q = np.exp(inner - inner.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                at = (np.arange(len(own)), t[own] - c * MEMBERS)
-                loss -= (np.log(q[at] + 1e-30) * scale[own]).sum()
-                q[at] -= 1
-                q *= scale[own][:, None]
-                g["wo"][c], g["bo"][c] = flat[own].T @ q, q.sum(0)
-                back[own] += q @ w["wo"][c].T
+        sorted_back = p @ w["wc"].T
+        cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+        classes, n = np.flatnonzero(np.diff(cuts)).tolist(), int(cuts[-1])
+        q = np.empty((n, MEMBERS), dtype=w["wo"].dtype)
+        for c in classes:
+            own = slice(cuts[c], cuts[c + 1])
+            np.matmul(flat[own], w["wo"][c], out=q[own])
+            q[own] += w["bo"][c]
+        q -= q.max(1, keepdims=True)
+        np.exp(q, out=q)
+        q /= q.sum(1, keepdims=True)
+        at = (rows[:n], t[:n] % MEMBERS)
+        loss -= (np.log(q[at] + 1e-30) * scale[:n]).sum()
+        q[at] -= 1
+        q *= scale[:n, None]
+        for c in classes:
+            own = slice(cuts[c], cuts[c + 1])
+            g["wo"][c], g["bo"][c] = flat[own].T @ q[own], q[own].sum(0)
+            sorted_back[own] += q[own] @ w["wo"][c].T
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
         back = np.ascontiguousarray(back.reshape(steps, lanes, s).transpose(0, 2, 1))
         inputs = np.empty((steps, 3 * s, lanes), dtype=np.float32)
         carry = np.zeros((s, lanes), dtype=np.float32)
@@ -213,12 +226,10 @@ class Network:
             g["u"] += before @ turn.T
             carry = d * z + w["u"] @ turn
             carry *= ~fresh[step]
-        inputs = np.ascontiguousarray(inputs.transpose(0, 2, 1))
-        g["b"] = inputs.sum((0, 1))
+        g["b"] = inputs.sum((0, 2))
         source = previous.reshape(-1)
-        order = np.argsort(source, kind="stable")
-        start = np.flatnonzero(first_of(source[order]))
-        g["e"][source[order][start]] = np.add.reduceat(inputs.reshape(-1, 3 * s)[order], start, axis=0)
+        for k in range(3 * s):
+            g["e"][:, k] = np.bincount(source, weights=inputs[:, k].reshape(-1), minlength=len(g["e"]))
         return g, float(loss), states[-1]
 
     def train(self, data: Streams, rate: float = 0.01, passes: int = 1, moments: list | None = None) -> float:
