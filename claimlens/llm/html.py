@@ -28,12 +28,17 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
           "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 #: Elements that may hold an article.
 HOLDERS = {"html", "body", "main", "article", "section", "div", "td", "center"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that a start tag of the same kind, or of a block for p, ends.
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"html", "body", "main", "article", "section", "div", "table", "ul", "ol", "dl", "blockquote", "aside", "nav", "footer", "header", "form", "td", "th"}
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*"
-    r"|sidebar|side|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|comments?|commentlist|disqus|replies|pagination|pager|widgets?|toolbar|skip|login|signup|search)(?:$|[\s_-])", re.I)
+_MARKS = (r"ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscri\w*|share|sharing|social|related|recommend\w*"
+          r"|sidebar|side|breadcrumbs?|menu|nav|navbar|navigation|footer|header|masthead|comments?|commentlist|disqus|replies|pagination|pager|widgets?|toolbar|skip|login|signup|search")
+_MARKED = re.compile(rf"(?:^|[\s_-])(?:{_MARKS})(?:$|[\s_-])", re.I)
+#: Inside an article a name must say nothing else: marks, and what they are marks of.
+_THINGS = "area|articles|bar|block|box|button|buttons|container|content|form|group|inner|items?|links?|list|panel|posts?|section|slot|stories|thread|unit|wrap|wrapper"
+_MARKED_INSIDE = re.compile(rf"(?:^|\s)(?:(?:{_THINGS})[_-])*(?:{_MARKS})(?:[_-](?:{_MARKS}|{_THINGS}|\d+))*(?:$|\s)", re.I)
+_NO_ARTICLE = re.compile(rf"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|related|recommend\w*|comments?|repl(?:y|ies)|teaser)(?:[_-](?:{_THINGS}|\d+))*(?:$|\s)", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
@@ -53,17 +58,19 @@ class _Element:
         self.path = up.path if self.inline else paths.setdefault((None if up is None else up.path, tag), len(paths))
 
 
-def _aside(tag: str, attributes: str) -> bool:
-    """Whether an element is marked as something beside the article."""
+def _aside(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is marked as something beside the article; ``inside`` an article, ids of headings are anchors."""
     if tag in OUTSIDE:
         return True
-    if tag in ("html", "body", "main", "article") or not attributes.strip(" /"):
+    if tag in ("html", "body", "main") or not attributes.strip(" /"):
         return False
+    if tag == "article":  # a comment or a card, else never beside itself
+        return any(name.lower() == "class" and _NO_ARTICLE.search(unescape("".join(values))) for name, *values in _ATTRIBUTE.findall(attributes))
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), unescape("".join(values))
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and _MARKED.search(value):
+        if (name == "class" or name == "id" and not (inside and tag in HEADINGS)) and (_MARKED_INSIDE if inside else _MARKED).search(value):
             return True
     return False
 
@@ -158,7 +165,7 @@ def pieces(page: str) -> tuple[list[_Element], list[tuple[_Element, str]]]:
             if tag in _SIBLINGS:
                 leave(_SIBLINGS[tag], _SCOPE - {"td", "th"} if tag == "tr" else _SCOPE - _SIBLINGS[tag])
             close(here.block)  # blocks end what is open inside a line
-        here = _Element(tag, here, here.outside or _aside(tag, page[name.end() : stop - 1]), len(every), paths)
+        here = _Element(tag, here, here.outside or _aside(tag, page[name.end() : stop - 1], bool(opened.get("article") or opened.get("main"))), len(every), paths)
         every.append(here)
         opened[tag] = opened.get(tag, 0) + 1
     flush()
@@ -179,7 +186,11 @@ def path_ratios(paths: list[int], blocks: list[str], width: int = 2) -> np.ndarr
 
 
 def article(page: str) -> str:
-    """The article's blocks, one per line; empty if there is no text outside menus, headers, footers and the like."""
+    """The article's blocks, one per line; empty if there is no text outside menus, headers, footers and the like.
+
+    Blocks of paths that pass the threshold are content wherever they stand; so is all that stands with content in articles
+    or, where these do not hold most of it, in the innermost element that holds nearly all.
+    """
     every, found = pieces(page)
     found = [(e, b) for e, b in found if not e.outside]
     if not found:
@@ -193,15 +204,24 @@ def article(page: str) -> str:
         e.up.weight += e.weight
         e.up.last = max(e.up.last, e.last)
     total = every[0].weight
-    holder = None
+    holders = []
     for tag in ("article", "main"):
-        named = max((e for e in every if e.tag == tag), key=lambda e: (e.weight, -e.no), default=None)
-        if named is not None and named.weight >= 0.5 * total:
-            holder = named
+        named, reach = [], -1
+        for e in every:
+            if e.tag == tag and not e.outside and e.weight and e.no > reach:  # not inside another one
+                named.append(e)
+                reach = e.last
+        if named and sum(e.weight for e in named) >= 0.5 * total:
+            holders = named
             break
-    if holder is None:
-        holder = max((e for e in every if (e.tag in HOLDERS or e.up is None) and e.weight >= 0.9 * total), key=lambda e: e.depth)
-    return "\n".join(b for e, b in found if holder.no <= e.no <= holder.last)
+    if not holders:
+        holders = [max((e for e in every if (e.tag in HOLDERS or e.up is None) and e.weight >= 0.9 * total), key=lambda e: e.depth)]
+    inside = np.zeros(len(every) + 1, dtype=np.int64)
+    for e in holders:
+        inside[e.no] += 1
+        inside[e.last + 1] -= 1
+    inside = np.cumsum(inside)
+    return "\n".join(b for (e, b), good in zip(found, content) if good or inside[e.no])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -171,6 +171,16 @@ def test_html():
     assert html.article("1 < 2, <3") == "1 < 2, <3"
 
 
+def test_html_keeps_what_the_paths_select():
+    one, two = "One, two, three. Four five, six.", "Seven, eight, nine. Ten, and so on."
+    assert html.article(f"<article><p>{one}</p><p>{two}</p></article><article><p>More, of it. Here, there, too.</p></article>") == f"{one}\n{two}\nMore, of it. Here, there, too."
+    inner = "<section id='side-effects'><p>Head, ache. Fever.</p></section><h2 id='related-work'>Related</h2><h2 id='search'>Search</h2><p>a, b. c</p>"
+    assert html.article(f"<article><p>{one}</p>{inner}<div class='related-posts'><p>{two}</p></div><div class='share-buttons'>{two}</div></article>") == f"{one}\nHead, ache. Fever.\nRelated\nSearch\na, b. c"
+    assert html.article(f"<body><p>Lead, text. It goes on, and on.</p><div><p>{one}</p><p>{two}</p><p>{two}</p></div></body>") == f"Lead, text. It goes on, and on.\n{one}\n{two}\n{two}"
+    assert html.article(f"<article><p>{one}</p><p>{two}</p></article><p>After, the end. It goes on, as it does.</p><footer>f, g. h</footer>") == f"{one}\n{two}\nAfter, the end. It goes on, as it does."
+    assert html.article(f"<body><div class='related-work'>x, y. z</div><article><p>{one}</p></article><article class='comment'><p>{two}</p></article></body>") == one
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>a, b.</p>", "t"), (1, "u", "", "t"), (1, "u", "", "t")], "page_id long, url string, html string, text string")
     found = html.extract(pages)
