@@ -287,17 +287,111 @@ def _extracted(spark, d, mode):
     return out.select("id", "spo_type", "big_subject", "predicate", "big_object", "sentence_class", "predicate_not_found", *concepts.CONCEPT_COLUMNS)
 
 
-@register("P11")
+_SPO = ["spo_type", "subject", "predicate", "object", "big_subject", "big_predicate", "big_object"]
+
+
+def _tokens(text_sql):
+    return rf"list_filter(string_split_regex({text_sql}, '\s+'), lambda x: x <> '')"
+
+
+def _filled(name, before, found):
+    """Table ``name``: ``before`` with the SPO columns of the rows that ``found`` has."""
+    cols = ", ".join(f"CASE WHEN m.id IS NOT NULL THEN m.{c} ELSE b.{c} END AS {c}" for c in _SPO)
+    return f"{name} AS MATERIALIZED (SELECT b.* REPLACE ({cols}) FROM {before} b LEFT JOIN ({found}) m ON m.id = b.id)"
+
+
+def _split_sql(source, lex, where):
+    """Best phrase of ``lex`` per row, as all seven columns."""
+    return f"""SELECT id, spo_type, big_subject AS subject, predicate, big_object AS object, big_subject, predicate AS big_predicate, big_object
+FROM (WITH {match_sql(source, lex, where)})"""
+
+
+def _manual_sql(source, where):
+    return rf"""WITH m AS (SELECT id, sentence, manually_identified_predicate AS p, lower(manually_identified_predicate) AS lp, replace(lower(sentence), '’', '''') AS t FROM {source}
+  WHERE {where} AND manually_identified_predicate <> big_predicate AND manually_identified_predicate <> ''),
+b AS (SELECT *, CASE WHEN regexp_matches(lp, '^[\p{{L}}\p{{N}}_]') THEN '(|.*?[^\p{{L}}\p{{N}}_])' ELSE '(.*?[\p{{L}}\p{{N}}_])' END AS pre,
+  CASE WHEN regexp_matches(lp, '[\p{{L}}\p{{N}}_]$') THEN '([^\p{{L}}\p{{N}}_]|$)' ELSE '[\p{{L}}\p{{N}}_]' END AS post FROM m),
+f AS (SELECT *, '(?s)^' || pre || regexp_escape(lp) || post AS re FROM b),
+r AS (SELECT *, CASE WHEN regexp_matches(t, re) THEN length(regexp_extract(t, re, 1)) ELSE -1 END AS at0 FROM f)
+SELECT id, 'manually id' AS spo_type, left(sentence, at0) AS subject, p AS predicate, substring(sentence, at0 + length(p) + 1) AS object, left(sentence, at0) AS big_subject,
+  p AS big_predicate, substring(sentence, at0 + length(p) + 1) AS big_object FROM r WHERE at0 > 0 AND at0 + length(p) < length(sentence)"""
+
+
+def _cascade_sql(source, where):
+    """First reading of the quoted span or sentence, else of the clauses."""
+    parts = f"""q AS (SELECT id, sentence, coalesce(regexp_extract_all(sentence, '"(.*?)"', 1)[1], regexp_extract_all(sentence, '“(.*?)”', 1)[1], '') AS x FROM {source} WHERE {where}),
+parts AS (SELECT id, 0 AS part_no, CASE WHEN x <> '' THEN 'quoted text' ELSE 'sentence' END AS kind, CASE WHEN x <> '' THEN x ELSE sentence END AS part FROM q
+  UNION ALL SELECT id, k, 'clause', c[k] FROM (SELECT id, string_split(sentence, ',') AS c FROM q), LATERAL (SELECT unnest(range(1, len(c) + 1)) AS k))"""
+    tagged = _parts_tagged().replace("SELECT * EXCLUDE (root0), CASE", "SELECT * EXCLUDE (root0), root0 > 0 AS root0_verb, CASE")
+    return f"""WITH {parts}, {tagged}, {parsed_sql('parsed', 'id, part_no, kind')},
+usable AS (SELECT r.* FROM read r JOIN parsed p USING (id, part_no, kind) WHERE r.kind <> 'clause' OR p.root0_verb)
+SELECT id, min_by(kind, part_no) AS spo_type, {', '.join(f'min_by({c}, part_no) AS {c}' for c in _SPO[1:])} FROM usable GROUP BY id"""
+
+
+def _walk_sql(source, where):
+    """Concepts of the tokens by the walk along the sentence, one character a step: ``cs`` has the six concept texts per id."""
+    texts = [(x, y, f, n) for x, y in (("s", "subject"), ("p", "predicate"), ("o", "object")) for f, n in (("cui", f"{y}_cuis"), ("preferred", f"{y}_text_cuis"))]
+    return f"""al AS MATERIALIZED (SELECT id, sentence AS s, length(sentence) AS n, array_to_string(toks, '') AS t, toks, ns, np FROM (
+  SELECT *, {_tokens("big_subject || ' ' || predicate || ' ' || big_object")} AS toks, len({_tokens('big_subject')}) AS ns, len({_tokens('predicate')}) AS np
+  FROM {source} WHERE ({where}) AND big_subject <> '' AND predicate <> '' AND big_object <> '' AND id IN (SELECT id FROM concept))),
+wk(id, j, place) AS (
+  SELECT id, 0, 0 FROM al
+  UNION ALL
+  SELECT id, j + 1, a + CASE WHEN a < n - 1 AND substr(s, a + 1, 1) = ' ' THEN 1 ELSE 0 END FROM (
+    SELECT wk.id, j, s, n, place + CASE WHEN place < n - 1 AND substr(s, place + 1, 1) = substr(t, j + 1, 1) THEN 1 ELSE 0 END AS a FROM wk JOIN al ON al.id = wk.id WHERE j < length(t) - 1)
+),
+seen AS (SELECT wk.id, j, c.cui, c.preferred FROM wk JOIN concept c ON c.id = wk.id AND c.start_pos = wk.place),
+tk AS (SELECT id, k, toks[k] AS token, length(array_to_string(toks[:k - 1], '')) AS o, CASE WHEN k <= ns THEN 's' WHEN k <= ns + np THEN 'p' ELSE 'o' END AS part
+  FROM al, LATERAL (SELECT unnest(range(1, len(toks) + 1)) AS k)),
+tc AS (SELECT tk.id, k, any_value(part) AS part, coalesce(max_by(cui, j), '[UNK]') AS cui, coalesce(max_by(preferred, j), '[UNK]') AS preferred
+  FROM tk LEFT JOIN seen ON seen.id = tk.id AND j >= o AND j < o + length(token) GROUP BY tk.id, k),
+cs AS (SELECT id, {', '.join(f"string_agg({f}, ' ' ORDER BY k) FILTER (part = '{x}') AS {n}" for x, _, f, n in texts)} FROM tc GROUP BY id)"""
+
+
+def extraction_sql(mode):
+    """The cascade as stored steps: cleared, lexicon, readings, short forms, manual predicates at both levels, concepts, classes."""
+    outside = "skip_validations AND check_worthy_auto = 'FR' AND NOT predicate_not_found"
+    chosen = "NOT skip_validations AND check_worthy_score_auto >= 0.5" if mode == "full" else f"(({outside}) OR (NOT skip_validations AND check_worthy = 'FR'))"
+    pending = f"review_level = 5 AND predicate = '' AND {chosen}"
+    mixed = lambda sql: sql.replace("FROM sentence)", "FROM mixed)")
+    empty = ", ".join(f"CASE WHEN review_level <= 5 AND NOT predicate_not_found THEN '' ELSE {c} END AS {c}" for c in _SPO)
+    steps = [
+        INJECTED_SQL, mixed(views.CONCEPT_SQL), BE_HAVE_SQL, mixed(views.SPO_SQL),
+        "e0 AS (SELECT * REPLACE (CASE review_level WHEN 9 THEN 5 WHEN 8 THEN 6 ELSE review_level END AS review_level) FROM spo)",
+        f"e1 AS MATERIALIZED (SELECT * REPLACE ({empty}) FROM e0)"]
+    last = "e1"
+    if mode != "augmented":
+        short = f"len({_tokens('sentence')}) <= {fixed.BE_HAVE_MAX_TOKENS}"
+        for name, found in (("e2", _split_sql("e1", "lexicon", pending)), ("e3", _cascade_sql("e2", pending)), ("e4", _split_sql("e3", "behave", f"{pending} AND {short}"))):
+            steps.append(_filled(name, last, found))
+            last = name
+    if mode != "full":
+        for name, level in (("e5", 5), ("e6", 6)):
+            steps.append(_filled(name, last, _manual_sql(last, f"review_level = {level} AND {chosen}")))
+            last = name
+    steps.append(_walk_sql(last, f"review_level IN ({'5' if mode == 'full' else '5, 6'}) AND {chosen}"))
+    label, missed = "sentence_class", "predicate_not_found"
+    if mode != "full":
+        worthy = "CASE WHEN skip_validations THEN check_worthy_auto ELSE check_worthy END = 'FR'"
+        label = f"CASE WHEN review_level = 5 AND {worthy} AND rating IS NOT NULL THEN CASE WHEN rating < 25 THEN 'F' WHEN rating <= 50 THEN 'PF' ELSE 'T' END ELSE sentence_class END"
+        missed = f"predicate_not_found OR (review_level <= 5 AND {outside} AND NOT (big_subject <> '' AND big_predicate <> '' AND big_object <> ''))"
+    names = ", ".join(f"coalesce(cs.{c}, '') AS {c}" for c in concepts.CONCEPT_COLUMNS)
+    return with_views("rated", "sem", extra=",\n".join(steps)).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+SELECT e.id, spo_type, big_subject, predicate, big_object, {label} AS sentence_class, {missed} AS predicate_not_found, {names}
+FROM {last} e LEFT JOIN cs ON cs.id = e.id"""
+
+
+@register("P11", extraction_sql("reviewed"))
 def p11(spark, d):
     return _extracted(spark, d, "reviewed")
 
 
-@register("P11_full")
+@register("P11_full", extraction_sql("full"))
 def p11_full(spark, d):
     return _extracted(spark, d, "full")
 
 
-@register("P11_augmented")
+@register("P11_augmented", extraction_sql("augmented"))
 def p11_augmented(spark, d):
     return _extracted(spark, d, "augmented")
 
