@@ -16,27 +16,27 @@ def _ratio(a, b) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
-def class_report(df: DataFrame, y: str, yhat: str) -> DataFrame:
-    """(label, precision, recall, f1, support, hits, predicted) over the classes in truth or prediction; 0 for 0/0."""
-    pairs = df.groupBy(F.col(y).cast("string").alias("_y"), F.col(yhat).cast("string").alias("_p")).agg(F.count("*").alias("_n"))
+def class_report(df: DataFrame, y: str, yhat: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, label, precision, recall, f1, support, hits, predicted) over the classes in truth or prediction; 0 for 0/0."""
+    pairs = df.groupBy(*by, F.col(y).cast("string").alias("_y"), F.col(yhat).cast("string").alias("_p")).agg(F.count("*").alias("_n"))
     hit = F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("long")
     sides = F.array(F.struct(F.col("_y").alias("label"), F.col("_n").alias("s"), zero.alias("p"), hit.alias("h")),
                     F.struct(F.col("_p").alias("label"), zero.alias("s"), F.col("_n").alias("p"), zero.alias("h")))
-    per = pairs.select(F.inline(sides)).groupBy("label").agg(F.sum("s").alias("support"), F.sum("p").alias("predicted"), F.sum("h").alias("hits"))
+    per = pairs.select(*by, F.inline(sides)).groupBy(*by, "label").agg(F.sum("s").alias("support"), F.sum("p").alias("predicted"), F.sum("h").alias("hits"))
     per = per.withColumn("precision", _ratio(F.col("hits"), F.col("predicted"))).withColumn("recall", _ratio(F.col("hits"), F.col("support")))
     return per.withColumn("f1", _ratio(2 * F.col("hits"), F.col("support") + F.col("predicted")))
 
 
-def evaluate(df: DataFrame, y: str, yhat: str, labels: list[str] | None = None) -> DataFrame:
-    """One row: accuracy, macro precision/recall/F1, and the same over ``labels`` (absent labels count as 0)."""
-    per = class_report(df, y, yhat)
+def evaluate(df: DataFrame, y: str, yhat: str, labels: list[str] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (per ``by``): accuracy, macro precision/recall/F1, and the same over ``labels`` (absent labels count as 0)."""
+    per = class_report(df, y, yhat, by)
     scores = {"precision": "precision", "recall": "recall", "f1": "f1"}
     aggs = [(F.sum("hits") / F.sum("support")).alias("accuracy"), *[F.avg(c).alias(n) for n, c in scores.items()]]
     if labels is not None:
         chosen = lambda c: F.coalesce(F.sum(F.when(F.col("label").isin(*labels), F.col(c))), F.lit(0.0)) / len(labels)
         aggs += [chosen(c).alias(f"{n}+") for n, c in scores.items()]
-    return per.agg(*aggs)
+    return per.groupBy(*by).agg(*aggs) if by else per.agg(*aggs)
 
 
 def macro_f1(df: DataFrame, y: str, yhat: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import product
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -14,9 +16,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.cluster import broadcast_if_small
+from claimlens.cluster import broadcast_if_small, shared_path
 from claimlens.functions.text import decode_class
 from claimlens.operators.counts import class_weights
+from claimlens.operators.evaluation import evaluate
 
 
 def split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 25) -> DataFrame:
@@ -138,12 +141,19 @@ def annotate(df: DataFrame, model: Model, binary: bool, target: str, classes: li
     return scored.withColumn("_value", value).select(*[c for c in df.columns if c != target], F.col("_value").alias(target))
 
 
-def sweep(grid: list[dict], seeds: list[int], run: Callable[..., DataFrame]) -> DataFrame:
-    """One metric row per setting and seed; ``run(seed=..., **setting)`` gives one row of metrics."""
-    out = None
-    for setting in grid:
-        for seed in seeds:
-            name = "_".join(f"{k}_{v}" for k, v in {**setting, "seed": seed}.items())
-            row = run(seed=seed, **setting).withColumn("model", F.lit(name))
-            out = row if out is None else out.unionByName(row)
-    return out
+def sweep(grid: list[dict], seeds: list[int], fit: Callable[..., Model], test: DataFrame, labels: list[str], y: str = "label", workers: int = 4) -> DataFrame:
+    """One metric row per setting and seed, named ``model``; ``fit(seed=..., **setting)`` gives a model.
+
+    Models are fitted side by side, ``workers`` at a time. Each one's predictions of ``test`` are stored at once, so no model
+    is kept, and all of them are evaluated in one pass over the stored table.
+    """
+    path = shared_path(test.sparkSession, "sweep")
+
+    def one(place: tuple[dict, int]) -> None:
+        setting, seed = place
+        name = "_".join(f"{k}_{v}" for k, v in {**setting, "seed": seed}.items())
+        fit(seed=seed, **setting).transform(test).select(y, "prediction").write.parquet(f"{path}/model={name}")
+
+    with ThreadPoolExecutor(workers) as pool:
+        list(pool.map(one, product(grid, seeds)))
+    return evaluate(test.sparkSession.read.parquet(path), y, "prediction", labels, ("model",))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.operators import articles, encoding, evaluation, models
+from claimlens.operators import articles, encoding, models
 from claimlens.operators.selectors import sentence_selector
 from claimlens.plans import views
 from claimlens.plans.queries_articles import rounded
@@ -79,8 +79,12 @@ def v15(spark, d):
     return rounded(score.select("id", "score"), ["score"], 6)
 
 
+# The forest sizes and seeds of the sweep.
+SIZES = [4, 8, 10, 12, 15, 20, 100, 200, 500, 1000]
+SEEDS = [0, 12, 33, 42, 54, 63, 70, 79, 85, 96]
+
+
 @register("V16")
 def v16(spark, d):
     train, test = features(spark, d)
-    run = lambda seed, trees: evaluation.evaluate(models.tree_job(train, test, "forest", trees, seed), "label", "prediction", ["0.0"])
-    return models.sweep([{"trees": 3}, {"trees": 6}], [1, 2], run)
+    return models.sweep([{"trees": n} for n in SIZES], SEEDS, lambda seed, trees: models.tree_model(train, "forest", trees, seed), test, ["0.0"], workers=8)

@@ -310,6 +310,17 @@ def test_text_features_keep_every_term(spark):
     assert first.size == models.LINEAR_WIDTH and first.numNonzeros() == 3 and first.norm(2) == pytest.approx(1)
 
 
+def test_sweep_equals_single_runs(spark):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 5), float(i % 7 > 3)) for i in range(120)], "id int, a double, b double, label double")
+    ready = models.assemble(rows, ["a", "b"])
+    train, test = ready.where("id % 3 > 0"), ready.where("id % 3 = 0")
+    fit = lambda seed, trees: models.tree_model(train, "forest", trees, seed)
+    found = {r["model"]: r for r in models.sweep([{"trees": 1}, {"trees": 3}], [5, 6], fit, test, ["1.0"]).collect()}
+    assert sorted(found) == ["trees_1_seed_5", "trees_1_seed_6", "trees_3_seed_5", "trees_3_seed_6"]
+    one = evaluation.evaluate(models.tree_job(train, test, "forest", 3, 6), "label", "prediction", ["1.0"]).first()
+    assert [found["trees_3_seed_6"][c] for c in one.__fields__] == pytest.approx(list(one))
+
+
 def test_cache_follows_its_data(spark):
     folder, built = shared_path(spark, "cache"), []
 
