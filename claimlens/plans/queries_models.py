@@ -23,6 +23,8 @@ def features(spark, d):
     """(train, test) feature rows with an assembled vector and the binary label, stored for repeated passes."""
     data = encoding.fd_feature_dataset(views.item(spark, d), views.sentence(spark, d), "dev", binary=True)
     ready = models.assemble(data, articles.FEATURES).select("split", "id", "label", "features").persist()
+    # each of the many passes starts a task per partition, so a partition has 10,000 rows at least
+    ready = ready.coalesce(max(1, ready.count() // 10_000))
     return ready.where("split = 'train'"), ready.where("split = 'test'")
 
 
