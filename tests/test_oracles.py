@@ -12,7 +12,7 @@ from claimlens.plans import catalog
 QUERIES, ORACLES = catalog.load()
 # Kept short here; tools/check_oracles.py runs all of them.
 KEYS = ["A1", "A3", "A5", "A6", "A7", "A9", "F1", "F2", "F12", "F13", "J1", "J2", "J5", "J9", "L2", "L5", "P2", "P3", "P5", "P7", "P8", "T3", "T12", "T13",
-        "V3", "V4", "V6", "W1", "B1", "R1", "E2", "E6", "E7", "E10", "S8", "S12"]
+        "V3", "V4", "V6", "W1", "B1", "R1", "R3", "R3_chain", "E2", "E6", "E7", "E10", "E11", "E12", "S8", "S12", "S19", "T17", "P9", "P11", "P11_full", "P11_augmented"]
 
 
 @pytest.fixture(scope="module")
