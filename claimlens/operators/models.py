@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler, VectorSlicer
