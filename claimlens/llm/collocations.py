@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from claimlens.cluster import materialise
 from claimlens.llm.blocks import bound_batches, first_of, groups, meet, pack, unpack
-from claimlens.llm.words import mix, runs, text_hash, windows
+from claimlens.llm.words import mix, runs, text_hash
 
 LONGEST = 4
 #: Phrases in a trie, and tries sent at once: some 100 MB at most whatever the corpus.
