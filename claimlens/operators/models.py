@@ -8,7 +8,7 @@ from itertools import product
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
+    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import ElementwiseProduct, HashingTF, IDF, Normalizer, RegexTokenizer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -20,6 +20,7 @@ from claimlens.cluster import broadcast_if_small, shared_path
 from claimlens.functions.text import decode_class
 from claimlens.operators.counts import class_weights
 from claimlens.operators.evaluation import evaluate
+from claimlens.operators.hidden import fit_hidden
 
 
 def split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 25) -> DataFrame:
@@ -93,7 +94,7 @@ def text_classifier(train: DataFrame, classes: int, hidden: int = 100, seed: int
         weights = class_weights(train, "label").select("label", "weight")
         head = LogisticRegression(weightCol="weight", maxIter=iterations).fit(ready.join(broadcast_if_small(weights), "label"))
     else:
-        head = MultilayerPerceptronClassifier(layers=[width, hidden, classes], seed=seed, maxIter=iterations).fit(ready)
+        head = fit_hidden(ready, width, hidden, classes, seed, iterations)
     return PipelineModel(stages=[*features.stages, head])
 
 
