@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.cluster import materialise
@@ -27,13 +27,16 @@ MODES = ("reviewed", "full", "augmented")
 
 
 def run_spo(sent: DataFrame, phrases: DataFrame, parse: Callable[[DataFrame], DataFrame], between: Callable[[DataFrame], DataFrame] | None = None,
-            mode: str = "reviewed") -> DataFrame:
+            mode: str = "reviewed", annotate: Callable[[DataFrame, Column], DataFrame] | None = None) -> DataFrame:
     """Clears and fills the SPO columns, concepts and, where sentences are reviewed, the preliminary class.
 
-    ``parse`` turns (id, part_no, kind, part) rows into rows with dependency ``words``. Corpus and external
-    rows never meet, so both pass through each stage together. Each stage reads its input twice, so the table
-    is stored between stages (``between``, by default a table in the shared folder) instead of being computed
-    again; a lost executor then costs one re-read.
+    ``parse`` turns (id, part_no, kind, part) rows into rows with dependency ``words``; ``annotate`` adds the concept
+    ``candidates`` of the chosen rows, if ``sent`` has none yet, just before they are read, so that they are neither stored nor
+    shuffled. Corpus and external rows never meet, so both pass through each stage together.
+
+    Only the rows that wait for a predicate go through the stages, and only they are stored between them (``between``, by
+    default a table in the shared folder), as each stage reads its input twice; a lost executor then costs one re-read. All
+    other rows pass by in one projection.
     """
     if mode not in MODES:
         raise ValueError(f"no mode {mode}")
@@ -44,12 +47,16 @@ def run_spo(sent: DataFrame, phrases: DataFrame, parse: Callable[[DataFrame], Da
         first, *rest = [pending(level, kind) for kind in kinds]
         return reduce(lambda a, b: a | b, rest, first)
 
-    out = keep(updates.clear_spos(sent, 5))
+    out = updates.clear_spos(sent, 5)
     if mode != "augmented":
-        out = keep(lexicon.spo_given(out, phrases, any_of(updates.spo_pending, 5)))
-        parts = parsed.reading_parts(out.where(any_of(updates.spo_pending, 5)).select("id", "sentence"))
-        out = keep(_fill(out, parsed.spo_cascade(parse(parts))))
-        out = keep(lexicon.spo_be_have(out, any_of(updates.spo_pending, 5)))
+        waiting = F.coalesce(any_of(updates.spo_pending, 5), F.lit(False))
+        rest, todo = out.where(~waiting), keep(out.where(waiting))
+        todo = keep(lexicon.spo_given(todo, phrases))
+        parts = parsed.reading_parts(todo.where(waiting).select("id", "sentence"))
+        todo = keep(_fill(todo, parsed.spo_cascade(parse(parts))))
+        out = rest.unionByName(lexicon.spo_be_have(todo, waiting))
+    if annotate:
+        out = annotate(out, reduce(lambda a, b: a | b, [concepts.wanted(level, *kinds) for level in ((5,) if mode == "full" else (5, 6))]))
     if mode == "full":
         return concepts.assign_concepts(out, 5, *kinds)
     out = lexicon.spo_manual(out, any_of(lexicon.manual_pending, 5))
