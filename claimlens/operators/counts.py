@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from claimlens.functions.text import white_tokens, words
@@ -13,10 +14,27 @@ def predicate_counts(df: DataFrame, col: str = "norm_p") -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n"))
 
 
+#: Stands for a missing order value, before all long ones; places within a row are below the shift.
+_BEFORE, _SHIFT = "-9223372036854775809", 1 << 32
+
+
 def word_counts(df: DataFrame, col: str, min_len: int, order: list[str], lower: bool = False) -> DataFrame:
-    """(word, n, first_seen): counts are summed map-side, so a frequent word costs one row per task."""
+    """(word, n, first_seen): counts are summed map-side, so a frequent word costs one row per task.
+
+    The least (order, place) of one whole-number order column is kept as one decimal number: for a struct, Spark would sort all
+    words instead of hashing them.
+    """
     tokens = df.select(*order, F.posexplode(words(F.col(col), lower)).alias("at", "word")).where(F.length("word") >= min_len)
-    return tokens.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct(*order, "at")).alias("first_seen"))
+    kind = df.schema[order[0]].dataType
+    if len(order) > 1 or not isinstance(kind, T.IntegralType):
+        return tokens.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct(*order, "at")).alias("first_seen"))
+    whole = "decimal(20,0)"
+    place = F.coalesce(F.col(order[0]).cast(whole), F.lit(_BEFORE).cast(whole)) * F.lit(_SHIFT).cast("decimal(10,0)") + F.col("at")
+    least = tokens.groupBy("word").agg(F.count("*").alias("n"), F.min(place).alias("_least"))
+    at = F.pmod(F.col("_least"), F.lit(_SHIFT).cast("decimal(10,0)"))
+    key = ((F.col("_least") - at) / F.lit(_SHIFT).cast("decimal(10,0)")).cast(whole)
+    first = F.struct(F.when(key != F.lit(_BEFORE).cast(whole), key).cast(kind).alias(order[0]), at.cast("int").alias("at"))
+    return least.select("word", "n", first.alias("first_seen"))
 
 
 def top_vocab(word_counts_: DataFrame, k: int) -> DataFrame:

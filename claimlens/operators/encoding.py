@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimlens import fixed
-from claimlens.cluster import broadcast_if_small, materialise, split_join
-from claimlens.functions.text import cui_text, encode_class, words
+from claimlens.cluster import materialise, split_join
+from claimlens.functions.text import cui_text, encode_class, lookup, words
 from claimlens.operators import articles
 from claimlens.operators.selectors import item_selector, sentence_selector
 
 
-def token_ids(df: DataFrame, keys: list[str], text: str, index: DataFrame, max_len: int | None = None, lower: bool = True) -> DataFrame:
-    """(keys, ids): word ids in order, unknown words as 1.
+#: Words that an index may have to be looked up inside the rows; a longer one is joined word by word.
+_LOOKED_UP = 10_000
+
+
+def _ids_in_row(tokens: Column, known: Callable[[Column], Column]) -> Column:
+    return F.coalesce(F.transform(tokens, lambda w: F.coalesce(known(w), F.lit(1))), F.array().cast("array<int>"))
+
+
+def _together(lists: Column) -> Column:
+    """The id lists of a key's rows as one, place by place; nearly always there is one list."""
+    placed = F.flatten(F.transform(lists, lambda ids: F.transform(ids, lambda x, i: F.struct(i.alias("at"), x.alias("id")))))
+    return F.when(F.size(lists) == 1, F.get(lists, F.lit(0))).otherwise(F.transform(F.array_sort(placed), lambda e: e["id"]))
 
-    ``index`` is a top-k list, sent to all tasks if it is small. Tokens over ``max_len`` are cut before they leave their
-    row.
+
+def part_ids(df: DataFrame, keys: list[str], parts: dict[str, str], index: DataFrame, max_len: int | None = None, lower: bool = True) -> DataFrame:
+    """(keys, a column of word ids per part): ``parts`` names the text of each; ids in order, unknown words as 1.
+
+    ``index`` is a top-k list. It is computed once and, up to 10,000 words, looked up where the words stand, so that a row is
+    shuffled once with all its ids, to meet rows of the same key; a longer index is joined. Tokens over ``max_len`` are cut before they
+    leave their row.
     """
-    tokens = words(F.col(text), lower)
-    if max_len is not None:
-        tokens = F.slice(tokens, 1, max_len)
-    rows = df.select(*keys, F.posexplode_outer(tokens).alias("_at", "word"))
-    known = rows.join(broadcast_if_small(index.select("word", "word_id")), "word", "left")
+    def tokens(c):
+        given = words(F.col(c), lower)
+        return given if max_len is None else F.slice(given, 1, max_len)
+
+    index = index.select("word", "word_id")
+    held = index.limit(_LOOKED_UP + 1).collect()
+    if len(held) <= _LOOKED_UP and len({r["word"] for r in held} - {None}) == len(held):
+        known = lookup([(r["word"], F.lit(r["word_id"])) for r in held], "int")
+        rows = df.select(*keys, *[_ids_in_row(tokens(c), known).alias(out) for out, c in parts.items()])
+        return rows.repartition(*keys).groupBy(*keys).agg(*[F.collect_list(out).alias(out) for out in parts]).select(*keys, *[_together(F.col(out)).alias(out) for out in parts])
+    every = F.array(*[F.struct(F.lit(out).alias("_part"), tokens(c).alias("_t")) for out, c in parts.items()])
+    rows = df.select(*keys, F.inline(every)).select(*keys, "_part", F.posexplode_outer("_t").alias("_at", "word"))
     entry = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("word_id", F.lit(1)).alias("_id")))
-    return known.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_id"]).alias("ids"))
+    of = lambda out: F.transform(F.array_sort(F.collect_list(F.when(F.col("_part") == out, entry))), lambda e: e["_id"]).alias(out)
+    return rows.join(index, "word", "left").groupBy(*keys).agg(*[of(out) for out in parts])
+
+
+def token_ids(df: DataFrame, keys: list[str], text: str, index: DataFrame, max_len: int | None = None, lower: bool = True) -> DataFrame:
+    """(keys, ids): word ids in order, unknown words as 1."""
+    return part_ids(df, keys, {"ids": text}, index, max_len, lower)
 
 
 def padded(ids: Column, max_len: int) -> Column:

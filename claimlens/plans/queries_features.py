@@ -143,12 +143,8 @@ SPO_IDS_SQL = INDEX_SQL.replace("WITH ", "WITH ", 1) + ", " + views.SPO_SQL + _i
 
 def spo_ids(spark, d):
     """(id, s, p, o): word ids of the three SPO parts, from one pass over the sentences."""
-    parts = F.array(*[F.struct(F.lit(n).alias("part"), F.col(c).alias("t")) for n, c in (("s", "big_subject"), ("p", "big_predicate"), ("o", "big_object"))])
-    rows = views.spo(spark, d).select("id", F.inline(parts))
     # no frame holds more than 24 ids, and lengths beyond that do not change how parts share it
-    ids = encoding.token_ids(rows, ["id", "part"], "t", index(spark, d), 24, lower=False)
-    pick = lambda n: F.max(F.when(F.col("part") == n, F.col("ids"))).alias(n)
-    return ids.groupBy("id").agg(pick("s"), pick("p"), pick("o"))
+    return encoding.part_ids(views.spo(spark, d), ["id"], {"s": "big_subject", "p": "big_predicate", "o": "big_object"}, index(spark, d), 24, lower=False)
 
 
 @register("V6", SPO_IDS_SQL + f"""
