@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens import fixed
@@ -236,11 +238,31 @@ def running_sums(numbers: Column) -> Column:
     A fold that appends would copy its growing result at each step. Here each pass adds the sums that stand 1, 2, 4, ...
     places before, so that an array of n numbers takes log n passes.
     """
+    def moved(now, width):
+        return F.concat(F.array_repeat(F.lit(0), width), F.slice(now, F.lit(1), F.size(now) - width))
+
     def summed(v):
-        widths = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda w: w < F.size(v))
-        return F.aggregate(widths, v, lambda now, w: F.transform(now, lambda x, i: x + F.coalesce(F.get(now, i - w), F.lit(0))))
+        passes = F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int") - 1)
+        return F.aggregate(passes, v, lambda now, k: F.zip_with(now, moved(now, F.pow(F.lit(2), k).cast("int")), lambda x, y: x + y))
+
+    return let(numbers, lambda v: F.when(F.size(v) < 2, v).when(v.isNotNull(), summed(v)))
 
-    return let(numbers, lambda v: F.when(v.isNotNull(), summed(v)))
+
+def lookup(pairs: list[tuple[str, Column]], kind: str) -> Callable[[Column], Column]:
+    """A function from a text to its value (null if it has none) for a list that is small and known to the driver.
+
+    A map is searched from its start, so the pairs are dealt to as many small maps by the text's hash, and one is searched.
+    """
+    if not pairs:
+        return lambda key: F.lit(None).cast(kind)
+    buckets = 1 << len(pairs).bit_length()
+    place = lambda key: F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    dealt: list[list[Column]] = [[] for _ in range(buckets)]
+    placed = SparkSession.getActiveSession().createDataFrame([(i, key) for i, (key, _) in enumerate(pairs)], "i int, key string")
+    for r in placed.select("i", place(F.col("key")).alias("at")).collect():
+        dealt[r["at"]] += [F.lit(pairs[r["i"]][0]), pairs[r["i"]][1].cast(kind)]
+    maps = F.array(*[F.create_map(*held) if held else F.lit(None).cast(f"map<string,{kind}>") for held in dealt])
+    return lambda key: F.try_element_at(F.get(maps, place(key)), key)
 
 
 def token_spans(c: Column) -> Column:

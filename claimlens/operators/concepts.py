@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens import fixed
 from claimlens.cluster import broadcast_if_small, settle
-from claimlens.functions.text import let, running_sums, sem_ok, white_tokens
+from claimlens.functions.text import let, lookup, running_sums, sem_ok, white_tokens
 from claimlens.operators import updates
 
 def _struct(**fields) -> T.StructType:
@@ -86,20 +88,25 @@ def enrich_concepts(flat: DataFrame, types: DataFrame, groups: DataFrame) -> Dat
     return flat.join(broadcast_if_small(_kinds(types, groups)), "sem_type", "left")
 
 
-def type_lookup(types: DataFrame, groups: DataFrame) -> Column:
-    """The semantic-type dimension as one map value, a subquery, for enriching nested candidates without a shuffle."""
-    kinds = _kinds(types, groups).select("sem_type", F.struct("tui", "type_name", "group").alias("kind"))
-    return kinds.agg(F.map_from_entries(F.collect_list(F.struct("sem_type", "kind")))).scalar()
+def type_lookup(types: DataFrame, groups: DataFrame) -> Callable[[Column], Column]:
+    """The semantic-type dimension as a function from a type to its (tui, type_name, group), for enriching nested candidates.
+
+    The dimension has a row per semantic type; it becomes part of the plan, so that no row carries it.
+    """
+    names = ["tui", "type_name", "group"]
+    pairs = [(r["sem_type"], F.struct(*[F.lit(r[n]).cast("string").alias(n) for n in names])) for r in _kinds(types, groups).collect()]
+    return lookup(pairs, "struct<tui:string,type_name:string,group:string>")
 
 
-def enrich_nested(df: DataFrame, candidates: str, lookup: Column) -> DataFrame:
+def enrich_nested(df: DataFrame, candidates: str, kind_of: Callable[[Column], Column]) -> DataFrame:
     """Candidates (array of structs with ``sem_type``) with tui, type_name and group added."""
+    fields = [f.name for f in df.schema[candidates].dataType.elementType]
+
     def one(c):
-        kind = F.try_element_at(F.col("_kinds"), c["sem_type"])
-        return c.withField("tui", kind["tui"]).withField("type_name", kind["type_name"]).withField("group", kind["group"])
+        added = lambda kind: F.struct(*[c[f].alias(f) for f in fields], *[kind[n].alias(n) for n in ("tui", "type_name", "group")])
+        return let(kind_of(c["sem_type"]), added)
 
-    held = settle(df.withColumn("_kinds", lookup), "_kinds")
-    return held.withColumn(candidates, F.transform(candidates, one)).drop("_kinds")
+    return df.withColumn(candidates, F.transform(candidates, one))
 
 
 def health_terms(df: DataFrame, candidates: str = "candidates") -> DataFrame:
@@ -217,24 +224,32 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
 CONCEPT_COLUMNS = ["subject_cuis", "predicate_cuis", "object_cuis", "subject_text_cuis", "predicate_text_cuis", "object_text_cuis"]
 
 
+def _here(level: int, mode: str) -> Column:
+    return (F.col("review_level") == level) & (F.col("skip_validations") == (mode == "external"))
+
+
+def wanted(level: int, *modes: str) -> Column:
+    """The sentences whose concepts ``assign_concepts`` writes."""
+    chosen = F.lit(False)
+    for mode in modes:
+        one = (F.col("check_worthy_auto") == "FR") & ~F.col("predicate_not_found") if mode == "external" else updates.worthy(mode == "full")
+        chosen = chosen | (_here(level, mode) & one)
+    return chosen
+
+
 def assign_concepts(df: DataFrame, level: int, *modes: str) -> DataFrame:
     """Resets and writes the six concept text columns of sentences at a level; modes as in ``spo_pending``."""
-    at_level, wanted = F.lit(False), F.lit(False)
+    at_level, chosen = F.lit(False), wanted(level, *modes)
     for mode in modes:
-        here = (F.col("review_level") == level) & (F.col("skip_validations") == (mode == "external"))
-        if mode == "external":
-            chosen = (F.col("check_worthy_auto") == "FR") & ~F.col("predicate_not_found")
-        else:
-            chosen = updates.worthy(mode == "full")
-        at_level, wanted = at_level | here, wanted | (here & chosen)
+        at_level = at_level | _here(level, mode)
     joined = lambda ext, field: F.array_join(F.transform(ext, lambda t: t[field]), " ")
     values = {}
     for part, ext in [("subject", "s_ext"), ("predicate", "p_ext"), ("object", "o_ext")]:
         values[f"{part}_cuis"] = joined(ext, "cui")
         values[f"{part}_text_cuis"] = joined(ext, "preferred")
-    out = align_concepts(df, where=wanted)
+    out = align_concepts(df, where=chosen)
     return out.withColumns({
-        name: F.when(wanted, value).when(at_level, F.lit("")).otherwise(F.col(name)) for name, value in values.items()
+        name: F.when(chosen, value).when(at_level, F.lit("")).otherwise(F.col(name)) for name, value in values.items()
     }).drop("s_ext", "p_ext", "o_ext")
 
 

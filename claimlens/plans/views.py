@@ -312,9 +312,13 @@ SEM_SQL = f"""sem AS (
     ({GROUP_CODES})[i % 15 + 1] AS "group" FROM range(1, 205) t(i))"""
 
 
-def concept_spans(spark, d, base=None):
-    """Sentences with an array of raw candidates (before enrichment) for words of six or more characters."""
-    toks = (base if base is not None else sentence(spark, d)).withColumn("tokens", token_spans(F.col("sentence")))
+def concept_spans(spark, d, base=None, where=None):
+    """Sentences with an array of raw candidates (before enrichment) for words of six or more characters.
+
+    ``where`` limits the reading to chosen rows; the others have no candidates.
+    """
+    read = F.col("sentence") if where is None else F.when(where, F.col("sentence")).otherwise("")
+    toks = (base if base is not None else sentence(spark, d)).withColumn("tokens", token_spans(read))
     long = F.filter("tokens", lambda t: F.length(t["text"]) >= 6)
     cand = F.transform(long, lambda t, i: F.struct(
         i.cast("int").alias("candidate_no"),
