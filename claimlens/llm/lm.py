@@ -41,6 +41,7 @@ TRAIN_SPAN = 2048
 #: Parts of the training documents; the tasks' weights are averaged after each part.
 ROUNDS = 2
 _RUN = 8 << 20
+_LEAD_BITS = 18
 _BUCKET_DOCS = 6000
 
 #: Hash of the end token; words have random 64-bit hashes.
@@ -92,10 +93,6 @@ def streams(token: np.ndarray, first: np.ndarray, lanes: int = LANES) -> Streams
     return Streams(out, fresh, doc, load[rank])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(x * np.float32(0.5)) + np.float32(1))
-
-
 class Network:
     """Gated recurrent network over token numbers: head words 0 to H - 1, then the two outer classes, then the start."""
 
@@ -106,6 +103,14 @@ class Network:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
+        self._rooms: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array of that shape whose memory the next window takes again: new memory would be paged in for each window."""
+        size, held = int(np.prod(shape)), self._rooms.get(name)
+        if held is None or len(held) < size or held.dtype != self.w["u"].dtype:
+            held = self._rooms[name] = np.empty(size, dtype=self.w["u"].dtype)
+        return held[:size].reshape(shape)
 
     @classmethod
     def new(cls, seed: int = 11) -> Network:
@@ -128,44 +133,61 @@ class Network:
         return cls(out)
 
     def forward(self, previous: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each step of a window (steps x lanes); ``h`` is the state before it and is updated."""
+        """States after each step of a window (steps x lanes); ``h`` is the state before it.
+
+        The result, and what ``keep`` gets, is good until the next window is read.
+        """
         w, s = self.w, STATE
-        # lanes last inside the loop, so that the gates are whole stretches of memory
-        out = np.empty((len(previous), s, previous.shape[1]), dtype=np.float32)
-        inputs = np.ascontiguousarray((w["e"][previous] + w["b"]).transpose(0, 2, 1))
+        steps, lanes = previous.shape
+        held = steps if keep is not None else 1
+        # units first and lanes last, so that gates are whole stretches of memory; the result is a view of it
+        out, inputs = self._room("out", s, steps, lanes), self._room("inputs", 3 * s, steps, lanes)
+        turns, gates, news = self._room("turns", held, 3 * s, lanes), self._room("gates", held, 2 * s, lanes), self._room("news", held, s, lanes)
+        np.take(np.ascontiguousarray((w["e"] + w["b"]).T), previous, axis=1, out=inputs, mode="clip")
         u, h = np.ascontiguousarray(w["u"].T), np.ascontiguousarray(h.T)
-        for t in range(len(previous)):
+        half, one = np.float32(0.5), np.float32(1)
+        for t in range(steps):
             if fresh[t].any():
                 h = h * ~fresh[t]
-            r = u @ h
-            x = inputs[t]
-            gates = _sigmoid(x[: 2 * s] + r[: 2 * s])
-            n = np.tanh(x[2 * s :] + gates[:s] * r[2 * s :])
-            z = gates[s:]
+            x, r, g, n, new = inputs[:, t], turns[t % held], gates[t % held], news[t % held], out[:, t]
+            np.matmul(u, h, out=r)
+            np.add(x[: 2 * s], r[: 2 * s], out=g)
+            g *= half
+            np.tanh(g, out=g)
+            g += one
+            g *= half
+            np.multiply(g[:s], r[2 * s :], out=n)
+            n += x[2 * s :]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, gates, n, r[2 * s :]))
-            h = n + z * (h - n)
-            out[t] = h
-        return np.ascontiguousarray(out.transpose(0, 2, 1))
+                keep.append((h, g, n, r[2 * s :]))
+            np.subtract(h, n, out=new)
+            new *= g[s:]
+            new += n
+            h = new
+        return out.transpose(1, 2, 0)
 
     def log_probability(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the class, and inside head classes of the word, for rows of states."""
         w, head = self.w, CLASSES * MEMBERS
         cls = np.where(target < head, target // MEMBERS, target - head + CLASSES).astype(np.uint8)
         order = np.argsort(cls, kind="stable")
-        states, target, cls = states[order], target[order], cls[order]
-        logits = states @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        out = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits).sum(1))
+        states, target, cls = np.take(states.T, order, axis=1), target[order], cls[order]
+        # units, classes and members first: maxima and sums over them run along whole stretches of memory
+        logits = np.matmul(w["wc"].T, states, out=self._room("logits", CLASSES + 2, len(cls)))
+        logits += w["bc"][:, None]
+        logits -= logits.max(0)
+        out = logits[cls, np.arange(len(cls))]
+        out -= np.log(np.exp(logits, out=logits).sum(0))
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
-        inner = np.empty((int(cuts[-1]), MEMBERS), dtype=w["wo"].dtype)
+        n = int(cuts[-1])
+        inner = self._room("inner", MEMBERS, n)
         for c in np.flatnonzero(np.diff(cuts)).tolist():
-            rows = slice(cuts[c], cuts[c + 1])
-            np.matmul(states[rows], w["wo"][c], out=inner[rows])
-            inner[rows] += w["bo"][c]
-        inner -= inner.max(1, keepdims=True)
-        n = len(inner)
-        out[:n] += inner[np.arange(n), target[:n] % MEMBERS] - np.log(np.exp(inner).sum(1))
+            own = slice(cuts[c], cuts[c + 1])
+            np.add(w["wo"][c].T @ states[:, own], w["bo"][c][:, None], out=inner[:, own])
+        inner -= inner.max(0)
+        out[:n] += inner[target[:n] % MEMBERS, np.arange(n)]
+        out[:n] -= np.log(np.exp(inner, out=inner).sum(0))
         back = np.empty_like(out)
         back[order] = out
         return back
@@ -179,58 +201,60 @@ class Network:
         t, scale = target.reshape(-1), use.reshape(-1).astype(np.float32) / max(1, int(use.sum()))
         cls = np.where(t < head, t // MEMBERS, t - head + CLASSES).astype(np.uint8)
         order = np.argsort(cls, kind="stable")  # by class, so that a class is a stretch of rows
-        flat, t, scale, cls = states.reshape(-1, s)[order], t[order], scale[order], cls[order]
+        flat, t, scale, cls = np.take(states.reshape(-1, s).T, order, axis=1), t[order], scale[order], cls[order]
         rows = np.arange(len(t))
-        p = flat @ w["wc"] + w["bc"]
-        p -= p.max(1, keepdims=True)
+        p = np.matmul(w["wc"].T, flat, out=self._room("logits", CLASSES + 2, len(t)))
+        p += w["bc"][:, None]
+        p -= p.max(0)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        loss = -(np.log(p[rows, cls] + 1e-30) * scale).sum()
-        p[rows, cls] -= 1
-        p *= scale[:, None]
+        p /= p.sum(0)
+        loss = -(np.log(p[cls, rows] + 1e-30) * scale).sum()
+        p[cls, rows] -= 1
+        p *= scale
         g = {k: np.zeros(shape, dtype=np.float32) for k, shape in self.SHAPES.items()}
-        g["wc"], g["bc"] = flat.T @ p, p.sum(0)
-        sorted_back = p @ w["wc"].T
+        g["wc"], g["bc"] = flat @ p.T, p.sum(1)
+        sorted_back = w["wc"] @ p
         cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
         classes, n = np.flatnonzero(np.diff(cuts)).tolist(), int(cuts[-1])
-        q = np.empty((n, MEMBERS), dtype=w["wo"].dtype)
+        q = self._room("inner", MEMBERS, n)
         for c in classes:
             own = slice(cuts[c], cuts[c + 1])
-            np.matmul(flat[own], w["wo"][c], out=q[own])
-            q[own] += w["bo"][c]
-        q -= q.max(1, keepdims=True)
+            np.add(w["wo"][c].T @ flat[:, own], w["bo"][c][:, None], out=q[:, own])
+        q -= q.max(0)
         np.exp(q, out=q)
-        q /= q.sum(1, keepdims=True)
-        at = (rows[:n], t[:n] % MEMBERS)
+        q /= q.sum(0)
+        at = (t[:n] % MEMBERS, rows[:n])
         loss -= (np.log(q[at] + 1e-30) * scale[:n]).sum()
         q[at] -= 1
-        q *= scale[:n, None]
+        q *= scale[:n]
         for c in classes:
             own = slice(cuts[c], cuts[c + 1])
-            g["wo"][c], g["bo"][c] = flat[own].T @ q[own], q[own].sum(0)
-            sorted_back[own] += q[own] @ w["wo"][c].T
-        back = np.empty_like(sorted_back)
-        back[order] = sorted_back
-        back = np.ascontiguousarray(back.reshape(steps, lanes, s).transpose(0, 2, 1))
-        inputs = np.empty((steps, 3 * s, lanes), dtype=np.float32)
+            g["wo"][c], g["bo"][c] = flat[:, own] @ q[:, own].T, q[:, own].sum(1)
+            sorted_back[:, own] += w["wo"][c] @ q[:, own]
+        place = np.empty_like(order)
+        place[order] = rows
+        back = np.take(sorted_back, place, axis=1).reshape(s, steps, lanes)
+        turns, last = self._room("inputs", 3 * s, steps, lanes), self._room("last", s, steps, lanes)
+        befores = self._room("befores", s, steps, lanes)
         carry = np.zeros((s, lanes), dtype=np.float32)
         for step in range(steps - 1, -1, -1):
             before, gates, n, rn = kept[step]
             r, z = gates[:s], gates[s:]
-            d = back[step] + carry
+            d = back[:, step] + carry
             dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * rn * r * (1 - r)
-            inputs[step] = np.concatenate([dr, dz, dn])
-            turn = np.concatenate([dr, dz, dn * r])
-            g["u"] += before @ turn.T
+            turn = turns[:, step]
+            turn[s : 2 * s] = d * (before - n) * z * (1 - z)
+            turn[:s] = dn * rn * r * (1 - r)
+            np.multiply(dn, r, out=turn[2 * s :])
+            last[:, step], befores[:, step] = dn, before
             carry = d * z + w["u"] @ turn
             carry *= ~fresh[step]
-        g["b"] = inputs.sum((0, 2))
+        g["u"] = befores.reshape(s, -1) @ turns.reshape(3 * s, -1).T
         source = previous.reshape(-1)
-        for k in range(3 * s):
-            g["e"][:, k] = np.bincount(source, weights=inputs[:, k].reshape(-1), minlength=len(g["e"]))
-        return g, float(loss), states[-1]
+        for k, values in enumerate([*turns[: 2 * s], *last]):
+            g["b"][k] = values.sum()
+            g["e"][:, k] = np.bincount(source, weights=values.reshape(-1), minlength=len(g["e"]))
+        return g, float(loss), states[-1].copy()
 
     def train(self, data: Streams, rate: float = 0.01, passes: int = 1, moments: list | None = None) -> float:
         """Adam steps, one per window; returns the mean loss of the last pass. ``moments`` (empty at first) carries them to the next call."""
@@ -298,8 +322,18 @@ class Vocabulary(NamedTuple):
         """Place of each hash, -1 for tokens not sent."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        # hashes are random, so their first bits lead close to their place; the few that stand further on are moved up
+        shift = np.uint64(64 - _LEAD_BITS)
+        first = np.searchsorted(self.hashes, np.arange(1 << _LEAD_BITS, dtype=np.uint64) << shift)
+        known = np.append(self.hashes, np.uint64(2**64 - 1))
+        at = first[hashes >> shift]
+        behind = np.flatnonzero(known[at] < hashes)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[known[at[behind]] < hashes[behind]]
+        at[known[at] != hashes] = -1
+        at[at == len(self.hashes)] = -1
+        return at
 
 
 def _documents(column: pa.Array):
@@ -333,6 +367,11 @@ def _gathered(batches):
         yield out()
 
 
+def _by_hash(rows: np.ndarray) -> np.ndarray:
+    """Sorted by the plain column: numpy compares whole records field by field, many times slower."""
+    return rows[np.argsort(np.ascontiguousarray(rows["hash"]))]
+
+
 def count(docs: DataFrame, buckets: int) -> DataFrame:
     """(hash, count) of every token of the training rows (``train`` true)."""
 
@@ -346,7 +385,7 @@ def count(docs: DataFrame, buckets: int) -> DataFrame:
                 yield blocks.pack("count", found % np.uint64(buckets), out)
 
     def each(t: pa.Table):
-        x = np.sort(blocks.unpack(t, "count", _COUNT), order="hash")
+        x = _by_hash(blocks.unpack(t, "count", _COUNT))
         at = np.flatnonzero(first_of(x["hash"]))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(x["hash"][at].view(np.int64)), pa.array(np.add.reduceat(x["count"], at))], ["hash", "count"])
@@ -415,7 +454,7 @@ def _score_run(network: Network, vocabulary: Vocabulary, first: np.ndarray, hash
         states = network.forward(previous, fresh, h[:active])
         h[:active] = states[-1]
         use = doc.reshape(-1) >= 0
-        model += np.bincount(doc.reshape(-1)[use], weights=network.log_probability(states.reshape(-1, STATE)[use], target.reshape(-1)[use]), minlength=rows)
+        model += np.bincount(doc.reshape(-1)[use], weights=network.log_probability(states.reshape(-1, STATE), target.reshape(-1))[use], minlength=rows)
     sums = {
         "n_tokens": np.diff(first), "n_sent": total(sent).astype(np.int64), "base": total(weight),
         "model": model / np.log(10) + total(np.where(outer, weight - np.log10(max(near, 1e-300)), 0.0)) - total(~sent) * np.log10(max(far, 1e-300)),
@@ -471,7 +510,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def each(t: pa.Table):
         """Per document the sum over its tokens of this bucket, and how many of them have a count; dealt on by document."""
-        counts = np.sort(blocks.unpack(t, "count", _COUNT), order="hash")
+        counts = _by_hash(blocks.unpack(t, "count", _COUNT))
         tail = blocks.unpack(t, "tail", _TAIL)
         n = np.zeros(len(tail), dtype=np.int64)
         if len(counts):

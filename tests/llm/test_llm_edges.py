@@ -345,3 +345,18 @@ def test_packing(spark, docs, empty):
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins, offsets, n = packing.best_fit([7, 6, 3, 3, 2], [1, 2, 1, 4, 2], [1, 2, 4, 1, 8], 10)
     assert (bins, offsets, n) == ([0, 1, 1, 2, 0], [0, 0, 6, 0, 7], 3)
+
+
+def test_lm_windows_share_memory_and_words_are_found_by_their_first_bits():
+    net = lm.Network.new()
+    rng = np.random.default_rng(4)
+    shape = (12, 5)
+    token, fresh = rng.integers(0, lm.CLASSES * lm.MEMBERS + 2, shape), np.zeros(shape, dtype=bool)
+    first = net.forward(token, fresh, np.zeros((5, lm.STATE), dtype=np.float32))
+    kept = first.copy()
+    again = net.forward(token, fresh, np.zeros((5, lm.STATE), dtype=np.float32))
+    assert np.shares_memory(first, again) and (again == kept).all()
+    hashes = np.unique(np.append(rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64), [lm.END, np.uint64(5), np.uint64(2**64 - 1)]))
+    v = lm.Vocabulary.of(hashes, np.ones(len(hashes), dtype=np.int64), 1, 1)
+    assert (v.find(hashes) == np.arange(len(hashes))).all()
+    assert (v.find(np.array([0, 2, 6, 2**64 - 2], dtype=np.uint64)) == -1).all()
