@@ -38,10 +38,12 @@ def _assemble(df: DataFrame, out: str) -> DataFrame:
     """From ``_p`` (predicate), ``_rest`` (other words), ``_s`` and ``_o``: the result struct, null if a part is missing."""
     df = settle(df, "_s", "_o")
     p = F.col("_p")
+    found = F.col("_s").isNotNull() & F.col("_p").isNotNull() & F.col("_o").isNotNull()
     helper = lambda w: (w["head"] == p["id"]) & w["upos"].isin(*_HELPERS)
-    df = df.withColumn("_span", F.concat(
+    # rows without a result have no span to look for
+    df = df.withColumn("_span", F.when(found, F.concat(
         F.filter("_rest", lambda w: helper(w) & (w["id"] < p["id"])), F.array("_p"),
-        F.filter("_rest", lambda w: helper(w) & (w["id"] > p["id"]))))
+        F.filter("_rest", lambda w: helper(w) & (w["id"] > p["id"])))))
     ids = F.transform("_span", lambda w: w["id"])
     df = settle(df, "_span")
     df = df.withColumn("_low", F.array_min(ids)).withColumn("_high", F.array_max(ids))
@@ -53,7 +55,6 @@ def _assemble(df: DataFrame, out: str) -> DataFrame:
         F.col("_s.text").alias("subject"), F.col("_p.text").alias("predicate"), F.col("_o.text").alias("object"),
         side(lambda w: w["id"] < F.col("_low")).alias("big_subject"), _joined(F.col("_span")).alias("big_predicate"),
         side(lambda w: w["id"] > F.col("_high")).alias("big_object"))
-    found = F.col("_s").isNotNull() & F.col("_p").isNotNull() & F.col("_o").isNotNull()
     return settle(df.withColumn(out, F.when(found, result)).drop("_p", "_rest", "_s", "_o", "_span", "_low", "_high"), out)
 
 

@@ -127,7 +127,7 @@ p AS (SELECT id, tokens, pieces, k, length(array_to_string(pieces[:k - 1], ''))
 SELECT id, k - 1 AS chunk_id, contains(pieces[k], 'N') AS is_chunk, start, start + length(pieces[k]) - 1 AS "end",
   array_to_string(list_transform(tokens[start + 1:start + length(pieces[k])], lambda t: t.token), ' ') AS text FROM p""")
 def t12(spark, d):
-    return tagged.noun_chunks(views.tagged(spark, d)).select("id", F.inline("chunks"))
+    return tagged.noun_chunks(views.tagged(spark, d, fields=("token", "pos"))).select("id", F.inline("chunks"))
 
 
 @register("T13", with_views("tagged") + f"""

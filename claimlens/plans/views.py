@@ -351,23 +351,23 @@ CONCEPT_SQL = r"""concept AS (
 
 def tag_of(text, low):
     """Rule tag of a word from its spelling and its lower-cased spelling."""
-    first = F.substring(text, 1, 1)
+    articles, places = ["a", "an", "the", "le", "la", "der", "die", "el"], ["of", "in", "to", "de", "en"]
+    # one set for both: Spark hashes a list of more than ten values and goes through a shorter one for each word
     return (
-        F.when(low.isin("a", "an", "the", "le", "la", "der", "die", "el"), "DT")
-        .when(low.isin("of", "in", "to", "de", "en"), "IN")
+        F.when(low.isin(*articles, *places), F.when(low.isin(*articles), "DT").otherwise("IN"))
         .when(low.endswith("ing"), "VBG").when(low.endswith("ed"), "VBN").when(low.endswith("es"), "VBZ").when(low.endswith("ly"), "RB")
-        .when((first >= "A") & (first <= "Z"), "NNP").when(low.endswith("al") | low.endswith("ble"), "JJ").otherwise("NN")
+        .when((text >= "A") & (text < "["), "NNP").when(low.endswith("al") | low.endswith("ble"), "JJ").otherwise("NN")
     )
 
 
-def tagged(spark, d, base=None):
-    """Sentences with ``tokens``: array of (token, pos, dep, is_stop)."""
+def tagged(spark, d, base=None, fields=("token", "pos", "dep", "is_stop")):
+    """Sentences with ``tokens``: array of (token, pos, dep, is_stop), or of the named ones only."""
     runs = F.regexp_extract_all(F.col("sentence"), F.lit(r"(?U)\w+"), F.lit(0))
     both = F.transform(runs, lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
-    tok = F.transform(both, lambda w, i: F.struct(
-        w["t"].alias("token"), F.when(i % 5 == 4, "CC").otherwise(tag_of(w["t"], w["low"])).alias("pos"),
-        F.when(i % 4 == 1, "nsubj").otherwise("dep").alias("dep"),
-        w["low"].isin(*STOP_WORDS).alias("is_stop")))
+    made = {
+        "token": lambda w, i: w["t"], "pos": lambda w, i: F.when(i % 5 == 4, "CC").otherwise(tag_of(w["t"], w["low"])),
+        "dep": lambda w, i: F.when(i % 4 == 1, "nsubj").otherwise("dep"), "is_stop": lambda w, i: w["low"].isin(*STOP_WORDS)}
+    tok = F.transform(both, lambda w, i: F.struct(*[made[f](w, i).alias(f) for f in fields]))
     return settle((base if base is not None else sentence(spark, d)).withColumn("tokens", tok), "tokens")
 
 
@@ -385,17 +385,16 @@ TAGGED_SQL = rf"""tagged AS (
 
 def parsed(spark, d, base=None):
     """Sentences with ``words``: dependency rows by rule (first verb form is the root)."""
-    t = tagged(spark, d, base).where(F.size("tokens") > 0)
+    t = tagged(spark, d, base, ("token", "pos")).where(F.size("tokens") > 0)
     root = F.array_position(F.transform("tokens", lambda x: x["pos"].startswith("VB")), True)
-    t = t.withColumn("root", F.when(root > 0, root).otherwise(F.lit(1)).cast("int"))
+    t = t.withColumn("root", F.greatest(root, F.lit(1)).cast("int"))
     t = settle(t, "root")
     upos = lambda x: (
-        F.when(x["pos"].startswith("VB"), "VERB").when(x["pos"] == "NNP", "PROPN").when(x["pos"] == "NN", "NOUN")
+        F.when(x["pos"] == "NN", "NOUN").when(x["pos"] == "NNP", "PROPN").when(x["pos"].startswith("VB"), "VERB")
         .when(x["pos"] == "JJ", "ADJ").when(x["pos"] == "RB", "PART").when(x["pos"] == "DT", "DET").otherwise("ADP"))
     rel = lambda x, i: (
         F.when(i + 1 == F.col("root"), "root")
-        .when(x["pos"].startswith("NN") & (i + 1 < F.col("root")), "nsubj")
-        .when(x["pos"].startswith("NN") & (i + 1 > F.col("root")), "obj").otherwise("dep"))
+        .when(x["pos"].startswith("NN"), F.when(i + 1 < F.col("root"), "nsubj").otherwise("obj")).otherwise("dep"))
     row = F.transform("tokens", lambda x, i: F.struct(
         (i + 1).cast("int").alias("id"), x["token"].alias("text"), upos(x).alias("upos"), x["pos"].alias("xpos"),
         F.when(i + 1 == F.col("root"), F.lit(0)).otherwise(F.col("root")).alias("head"), rel(x, i).alias("deprel"),

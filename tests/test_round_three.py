@@ -98,3 +98,16 @@ def test_lookup_and_sums(spark):
     out = concepts.enrich_nested(raw, "raw", concepts.type_lookup(types, groups))
     assert "Subquery" not in plan(out) and "Generate" not in plan(out)
     assert [tuple(c) for c in out.first()["raw"]] == [("st1", "T1", "Type 1", "DISO"), ("st2", None, None, None)]
+
+
+def test_parsed_rows_carry_only_the_tags_they_are_made_of(spark):
+    from claimlens.plans import views
+
+    text = "The Zeta causes [losses] quickly in École Alpha"
+    rows = views.parsed(spark, None, spark.createDataFrame([(1, text), (2, ""), (3, "plain words")], "id long, sentence string"))
+    assert [f.name for f in rows.schema["tokens"].dataType.elementType] == ["token", "pos"]
+    found = {r["id"]: r for r in rows.collect()}
+    assert sorted(found) == [1, 3] and found[1]["root"] == 3 and found[3]["root"] == 1
+    assert [(w["text"], w["xpos"], w["upos"], w["deprel"]) for w in found[1]["words"]] == [
+        ("The", "DT", "DET", "dep"), ("Zeta", "NNP", "PROPN", "nsubj"), ("causes", "VBZ", "VERB", "root"), ("losses", "VBZ", "VERB", "dep"),
+        ("quickly", "CC", "ADP", "dep"), ("in", "IN", "ADP", "dep"), ("École", "NN", "NOUN", "obj"), ("Alpha", "NNP", "PROPN", "obj")]
