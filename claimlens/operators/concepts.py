@@ -88,23 +88,36 @@ def enrich_concepts(flat: DataFrame, types: DataFrame, groups: DataFrame) -> Dat
     return flat.join(broadcast_if_small(_kinds(types, groups)), "sem_type", "left")
 
 
-def type_lookup(types: DataFrame, groups: DataFrame) -> Callable[[Column], Column]:
-    """The semantic-type dimension as a function from a type to its (tui, type_name, group), for enriching nested candidates.
+_KIND = ["tui", "type_name", "group"]
+
+
+def _kind_pairs(types: DataFrame, groups: DataFrame) -> list[tuple[str, Column]]:
+    """(sem_type, its literal struct) of the semantic types, one row each."""
+    rows = _kinds(types, groups).where("sem_type is not null").collect()
+    return [(r["sem_type"], F.struct(*[F.lit(r[n]).cast("string").alias(n) for n in _KIND])) for r in rows]
+
+
+def type_lookup(types: DataFrame, groups: DataFrame) -> Column:
+    """The semantic-type dimension as one map value, for looking up a few types."""
+    pairs = _kind_pairs(types, groups)
+    return F.create_map(*[x for key, kind in pairs for x in (F.lit(key), kind)]).cast("map<string,struct<tui:string,type_name:string,group:string>>")
+
+
+def type_finder(types: DataFrame, groups: DataFrame) -> Callable[[Column], Column]:
+    """The same as a function from a type to its (tui, type_name, group), for enriching many nested candidates.
 
     The dimension has a row per semantic type; it becomes part of the plan, so that no row carries it.
     """
-    names = ["tui", "type_name", "group"]
-    pairs = [(r["sem_type"], F.struct(*[F.lit(r[n]).cast("string").alias(n) for n in names])) for r in _kinds(types, groups).collect()]
-    return lookup(pairs, "struct<tui:string,type_name:string,group:string>")
+    return lookup(_kind_pairs(types, groups), "struct<tui:string,type_name:string,group:string>")
 
 
-def enrich_nested(df: DataFrame, candidates: str, kind_of: Callable[[Column], Column]) -> DataFrame:
+def enrich_nested(df: DataFrame, candidates: str, kind_of: Column | Callable[[Column], Column]) -> DataFrame:
     """Candidates (array of structs with ``sem_type``) with tui, type_name and group added."""
     fields = [f.name for f in df.schema[candidates].dataType.elementType]
 
     def one(c):
         added = lambda kind: F.struct(*[c[f].alias(f) for f in fields], *[kind[n].alias(n) for n in ("tui", "type_name", "group")])
-        return let(kind_of(c["sem_type"]), added)
+        return let(F.try_element_at(kind_of, c["sem_type"]) if isinstance(kind_of, Column) else kind_of(c["sem_type"]), added)
 
     return df.withColumn(candidates, F.transform(candidates, one))
 
