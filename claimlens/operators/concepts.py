@@ -6,70 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from claimlens import fixed
 from claimlens.cluster import broadcast_if_small, settle
-from claimlens.functions.text import let, lookup, running_sums, sem_ok, white_tokens
+from claimlens.functions.arrays import last_inside
+from claimlens.functions.metamap import PHRASES, read_phrases
+from claimlens.functions.text import let, lookup, sem_ok, white_tokens
 from claimlens.operators import updates
 
-def _struct(**fields) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
-
-
-_TEXT, _COUNT, _MANY = T.StringType(), T.IntegerType(), T.ArrayType
-_CANDIDATE = _struct(
-    CandidateMatched=_TEXT, CandidatePreferred=_TEXT, CandidateCUI=_TEXT, Negated=_TEXT,
-    SemTypes=_struct(_Count=_COUNT, SemType=_MANY(_TEXT)), MatchedWords=_struct(MatchedWord=_MANY(_TEXT)),
-    ConceptPIs=_struct(_Count=_COUNT, ConceptPI=_MANY(_struct(StartPos=_TEXT, Length=_TEXT))))
-_UNIT = _struct(SyntaxType=_TEXT, LexMatch=_TEXT, InputMatch=_TEXT, LexCat=_TEXT, Tokens=_struct(Token=_MANY(_TEXT)))
-_PHRASE = _struct(
-    PhraseText=_TEXT, SyntaxUnits=_struct(_Count=_COUNT, SyntaxUnit=_MANY(_UNIT)),
-    Mappings=_struct(_Count=_COUNT, Mapping=_MANY(_struct(MappingCandidates=_struct(Candidate=_MANY(_CANDIDATE))))))
-XML_SCHEMA = _struct(MMO=_MANY(_struct(Utterances=_struct(Utterance=_MANY(_struct(Phrases=_struct(Phrase=_MANY(_PHRASE))))))))
-
 
 def parse_concept_xml(df: DataFrame, col: str, out: str = "phrases") -> DataFrame:
     """Array of phrases with at least one mapping, with the candidates of the first mapping only.
 
-    Malformed XML gives an empty array, as does a document without any semantic type.
+    Malformed XML gives an empty array, as does a document without any semantic type. Documents are read by Python's XML
+    parser a batch at a time, and the batch's nested columns are put together flat. They are settled, or a later ``explode``'s filter would read them twice.
     """
-    doc = F.from_xml(F.col(col), XML_SCHEMA, {"mode": "PERMISSIVE"})
-
-    def candidate(c):
-        return F.struct(
-            c["CandidateMatched"].alias("matched"), c["CandidatePreferred"].alias("preferred"), c["CandidateCUI"].alias("cui"),
-            c["Negated"].alias("negated"), F.get(c["SemTypes"]["SemType"], F.lit(0)).alias("sem_type"),
-            F.array_join(c["MatchedWords"]["MatchedWord"], " ").alias("matched_words"),
-            F.coalesce(
-                F.transform(c["ConceptPIs"]["ConceptPI"], lambda p: F.struct(
-                    p["StartPos"].cast("int").alias("start_pos"), p["Length"].cast("int").alias("length"))),
-                F.expr("cast(array() as array<struct<start_pos:int,length:int>>)")).alias("positions"),
-        )
-
-    def unit(u):
-        return F.struct(
-            u["SyntaxType"].alias("syntax_type"), u["LexMatch"].alias("lex_match"), u["InputMatch"].alias("input_match"),
-            u["LexCat"].alias("lex_cat"), F.array_join(u["Tokens"]["Token"], " ").alias("tokens"))
-
-    def phrase(p):
-        first = F.get(p["Mappings"]["Mapping"], F.lit(0))
-        return F.struct(
-            p["PhraseText"].alias("phrase_text"),
-            F.transform(p["SyntaxUnits"]["SyntaxUnit"], unit).alias("syntax_units"),
-            F.transform(first["MappingCandidates"]["Candidate"], candidate).alias("candidates"))
-
-    utterances = F.flatten(F.transform("_doc.MMO", lambda m: m["Utterances"]["Utterance"]))
-    phrases = F.flatten(F.transform(utterances, lambda u: u["Phrases"]["Phrase"]))
-    mapped = F.transform(F.filter(phrases, lambda p: F.coalesce(p["Mappings"]["_Count"], F.lit(0)) != 0), phrase)
-    typed = F.exists(out, lambda p: F.exists(p["candidates"], lambda c: c["sem_type"].isNotNull()))
-    parsed = df.withColumn("_doc", doc).withColumn(out, mapped)
-    nothing = F.array().cast(parsed.schema[out].dataType)
-    parsed = settle(parsed, out)
-    return (
-        parsed.withColumn(out, F.when(F.coalesce(typed, F.lit(False)), F.col(out)).otherwise(nothing))
-        .drop("_doc")
-    )
+    read = F.arrow_udf(read_phrases, PHRASES)
+    return settle(df.withColumn(out, read(F.col(col))), out)
 
 
 def flat_candidates(df: DataFrame, key: str = "id", phrases: str = "phrases") -> DataFrame:
@@ -134,31 +87,6 @@ _TOGETHER = 256
 _FOUND = "array<int>"
 
 
-def _as_of(tokens: Column, starts: Column) -> Column:
-    """Per token, the index of the last candidate that starts inside it, for tokens one blank apart from the text's start on.
-
-    The last characters of the tokens and the candidate starts are sorted together; what a token looks for stands just
-    before it, if it does not start before the token.
-    """
-    ends = running_sums(F.transform(tokens, lambda t: F.length(t) + 1))
-
-    def point(at, kind, index, first):
-        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), index.cast("int").alias("index"), first.alias("first"))
-
-    words = F.zip_with(tokens, ends, lambda t, e: F.struct((e - 2).alias("at"), (e - F.length(t) - 1).alias("first")))
-    words = F.transform(words, lambda w, i: point(w["at"], 1, i, w["first"]))
-    points = F.array_sort(F.concat(words, F.transform(starts, lambda s, i: point(s, 0, i, s))))
-
-    def before(sorted_points):
-        def one(x, i):
-            prior = F.get(sorted_points, i - 1)
-            return F.struct(x["kind"].alias("kind"), F.when((prior["kind"] == 0) & (prior["first"] >= x["first"]), prior["index"]).alias("found"))
-
-        return F.transform(F.filter(F.transform(sorted_points, one), lambda x: x["kind"] == 1), lambda x: x["found"])
-
-    return let(points, before)
-
-
 def _walk(tokens: Column, text: Column, starts: Column) -> Column:
     """Per token, the index of the last candidate whose start the walk along the text has reached (null if none).
 
@@ -213,8 +141,9 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
     work = settle(work, "_tokens", "_ns", "_np")
     starts = F.transform(candidates, lambda c: c["start_pos"])
     plain = F.col(text).startswith(F.array_join("_tokens", " "))
-    found = F.when(usable & plain, _as_of(F.col("_tokens"), starts)).when(usable, _walk(F.col("_tokens"), F.col(text), starts))
-    work = work.withColumn("_found", found)
+    inside = F.arrow_udf(last_inside, "array<int>")
+    work = work.withColumn("_as_of", inside(F.when(usable & plain, F.col("_tokens")), F.when(usable & plain, starts)))
+    work = work.withColumn("_found", F.when(plain, F.col("_as_of")).when(usable, _walk(F.col("_tokens"), F.col(text), starts)))
     pairs = F.zip_with("_tokens", "_found", lambda t, f: F.struct(t.alias("token"), f.alias("found")))
 
     def aligned(cands):
@@ -231,7 +160,7 @@ def align_concepts(df: DataFrame, text: str = "sentence", subject: str = "big_su
         "s_ext": F.slice("_all", F.lit(1), F.col("_ns")),
         "p_ext": F.slice("_all", F.col("_ns") + 1, F.col("_np")),
         "o_ext": F.slice("_all", F.col("_ns") + F.col("_np") + 1, rest),
-    }).drop("_tokens", "_ns", "_np", "_found", "_all")
+    }).drop("_tokens", "_ns", "_np", "_as_of", "_found", "_all")
 
 
 CONCEPT_COLUMNS = ["subject_cuis", "predicate_cuis", "object_cuis", "subject_text_cuis", "predicate_text_cuis", "object_text_cuis"]

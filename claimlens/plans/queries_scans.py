@@ -91,15 +91,19 @@ def concept_xml(spark, d):
     """Extraction documents, one per sentence: a phrase per long word plus a phrase without mappings."""
     s = views.concept_spans(spark, d)
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    candidate = lambda c: F.format_string(
+    parts = (
         "<Phrase><PhraseText>%s</PhraseText><SyntaxUnits Count=\"1\"><SyntaxUnit><SyntaxType>head</SyntaxType><LexMatch>%s</LexMatch>"
         "<Tokens Count=\"1\"><Token>%s</Token></Tokens></SyntaxUnit></SyntaxUnits><Mappings Count=\"2\"><Mapping><MappingCandidates Total=\"1\"><Candidate>"
         "<CandidateCUI>%s</CandidateCUI><CandidateMatched>%s</CandidateMatched><CandidatePreferred>%s</CandidatePreferred>"
         "<MatchedWords Count=\"1\"><MatchedWord>%s</MatchedWord></MatchedWords><SemTypes Count=\"1\"><SemType>%s</SemType></SemTypes>"
-        "<Negated>0</Negated><ConceptPIs Count=\"1\"><ConceptPI><StartPos>%d</StartPos><Length>%d</Length></ConceptPI></ConceptPIs>"
-        "</Candidate></MappingCandidates></Mapping><Mapping><MappingCandidates Total=\"0\"></MappingCandidates></Mapping></Mappings></Phrase>",
-        esc(c["matched"]), esc(c["matched"]), esc(c["matched"]), c["cui"], esc(c["matched"]), esc(c["preferred"]), esc(c["preferred"]),
-        c["sem_type"], c["start_pos"], c["length"])
+        "<Negated>0</Negated><ConceptPIs Count=\"1\"><ConceptPI><StartPos>%s</StartPos><Length>%s</Length></ConceptPI></ConceptPIs>"
+        "</Candidate></MappingCandidates></Mapping><Mapping><MappingCandidates Total=\"0\"></MappingCandidates></Mapping></Mappings></Phrase>").split("%s")
+
+    def candidate(c):
+        matched, preferred = esc(c["matched"]), esc(c["preferred"])
+        values = [matched, matched, matched, c["cui"], matched, preferred, preferred, c["sem_type"], c["start_pos"].cast("string"), c["length"].cast("string")]
+        return F.concat(*[x for part, value in zip(parts, values) for x in (F.lit(part), value)], F.lit(parts[-1]))
+
     bare = "<Phrase><PhraseText>none</PhraseText><SyntaxUnits Count=\"0\"/><Mappings Count=\"0\"/></Phrase>"
     body = F.concat(
         F.lit("<MMOs><MMO><Utterances Count=\"1\"><Utterance><Phrases>" + bare),
