@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.cluster import settle
+from claimlens.functions.arrays import CHUNKS, chunk_spans
 from claimlens.functions.text import let, running_sums
 
 # Fixed pattern of a noun chunk over one-letter tag codes (D determiner, J adjective, N noun, P preposition).
@@ -20,11 +22,6 @@ def tag_codes(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, code), "")
 
 
-def _pieces(codes: Column) -> Column:
-    """Non-overlapping chunks by longest shape, and every token outside them, in order."""
-    return F.regexp_extract_all(codes, F.lit(f"{CHUNK}|."), F.lit(0))
-
-
 def _cut(tokens: Column, pieces: Column) -> Column:
     """Array of (piece, start, words): the tokens under consecutive pieces of the tag-code text."""
     names = F.transform(tokens, lambda t: t["token"])
@@ -37,10 +34,9 @@ def _cut(tokens: Column, pieces: Column) -> Column:
 
 def noun_chunks(df: DataFrame, tokens: str = "tokens", out: str = "chunks") -> DataFrame:
     """Array of (chunk_id, is_chunk, start, end, text): chunks and the single tokens between them."""
-    chunk = lambda c, i: F.struct(
-        i.cast("int").alias("chunk_id"), c["piece"].contains("N").alias("is_chunk"), c["start"].alias("start"),
-        (c["start"] + F.length(c["piece"]) - 1).alias("end"), F.array_join(c["words"], " ").alias("text"))
-    return df.withColumn(out, F.transform(_cut(F.col(tokens), _pieces(tag_codes(F.col(tokens)))), chunk))
+    field = lambda name: F.transform(tokens, lambda t: t[name])
+    spans = F.arrow_udf(lambda names, tags: chunk_spans(names, tags, CHUNK), CHUNKS)
+    return settle(df.withColumn(out, spans(field("token"), field("pos"))), out)
 
 
 def name_runs(tokens: Column) -> Column:
