@@ -1,4 +1,4 @@
-"""Text functions on columns. All stay in the JVM and read whole texts."""
+"""Text functions on columns. All read whole texts; all but ``token_spans`` stay in the JVM."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens import fixed
+from claimlens.functions.arrays import SPANS, word_spans
 
 RUN = r"(?U)\w+"
 
@@ -267,11 +268,7 @@ def lookup(pairs: list[tuple[str, Column]], kind: str) -> Callable[[Column], Col
 
 def token_spans(c: Column) -> Column:
     """Word runs in order: array of (text, start, gap), ``start`` zero-based, ``gap`` the text before the run."""
-    every = F.zip_with(F.split(c, RUN), F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), lambda g, r: F.struct(g.alias("g"), r.alias("r")))
-    pairs = F.filter(every, lambda x: x["r"].isNotNull())
-    ends = running_sums(F.transform(pairs, lambda x: F.length(x["g"]) + F.length(x["r"])))
-    return F.zip_with(pairs, ends, lambda x, e: F.struct(
-        x["r"].alias("text"), (e - F.length(x["r"])).alias("start"), x["g"].alias("gap")))
+    return F.arrow_udf(word_spans, SPANS)(F.regexp_extract_all(c, F.lit(RUN), F.lit(0)), F.split(c, RUN))
 
 
 # Elements whose text makes a block, and the character entities decoded in page text.

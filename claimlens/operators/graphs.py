@@ -58,12 +58,21 @@ def norm_predicate(df: DataFrame, phrasal: DataFrame, tokens: str = "p_tokens")
 UNIQUE_TYPES = ["sem_group", "sem_type", "sem_type_name"]
 
 
-def norm_nodes(tokens: Column, groups: Column, node_type: str, brackets: bool = True) -> Column:
-    """Node labels of aligned tokens: known concepts in allowed groups, first token per concept."""
+def first_concepts(tokens: Column, groups: Column) -> Column:
+    """Aligned tokens with a known concept in allowed groups, the first token per concept."""
     usable = let(groups, lambda g: F.filter(tokens, lambda t: F.array_contains(g, t["group"]) & (t["cui"] != fixed.UNKNOWN)))
     first_per_cui = lambda kept: let(F.transform(kept, lambda t: t["cui"]), lambda ids: F.filter(
         kept, lambda t, i: F.array_position(ids, t["cui"]) == i + 1))
-    first = let(usable, first_per_cui)
+    return let(usable, first_per_cui)
+
+
+def norm_nodes(tokens: Column, groups: Column, node_type: str, brackets: bool = True) -> Column:
+    """Node labels of aligned tokens: known concepts in allowed groups, first token per concept."""
+    return node_labels(first_concepts(tokens, groups), node_type, brackets)
+
+
+def node_labels(first: Column, node_type: str, brackets: bool = True) -> Column:
+    """Labels of the tokens that ``first_concepts`` leaves."""
     box = lambda *cols: F.concat(*[x for c in cols for x in (F.lit("["), c, F.lit("]"))])
     label = {
         "sem_group": lambda t: t["group"], "sem_type": lambda t: t["sem_type"], "sem_type_name": lambda t: t["type_name"],

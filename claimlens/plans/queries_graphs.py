@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.cluster import materialise, shared_path
+from claimlens.cluster import materialise, settle, shared_path
 from claimlens.operators import concepts, graphs, knowledge
 from claimlens.operators.selectors import item_selector
 from claimlens.plans import views
@@ -135,8 +135,9 @@ def _nodes_sql(kind):
 @register("L2", ALIGN_SQL.replace("{where}", "true") + KEPT_SQL + " UNION ALL ".join(_nodes_sql(k) for k in NODE_TYPES))
 def l2(spark, d):
     groups = F.array(*[F.lit(g) for g in fixed.DEFAULT_GROUPS])
-    per_type = F.array(*[F.struct(F.lit(k).alias("node_type"), F.array_join(graphs.norm_nodes(F.col("o_ext"), groups, k), " ").alias("nodes")) for k in NODE_TYPES])
-    return aligned_spo(spark, d).select("id", F.inline(per_type)).where("nodes <> ''")
+    first = settle(aligned_spo(spark, d).select("id", graphs.first_concepts(F.col("o_ext"), groups).alias("first")), "first")
+    per_type = F.array(*[F.struct(F.lit(k).alias("node_type"), F.array_join(graphs.node_labels(F.col("first"), k), " ").alias("nodes")) for k in NODE_TYPES])
+    return first.where(F.size("first") > 0).select("id", F.inline(per_type)).where("nodes <> ''")
 
 
 @register("J10", NORM_SQL + """

@@ -325,7 +325,7 @@ def concept_spans(spark, d, base=None, where=None):
         t["text"].alias("matched"),
         F.lower(t["text"]).alias("preferred"),
         F.concat(F.lit("C"), F.lpad((F.length(t["text"]) * 1000 + t["start"] % 1000).cast("string"), 7, "0")).alias("cui"),
-        F.format_string("st%03d", (t["start"] + F.length(t["text"])) % 204 + 1).alias("sem_type"),
+        F.concat(F.lit("st"), F.lpad(((t["start"] + F.length(t["text"])) % 204 + 1).cast("string"), 3, "0")).alias("sem_type"),
         t["start"].alias("start_pos"),
         F.length(t["text"]).alias("length"),
     ))
