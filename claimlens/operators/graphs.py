@@ -60,7 +60,7 @@ UNIQUE_TYPES = ["sem_group", "sem_type", "sem_type_name"]
 
 def first_concepts(tokens: Column, groups: Column) -> Column:
     """Aligned tokens with a known concept in allowed groups, the first token per concept."""
-    usable = let(groups, lambda g: F.filter(tokens, lambda t: F.array_contains(g, t["group"]) & (t["cui"] != fixed.UNKNOWN)))
+    usable = let(groups, lambda g: F.filter(tokens, lambda t: (t["cui"] != fixed.UNKNOWN) & F.array_contains(g, t["group"])))
     first_per_cui = lambda kept: let(F.transform(kept, lambda t: t["cui"]), lambda ids: F.filter(
         kept, lambda t, i: F.array_position(ids, t["cui"]) == i + 1))
     return let(usable, first_per_cui)
