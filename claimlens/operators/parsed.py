@@ -2,105 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.cluster import settle
+from claimlens.functions.readings import BOTH, SPO, both_readings, clause_reading, whole_reading
 from claimlens.functions.text import quoted
 
 RESULT = ["subject", "predicate", "object", "big_subject", "big_predicate", "big_object"]
-_NOUNS, _HELPERS = ["NOUN", "PROPN"], ["AUX", "COP", "PART"]
-
-
-def _last(words: Column, cond) -> Column:
-    return F.try_element_at(F.filter(words, cond), F.lit(-1))
-
-
-def _pronoun(w):
-    return (w["upos"] == "PRON") & (w["xpos"] == "PRP")
-
-
-def _relative(w):
-    return (w["upos"] == "PRON") & (w["feats"] == "PronType=Rel")
-
-
-def _joined(words: Column) -> Column:
-    """Texts joined by blanks; a word that starts where the previous one ends is glued to it."""
-    def step(acc, w):
-        text = (F.when(acc["text"] == "", w["text"]).when(acc["end"] == w["start_char"], F.concat(acc["text"], w["text"]))
-                .otherwise(F.concat(acc["text"], F.lit(" "), w["text"])))
-        return F.struct(text.alias("text"), w["end_char"].alias("end"))
-
-    return F.aggregate(words, F.struct(F.lit("").alias("text"), F.lit(-1).alias("end")), step, lambda acc: acc["text"])
-
-
-def _assemble(df: DataFrame, out: str) -> DataFrame:
-    """From ``_p`` (predicate), ``_rest`` (other words), ``_s`` and ``_o``: the result struct, null if a part is missing."""
-    df = settle(df, "_s", "_o")
-    p = F.col("_p")
-    found = F.col("_s").isNotNull() & F.col("_p").isNotNull() & F.col("_o").isNotNull()
-    helper = lambda w: (w["head"] == p["id"]) & w["upos"].isin(*_HELPERS)
-    # rows without a result have no span to look for
-    df = df.withColumn("_span", F.when(found, F.concat(
-        F.filter("_rest", lambda w: helper(w) & (w["id"] < p["id"])), F.array("_p"),
-        F.filter("_rest", lambda w: helper(w) & (w["id"] > p["id"])))))
-    ids = F.transform("_span", lambda w: w["id"])
-    df = settle(df, "_span")
-    df = df.withColumn("_low", F.array_min(ids)).withColumn("_high", F.array_max(ids))
-    df = settle(df, "_low", "_high")
-    ordered = (F.col("_s.id") < F.col("_low")) & (F.col("_high") < F.col("_o.id"))
-    texts = lambda words: F.array_join(F.transform(words, lambda w: w["text"]), " ")
-    side = lambda cond: F.when(ordered, texts(F.filter("_rest", cond))).otherwise(F.lit(""))
-    result = F.struct(
-        F.col("_s.text").alias("subject"), F.col("_p.text").alias("predicate"), F.col("_o.text").alias("object"),
-        side(lambda w: w["id"] < F.col("_low")).alias("big_subject"), _joined(F.col("_span")).alias("big_predicate"),
-        side(lambda w: w["id"] > F.col("_high")).alias("big_object"))
-    return settle(df.withColumn(out, F.when(found, result)).drop("_p", "_rest", "_s", "_o", "_span", "_low", "_high"), out)
 
 
 def spo_parsed(df: DataFrame, words: str = "words", out: str = "spo") -> DataFrame:
     """Whole-sentence reading: root predicate, its last noun subject and object (else pronoun, else adjective complement)."""
-    root = lambda w: w["deprel"] == "root"
-    df = settle(df, words)
-    df = df.withColumn("_p", _last(F.col(words), root)).withColumn("_rest", F.filter(words, lambda w: ~root(w)))
-    df = settle(df, "_p", "_rest").withColumn("_mine", F.filter("_rest", lambda w: w["head"] == F.col("_p.id")))
-    df = settle(df, "_mine")
-    kids = F.col("_mine")
-    subj, obj = ["nsubj", "nsubj:pass"], ["obj", "obl"]
-    noun = lambda rel: lambda w: w["upos"].isin(*_NOUNS) & w["deprel"].isin(*rel)
-    pron = lambda rel: lambda w: _pronoun(w) & w["deprel"].isin(*rel)
-    adj = lambda w: (w["upos"] == "ADJ") & w["deprel"].isin("xcomp", "ccomp")
-    df = df.withColumn("_s", F.coalesce(_last(kids, noun(subj)), _last(kids, pron(subj))))
-    df = df.withColumn("_o", F.coalesce(_last(kids, noun(obj)), _last(kids, pron(obj)), _last(kids, adj)))
-    return _assemble(df.drop("_mine"), out)
+    return settle(df.withColumn(out, F.arrow_udf(whole_reading, SPO)(F.col(words))), out)
 
 
 def spo_clause(df: DataFrame, words: str = "words", out: str = "spo") -> DataFrame:
     """Clause reading: verbal root, else copula, else last verb; subject ``nsubj`` only; object ``obj``, else ``obl``."""
-    tests = [
-        lambda w: (w["deprel"] == "root") & w["upos"].isin("VERB", "AUX", "COP"),
-        lambda w: w["deprel"] == "cop",
-        lambda w: w["upos"] == "VERB",
-    ]
-    df = settle(df, words)
-    picks = [_last(F.col(words), t) for t in tests]
-    other = lambda test: lambda w: ~test(w)
-    rests = [F.filter(words, other(t)) for t in tests]
-    df = df.withColumn("_p", F.coalesce(*picks))
-    df = df.withColumn("_rest", F.when(picks[0].isNotNull(), rests[0]).when(picks[1].isNotNull(), rests[1]).otherwise(rests[2]))
-    df = settle(df, "_p", "_rest").withColumn("_mine", F.filter("_rest", lambda w: w["head"] == F.col("_p.id")))
-    df = settle(df, "_mine")
-    kids = F.col("_mine")
-    person = lambda w: w["upos"].isin(*_NOUNS) | _pronoun(w) | _relative(w)
-    df = df.withColumn("_s", _last(kids, lambda w: person(w) & (w["deprel"] == "nsubj")))
-    df = df.withColumn("_o", F.coalesce(
-        _last(kids, lambda w: person(w) & (w["deprel"] == "obj")), _last(kids, lambda w: w["upos"].isin(*_NOUNS) & (w["deprel"] == "obl"))))
-    return _assemble(df.drop("_mine"), out)
+    return settle(df.withColumn(out, F.arrow_udf(clause_reading, SPO)(F.col(words))), out)
 
 
 def reading_parts(df: DataFrame, key: str = "id", text: str = "sentence") -> DataFrame:
     """(key, part_no, kind, text) rows to parse: the quoted span or the sentence first, then the comma clauses."""
-    q = quoted(F.col(text))
+    df, q = settle(df.select(key, text, quoted(F.col(text)).alias("_q")), "_q"), F.col("_q")
     head = F.when(q != "", F.struct(F.lit("quoted text").alias("kind"), q.alias("part"))).otherwise(
         F.struct(F.lit("sentence").alias("kind"), F.col(text).alias("part")))
     clauses = F.transform(F.split(text, ","), lambda c: F.struct(F.lit("clause").alias("kind"), c.alias("part")))
@@ -110,8 +34,10 @@ def reading_parts(df: DataFrame, key: str = "id", text: str = "sentence") -> Dat
 
 def spo_cascade(parts: DataFrame, key: str = "id") -> DataFrame:
     """First part with a result per sentence. ``parts`` has (key, part_no, kind, words)."""
-    read = spo_clause(spo_parsed(parts, out="_whole"), out="_clause")
-    best = F.when(F.col("kind") == "clause", F.col("_clause")).otherwise(F.col("_whole"))
+    # the words go from the parser to both readings inside one Python worker if nothing else asks for them
+    both = F.arrow_udf(both_readings, BOTH)(F.col("words"))
+    read = settle(parts.select(key, "part_no", "kind", both.alias("_both")), "_both")
+    best = F.when(F.col("kind") == "clause", F.col("_both.clause")).otherwise(F.col("_both.whole"))
     hits = read.select(key, "part_no", "kind", best.alias("_spo")).where("_spo is not null")
     first = hits.groupBy(key).agg(F.min_by(F.struct("kind", "_spo"), "part_no").alias("_m"))
     return first.select(key, F.col("_m.kind").alias("spo_type"), "_m._spo.*")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.cluster import settle, spread
+from claimlens.functions.arrays import ARTICLES, DEPENDENCIES, PLACES, dependency_rows
 from claimlens.functions.text import sentence_pieces, token_spans
 
 STOP_WORDS = ["a", "an", "the", "of", "and", "in", "is", "to", "le", "la", "de", "et", "der", "die", "und", "el", "en", "que"]
@@ -350,8 +351,8 @@ CONCEPT_SQL = r"""concept AS (
 # --- tagged tokens and dependency rows by rule -------------------------------------------------------
 
 def tag_of(text, low):
-    """Rule tag of a word from its spelling and its lower-cased spelling."""
-    articles, places = ["a", "an", "the", "le", "la", "der", "die", "el"], ["of", "in", "to", "de", "en"]
+    """Rule tag of a word from its spelling and its lower-cased spelling; ``arrays.dependency_rows`` goes by the same rule."""
+    articles, places = list(ARTICLES), list(PLACES)
     # one set for both: Spark hashes a list of more than ten values and goes through a shorter one for each word
     return (
         F.when(low.isin(*articles, *places), F.when(low.isin(*articles), "DT").otherwise("IN"))
@@ -385,21 +386,13 @@ TAGGED_SQL = rf"""tagged AS (
 
 def parsed(spark, d, base=None):
     """Sentences with ``words``: dependency rows by rule (first verb form is the root)."""
-    t = tagged(spark, d, base, ("token", "pos")).where(F.size("tokens") > 0)
-    root = F.array_position(F.transform("tokens", lambda x: x["pos"].startswith("VB")), True)
-    t = t.withColumn("root", F.greatest(root, F.lit(1)).cast("int"))
-    t = settle(t, "root")
-    upos = lambda x: (
-        F.when(x["pos"] == "NN", "NOUN").when(x["pos"] == "NNP", "PROPN").when(x["pos"].startswith("VB"), "VERB")
-        .when(x["pos"] == "JJ", "ADJ").when(x["pos"] == "RB", "PART").when(x["pos"] == "DT", "DET").otherwise("ADP"))
-    rel = lambda x, i: (
-        F.when(i + 1 == F.col("root"), "root")
-        .when(x["pos"].startswith("NN"), F.when(i + 1 < F.col("root"), "nsubj").otherwise("obj")).otherwise("dep"))
-    row = F.transform("tokens", lambda x, i: F.struct(
-        (i + 1).cast("int").alias("id"), x["token"].alias("text"), upos(x).alias("upos"), x["pos"].alias("xpos"),
-        F.when(i + 1 == F.col("root"), F.lit(0)).otherwise(F.col("root")).alias("head"), rel(x, i).alias("deprel"),
-        F.lit("").alias("feats"), (i * 100).cast("int").alias("start_char"), (i * 100 + F.length(x["token"])).cast("int").alias("end_char")))
-    return t.withColumn("words", row)
+    df = base if base is not None else sentence(spark, d)
+    runs = F.regexp_extract_all(F.col("sentence"), F.lit(r"(?U)\w+"), F.lit(0))
+    t = settle(df.withColumn("words", runs), "words").where(F.size("words") > 0)
+    t = t.withColumn("words", F.arrow_udf(dependency_rows, DEPENDENCIES)(F.col("words")))
+    tokens = F.transform("words", lambda w: F.struct(w["text"].alias("token"), w["xpos"].alias("pos")))
+    root = F.array_position(F.transform("words", lambda w: w["head"]), 0).cast("int")
+    return t.select(*df.columns, tokens.alias("tokens"), root.alias("root"), "words")
 
 
 PARSED_SQL = """parsed AS (
