@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.cluster import running_total
+from claimlens.cluster import broadcast_if_small, running_total, settle
 from claimlens.functions.text import bracket_list, fix_label, let
 
 BE_FORMS = ["am", "are", "is", "was", "were", "been", "being"]
@@ -43,16 +43,18 @@ def norm_predicate(df: DataFrame, phrasal: DataFrame, tokens: str = "p_tokens")
     free = F.col("spo_type").isin(*fixed.FREE_FORM_TYPES) & (F.size(F.filter(F.split("predicate", r"\s+"), lambda w: w != "")) == 1)
     verb = F.when(free & ((F.length(verb) < 2) | (verb != single)), single).otherwise(verb)
     several = (F.size(tokens) > 1) | (F.size(F.filter(F.split(big, r"\s+"), lambda w: w != "")) > 1)
-    known = phrasal.select(F.col("phrase").alias("_phrase")).distinct()
-    out = df.withColumn("_single", single).join(known, F.col("_single") == F.col("_phrase"), "left")
-    fallback = F.coalesce(F.col("_phrase"), _last(tokens, "NN"), F.lit(""))
     whole = F.array_join(F.transform(F.filter(F.split(big, r"\s+"), lambda w: w != ""), lambda w: F.when(w == "’re", "are").otherwise(w)), " ")
-    out = out.withColumn("_pick", F.when(several, F.when(verb != "", verb).otherwise(fallback)).otherwise(whole))
-    out = with_lemma(out, "_pick", "_lemma")
     negated = several & F.exists(tokens, lambda t: t["token"].isin(*fixed.NEGATIONS))
+    known = broadcast_if_small(phrasal.select(F.col("phrase").alias("_phrase")).distinct())
+    # what the tokens are needed for is taken from them first, so that a row that has to travel does so without them
+    parts = {"_single": single, "_verb": verb, "_several": several, "_noun": _last(tokens, "NN"), "_whole": whole, "_negated": negated}
+    out = df.withColumns(parts).join(known, F.col("_single") == F.col("_phrase"), "left")
+    fallback = F.coalesce("_phrase", "_noun", F.lit(""))
+    out = out.withColumn("_pick", F.when(F.col("_several"), F.when(F.col("_verb") != "", F.col("_verb")).otherwise(fallback)).otherwise(F.col("_whole")))
+    out = with_lemma(out, "_pick", "_lemma")
     name = F.when(F.col("_lemma") == "be", "is").otherwise(F.col("_lemma"))
-    norm = F.when(negated, F.concat(F.lit("not "), name)).otherwise(name)
-    return out.withColumn("norm_p", norm).drop("_single", "_phrase", "_pick", "_lemma")
+    norm = F.when(F.col("_negated"), F.concat(F.lit("not "), name)).otherwise(name)
+    return out.withColumn("norm_p", norm).drop(*parts, "_phrase", "_pick", "_lemma")
 
 
 UNIQUE_TYPES = ["sem_group", "sem_type", "sem_type_name"]
@@ -83,6 +85,14 @@ def node_labels(first: Column, node_type: str, brackets: bool = True) -> Column:
     return F.array_distinct(out) if node_type in UNIQUE_TYPES else out
 
 
+def _read(tokens: Column, node_type: str) -> Column:
+    """Known concepts of aligned tokens with no more fields than their labels are made of: what travels to the rules."""
+    fields = {"sem_type_name": ["type_name"], "text_cui": ["preferred"], "sem_type_sem_group": ["sem_type"], "cui_all": ["sem_type"],
+              "text_cui_all": ["preferred", "sem_type"], "sem_type": ["sem_type"]}.get(node_type, [])
+    known = F.filter(tokens, lambda t: t["cui"] != fixed.UNKNOWN)
+    return F.transform(known, lambda t: F.struct(*[t[f].alias(f) for f in ["cui", "group", *fields]]))
+
+
 def with_valid_groups(df: DataFrame, rules: DataFrame, default: list[str] = fixed.DEFAULT_GROUPS) -> DataFrame:
     """Adds the allowed subject and object groups of ``norm_p``; the default where a rule is missing or empty."""
     out = df.join(rules.withColumnRenamed("predicate", "norm_p"), "norm_p", "left")
@@ -96,10 +106,10 @@ def sentence_graph(df: DataFrame, phrasal: DataFrame, rules: DataFrame, node_typ
     ``df`` has tagged predicate tokens ``p_tokens`` and aligned concepts ``s_ext`` and ``o_ext``; ``triples`` makes edges of the
     result, by token or joined, and ``predicate_report`` its predicate counts.
     """
-    named = with_valid_groups(norm_predicate(df, phrasal), rules)
+    named = with_valid_groups(norm_predicate(df.withColumns({"_s": _read(F.col("s_ext"), node_type), "_o": _read(F.col("o_ext"), node_type)}), phrasal), rules)
     return named.withColumns({
-        "norm_s": norm_nodes(F.col("s_ext"), F.col("subject_groups"), node_type, brackets),
-        "norm_o": norm_nodes(F.col("o_ext"), F.col("object_groups"), node_type, brackets)})
+        "norm_s": norm_nodes(F.col("_s"), F.col("subject_groups"), node_type, brackets),
+        "norm_o": norm_nodes(F.col("_o"), F.col("object_groups"), node_type, brackets)}).drop("_s", "_o")
 
 
 def predicate_report(df: DataFrame, order: str = "new_sentence_id") -> DataFrame:
@@ -107,21 +117,25 @@ def predicate_report(df: DataFrame, order: str = "new_sentence_id") -> DataFrame
     return df.groupBy("norm_p").agg(F.count("*").alias("n"), F.min(order).alias("first_seen"))
 
 
-def triple_rows(df: DataFrame, by_token: bool = True) -> DataFrame:
+def triple_rows(df: DataFrame, by_token: bool | None = True) -> DataFrame:
     """Rows of the triple file: item_id, sentence_id, subject, predicate, object and both group lists.
 
     By token every subject label stands with every object label; joined, a sentence gives its own words and its labels.
+    ``None`` gives the rows of both, with their ``layout``, in one pass over the sentences.
     """
-    keep = [F.col("item_id"), F.col("id").alias("sentence_id")]
-    if by_token:
-        groups = [F.array_join(c, ",").alias(c) for c in ("subject_groups", "object_groups")]
-        one = df.select(*keep, F.explode("norm_s").alias("subject"), F.col("norm_p").alias("predicate"), "norm_o", *groups)
-        return one.select("item_id", "sentence_id", "subject", "predicate", F.explode("norm_o").alias("object"), "subject_groups", "object_groups")
-    pair = lambda s, o: F.struct(s.alias("subject"), o.alias("object"))
-    both = F.array(pair(F.col("big_subject"), F.col("big_object")), pair(F.array_join("norm_s", " "), F.array_join("norm_o", " ")))
-    blank = F.lit("")
-    return df.select(*keep, F.col("norm_p").alias("predicate"), F.explode(both).alias("e")).select(
-        "item_id", "sentence_id", "e.subject", "predicate", "e.object", blank.alias("subject_groups"), blank.alias("object_groups"))
+    rows = settle(df.select("item_id", F.col("id").alias("sentence_id"), "big_subject", "big_object", "norm_p", "norm_s", "norm_o",
+                            *[F.array_join(c, ",").alias(c) for c in ("subject_groups", "object_groups")]), "norm_s", "norm_o")
+    # each entry has a subject and the objects that it stands with; an entry's triples leave one by one
+    entry = lambda layout, s, o, x, y: F.struct(
+        F.lit(layout).alias("layout"), s.alias("subject"), o.alias("_objects"), x.alias("subject_groups"), y.alias("object_groups"))
+    groups, blank = (F.col("subject_groups"), F.col("object_groups")), (F.lit(""), F.lit(""))
+    tokens = F.transform("norm_s", lambda s: entry("by token", s, F.col("norm_o"), *groups))
+    joined = F.array(entry("joined", F.col("big_subject"), F.array("big_object"), *blank),
+                     entry("joined", F.array_join("norm_s", " "), F.array(F.array_join("norm_o", " ")), *blank))
+    entries = joined if by_token is False else tokens if by_token else F.when(F.col("norm_s").isNull(), joined).otherwise(F.concat(tokens, joined))
+    keep = ["item_id", "sentence_id", F.col("norm_p").alias("predicate")]
+    one = rows.select(*keep, F.inline(entries)).select("item_id", "sentence_id", "layout", "subject", "predicate", F.explode("_objects").alias("object"), "subject_groups", "object_groups")
+    return one if by_token is None else one.drop("layout")
 
 
 def triples(df: DataFrame, by_token: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from claimlens import fixed
-from claimlens.cluster import materialise, settle, shared_path
+from claimlens.cluster import broadcast_if_small, materialise, settle, shared_path
 from claimlens.operators import concepts, graphs, knowledge
 from claimlens.operators.selectors import item_selector
 from claimlens.plans import views
@@ -173,10 +173,10 @@ def group_rules(spark, d):
     return views.sentence(spark, d).select(first.alias("predicate"), chem.alias("subject_groups"), chem.alias("object_groups")).distinct()
 
 
-def graph(spark, d, node_type="cui", brackets=True):
+def graph(spark, d, node_type="cui", brackets=True, rules=None):
     """The sentence graph of finished corpus sentences."""
     s = tokened(spark, d).where("review_level = 9 and not skip_validations")
-    return graphs.sentence_graph(aligned_spo(spark, d, s), phrasal(spark, d), group_rules(spark, d), node_type, brackets)
+    return graphs.sentence_graph(aligned_spo(spark, d, s), phrasal(spark, d), group_rules(spark, d) if rules is None else rules, node_type, brackets)
 
 
 def sentence_triples(spark, d):
@@ -308,8 +308,8 @@ UNION ALL SELECT 'joined', item_id, n.id, coalesce(CASE WHEN j = 0 THEN big_subj
   FROM norm n LEFT JOIN lab USING (id), range(2) t(j) WHERE {TRIPLE_WHERE}""")
 def s15(spark, d):
     """The triple file in both layouts, written and read back."""
-    rows, path = graph(spark, d), shared_path(spark, "triples")
-    both = graphs.triple_rows(rows).withColumn("layout", F.lit("by token")).unionByName(graphs.triple_rows(rows, by_token=False).withColumn("layout", F.lit("joined")))
+    rules = broadcast_if_small(materialise(group_rules(spark, d), "rules"))
+    both, path = graphs.triple_rows(graph(spark, d, rules=rules), by_token=None), shared_path(spark, "triples")
     names = _TRIPLE_COLUMNS
     sinks.export_triples(both.select(*[F.coalesce(c, F.lit("")).alias(c) if c in ("subject", "object") else F.col(c) for c in names]), path)
     cut = F.split("value", "\t", -1)
