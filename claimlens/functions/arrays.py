@@ -120,7 +120,7 @@ def _tag(text: str) -> str:
     return "NNP" if "A" <= text < "[" else "JJ" if low.endswith(("al", "ble")) else "NN"
 
 
-DEPENDENCIES = ("array<struct<id:int,text:string,upos:string,xpos:string,head:int,deprel:string,feats:string,start_char:int,end_char:int>>")
+DEPENDENCIES = "array<struct<id:int,text:string,upos:string,xpos:string,head:int,deprel:string,feats:string,start_char:int,end_char:int>>"
 
 
 def dependency_rows(words: pa.Array) -> pa.Array:
